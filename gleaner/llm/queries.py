@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-import public_tokenizers
-from . import bpe, media, mixing, sharding
+from . import bpe, langid, media, mixing, sharding
 from .shared import documents
 
 
@@ -33,8 +33,15 @@ def op6_mixing(spark, sf_dir):
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_langid(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    fold = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(0)) % 4
+    out = langid.identify(docs, langid.train(docs))
+    return out.select("doc_id", (fold == 2).alias("held_out"), "lang_pred", "score")
+
+
 def queries():
-    return {f.__name__: f for f in (op1_media, op3_bpe, op4_shards, op6_mixing)}
+    return {f.__name__: f for f in (op1_media, op3_bpe, op4_shards, op6_mixing, op10_langid)}
 
 
 def oracle_sql():
