@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, langid, media, mixing, sharding
+from . import bpe, jaccard, langid, media, mixing, sharding
 from .shared import documents
 
 
@@ -28,6 +28,10 @@ def op4_shards(spark, sf_dir):
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op5_jaccard(spark, sf_dir):
+    return jaccard.jaccard_components(documents(spark, sf_dir))
+
+
 def op6_mixing(spark, sf_dir):
     out, _ = mixing.mix(documents(spark, sf_dir))
     return out.select("doc_id", "size", "source_size", "target", "taken")
@@ -41,7 +45,7 @@ def op10_langid(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_media, op3_bpe, op4_shards, op6_mixing, op10_langid)}
+    return {f.__name__: f for f in (op1_media, op3_bpe, op4_shards, op5_jaccard, op6_mixing, op10_langid)}
 
 
 def oracle_sql():
