@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard, langid, media, mixing, sharding
+from . import bpe, jaccard, langid, linededup, media, mixing, sharding
 from .shared import documents
 
 
@@ -19,6 +19,12 @@ def op1_media(spark, sf_dir):
     return media.text_media(documents(spark, sf_dir))
 
 
+def op2_lines(spark, sf_dir):
+    out = linededup.dedup_units(documents(spark, sf_dir))
+    spans = F.array_join(F.transform("removed", lambda s: F.concat_ws(":", s["start"], s["length"])), ",")
+    return out.select("doc_id", "n_units", "n_removed", spans.alias("removed"), "text")
+
+
 def op3_bpe(spark, sf_dir):
     return bpe.encode_documents(documents(spark, sf_dir), tokenizer())
 
@@ -45,8 +51,8 @@ def op10_langid(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_media, op3_bpe, op4_shards, op5_jaccard, op6_mixing, op10_langid)}
+    return {f.__name__: f for f in (op1_media, op2_lines, op3_bpe, op4_shards, op5_jaccard, op6_mixing, op10_langid)}
 
 
 def oracle_sql():
-    return {}
+    return {"op2_lines": linededup.SQL}
