@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,3 +35,14 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
             return now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))
         mark = tuple(seen)
     raise RuntimeError("components did not settle")
+
+
+def local_labels(ids: np.ndarray, a: np.ndarray, b: np.ndarray, linked: np.ndarray) -> np.ndarray:
+    """Each row's least id reachable through the matrix of links between rows a and rows b."""
+    label, top = ids.copy(), np.iinfo(np.int64).max
+    while True:
+        before = label.copy()
+        label[a] = np.minimum(label[a], np.where(linked, label[b][None, :], top).min(axis=1, initial=top))
+        label[b] = np.minimum(label[b], np.where(linked, label[a][:, None], top).min(axis=0, initial=top))
+        if (label == before).all():
+            return label

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import components
+from .components import components, local_labels
 from .shared import map_rows, materialize
 
 GROWTH = 1.4
@@ -128,15 +128,7 @@ def link_blocks(ids: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right
             overlap += (x @ y.T).astype(np.int64)
     total = sizes[a][:, None] + sizes[b][None, :]
     linked = (den * overlap >= num * (total - overlap)) & (overlap > 0)
-    label = ids.copy()
-    while True:
-        top = np.iinfo(np.int64).max
-        la = np.minimum(label[a], np.where(linked, label[b][None, :], top).min(axis=1, initial=top))
-        label[a] = np.minimum(label[a], la)
-        lb = np.minimum(label[b], np.where(linked, label[a][:, None], top).min(axis=0, initial=top))
-        if (lb == label[b]).all() and (np.minimum(label[a], np.where(linked, lb[None, :], top).min(axis=1, initial=top)) == label[a]).all():
-            break
-        label[b] = np.minimum(label[b], lb)
+    label = local_labels(ids, a, b, linked)
     return [(int(i), int(x)) for i, x in zip(ids, label, strict=True) if i != x]
 
 
