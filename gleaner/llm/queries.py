@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard, langid, linededup, media, mixing, pivots, rnnlm, sharding
+from . import bpe, jaccard, langid, licenses, linededup, media, mixing, pivots, rnnlm, sharding
 from .shared import documents
 
 
@@ -47,6 +47,13 @@ def op7_pivots(spark, sf_dir):
     return pivots.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op8_licenses(spark, sf_dir):
+    out = licenses.scan_licenses(documents(spark, sf_dir))
+    span = F.transform("findings", lambda f: F.concat_ws(":", f["license"], f["start"], f["length"], f["saved"], f["differences"]))
+    names = F.array_sort(F.array_distinct(F.transform("findings", lambda f: f["license"])))
+    return out.select("doc_id", F.size("findings").cast("long").alias("n_found"), F.array_join(names, ",").alias("licenses"), F.array_join(span, ";").alias("spans"))
+
+
 def op9_lm(spark, sf_dir):
     docs = documents(spark, sf_dir)
     fold = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(0)) % 7
@@ -63,7 +70,7 @@ def op10_langid(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_media, op2_lines, op3_bpe, op4_shards, op5_jaccard, op6_mixing, op7_pivots, op9_lm, op10_langid)}
+    return {f.__name__: f for f in (op1_media, op2_lines, op3_bpe, op4_shards, op5_jaccard, op6_mixing, op7_pivots, op8_licenses, op9_lm, op10_langid)}
 
 
 def oracle_sql():
