@@ -1,11 +1,65 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: language ID, near-duplicates, repeated lines, source mixing, tokens.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents.
+Defined cases: documents whose text is null or has no letter leave at the first stage, those without an id at the
+second; of rows with one id one stays. Empty input gives empty output. Extra columns leave at the third stage.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from gleaner.llm import bpe, jaccard, langid, linededup, mixing
+from gleaner.llm.queries import tokenizer
+from gleaner.llm.shared import documents, materialize
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def language_id(spark, docs, sf_dir):
+    """Keep the documents that have a language; operator 10. Clean prose of a known language scores far above the bound."""
+    return langid.keep_identified(docs, langid.train(docs), least=0.35)
+
+
+def near_duplicates(spark, docs, sf_dir):
+    """One document of each group stays, the one with the least id; operator 5, shingles of five words, similarity 0.8."""
+    groups = jaccard.jaccard_components(docs, words=5, num=80, den=100)
+    kept = groups.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+
+
+def repeated_lines(spark, docs, sf_dir):
+    """Lines that stand earlier in the corpus go, and documents of which nothing is left; operator 2."""
+    out = linededup.dedup_units(docs, keep=["lang", "source"]).withColumn("n_chars", F.length("text").cast("long"))
+    return out.filter(F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(*COLUMNS)
+
+
+def mix_sources(spark, docs, sf_dir):
+    """Each document's text is what the mix takes of it, in blocks of 64 words; operator 6."""
+    _, pieces = mixing.mix(docs)
+    out = mixing.mixed_texts(docs, pieces, keep=["lang", "source"])
+    return out.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def tokens(spark, docs, sf_dir):
+    """Token ids of each whole text, decoded again; operator 3."""
+    return bpe.encode_documents(docs, tokenizer(), with_ids=True)
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("near_duplicates", near_duplicates),
+    ("repeated_lines", repeated_lines),
+    ("mix_sources", mix_sources),
+    ("tokens", tokens),
+]
+
+#: Trained models, connected components and pseudorandom draws have no SQL; the tests hold stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    docs = documents(spark, sf_dir)
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

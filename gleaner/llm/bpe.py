@@ -360,7 +360,7 @@ def encode_documents(df: DataFrame, tokenizer: bytes, id_col: str = "doc_id", te
 
     tokenizer: the tokenizer file's content, of fixed size, sent to each executor once. A null or empty text has no ids
     and an empty decoded text. Special tokens' strings in a text become those tokens. Rows map one to one, in any order
-    of repetition; other columns are ignored, whatever their names. with_ids adds ids (array<int>) and decoded (string).
+    of repetition; other columns are ignored, whatever their names. with_ids adds ids (binary: little-endian unsigned 32-bit numbers).
     """
     shared = df.sparkSession.sparkContext.broadcast(tokenizer)
 
@@ -370,7 +370,7 @@ def encode_documents(df: DataFrame, tokenizer: bytes, id_col: str = "doc_id", te
         def each(key, text):
             encoder, decoder = Encoder(model), Decoder(model, True)
             ids_hash, text_hash, n = hashlib.sha256(), hashlib.sha256(), 0
-            kept_ids, kept_text = [], []
+            kept = []
             text = (text or b"").decode("utf-8", "replace")
             for at in range(0, len(text) + 1, CHUNK):
                 data = encoder.feed(text[at : at + CHUNK]) + (encoder.end() if at + CHUNK > len(text) else b"")
@@ -380,13 +380,12 @@ def encode_documents(df: DataFrame, tokenizer: bytes, id_col: str = "doc_id", te
                 ids_hash.update(data)
                 text_hash.update(part.encode())
                 if with_ids:
-                    kept_ids.append(ids)
-                    kept_text.append(part)
+                    kept.append(data)
             text_hash.update(decoder.end().encode())
             row = (key, n, ids_hash.hexdigest(), text_hash.hexdigest())
-            yield row + ((np.concatenate(kept_ids).tolist(), "".join(kept_text)) if with_ids else ())
+            yield row + ((b"".join(kept),) if with_ids else ())
 
         return each
 
-    extra = ", ids array<int>, decoded string" if with_ids else ""
+    extra = ", ids binary" if with_ids else ""
     return map_rows(df, f"{id_col} {dict(df.dtypes)[id_col]}, n_tokens long, ids_sha256 string, decoded_sha256 string{extra}", make, [id_col, text_col])

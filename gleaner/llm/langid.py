@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -224,6 +225,37 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return model
 
 
+def predict(model: ByteTagger, texts: list[bytes | None]) -> tuple[list[str], list[float]]:
+    """Language and mean probability of each text, in groups of a bounded number of texts."""
+    preds: list[str] = []
+    scores: list[float] = []
+    for at in range(0, len(texts), 1024):
+        part = [t or b"" for t in texts[at : at + 1024]]
+        known = [has_letter(t) for t in part]
+        prob = pooled(model, [t if k else b"" for t, k in zip(part, known, strict=True)])
+        preds += [model.langs[i] if k else "und" for i, k in zip(prob.argmax(axis=1), known, strict=True)]
+        scores += [min(1.0, round(float(x), 6)) if k else 0.0 for x, k in zip(prob.max(axis=1), known, strict=True)]
+    return preds, scores
+
+
+def keep_identified(df: DataFrame, model: ByteTagger, least: float = 0.35, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows, all columns as they are, whose text has a language with at least this mean probability; a null language
+    is filled in. Null texts and texts without a letter go."""
+    shared = df.sparkSession.sparkContext.broadcast(model)
+    names = df.columns
+    text_at, lang_at = names.index(text_col), names.index(lang_col)
+
+    def run(batches):
+        for batch in batches:
+            preds, scores = predict(shared.value, batch.column(text_at).cast(pa.binary()).to_pylist())
+            cols = list(batch.columns)
+            cols[lang_at] = pc.coalesce(cols[lang_at], pa.array(preds, cols[lang_at].type))
+            mask = pa.array([p != "und" and s >= least for p, s in zip(preds, scores, strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays(cols, names).filter(mask)
+
+    return df.mapInArrow(run, df.schema)
+
+
 def identify(df: DataFrame, model: ByteTagger, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """lang_pred and score (mean probability, rounded to six places) of every whole text.
 
@@ -236,14 +268,8 @@ def identify(df: DataFrame, model: ByteTagger, id_col: str = "doc_id", text_col:
         tagger = shared.value
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
-            preds, scores = [], []
-            for at in range(0, len(texts), 1024):
-                part = [t or b"" for t in texts[at : at + 1024].to_pylist()]
-                known = [has_letter(t) for t in part]
-                prob = pooled(tagger, [t if k else b"" for t, k in zip(part, known, strict=True)])
-                preds += [tagger.langs[i] if k else "und" for i, k in zip(prob.argmax(axis=1), known, strict=True)]
-                scores += [round(float(x), 6) if k else 0.0 for x, k in zip(prob.max(axis=1), known, strict=True)]
-            yield pa.RecordBatch.from_arrays([ids, pa.array(preds, pa.string()), pa.array(np.clip(scores, 0, 1), pa.float64())], [id_col, "lang_pred", "score"])
+            preds, scores = predict(tagger, texts.to_pylist())
+            yield pa.RecordBatch.from_arrays([ids, pa.array(preds, pa.string()), pa.array(scores, pa.float64())], [id_col, "lang_pred", "score"])
 
     rows = df.select(F.col(id_col), F.col(text_col).cast("binary").alias(text_col))
     return rows.mapInArrow(run, f"{id_col} {dict(df.dtypes)[id_col]}, lang_pred string, score double")

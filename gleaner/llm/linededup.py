@@ -41,12 +41,13 @@ def cut_spans(text: bytes, spans: list[tuple[int, int]], mark: bytes) -> bytes:
     return out
 
 
-def dedup_units(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: str = "line", min_words: int = 3) -> DataFrame:
+def dedup_units(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: str = "line", min_words: int = 3, keep: list[str] | None = None) -> DataFrame:
     """One row for each input row: id, n_units, n_removed, removed (array of start, length in the original's bytes), text.
 
     n_units counts the units of at least min_words words; shorter ones always stay. A null or empty text has none and
     stays as it is. Rows with a null id stay as they are and don't count. Rows of one id are one document: units at the
-    same position of repeated rows are one occurrence. Only the named columns are used, whatever others are called.
+    same position of repeated rows are one occurrence. Only the named columns are used, whatever others are called; those
+    in keep are returned as they are.
     """
     kind = dict(df.dtypes)[id_col]
     mark = SEPARATORS[unit]
@@ -62,20 +63,24 @@ def dedup_units(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", u
     first = found.groupBy("d1", "d2").agg(F.min(F.struct("id", "p")).alias("first"), F.count("*").alias("c")).filter("c > 1")
     marked = found.join(first, ["d1", "d2"]).filter((F.col("id") != F.col("first.id")) | (F.col("p") != F.col("first.p")))
     removed = marked.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("start", "length"))).alias("removed"))
-    joined = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(removed, "id", "left")
+    keep = keep or []
+    kinds = dict(df.dtypes)
+    joined = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *[F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep)]).join(removed, "id", "left")
 
     def cut():
-        def each(key, text, removed):
+        def each(key, text, removed, *rest):
             if text is None:
-                yield key, 0, 0, [], None
+                yield key, 0, 0, [], None, *rest
             else:
                 spans = [(r["start"], r["length"]) for r in removed or []]
                 n = sum(1 for _ in units(text, unit, min_words)) if key is not None else 0
-                yield key, n, len(spans), removed or [], cut_spans(text, spans, mark).decode("utf-8", "replace")
+                yield key, n, len(spans), removed or [], cut_spans(text, spans, mark).decode("utf-8", "replace"), *rest
 
         return each
 
-    return map_rows(joined, f"{id_col} {kind}, n_units long, n_removed long, removed array<struct<start:long,length:long>>, {text_col} string", cut, ["id", "text", "removed"])
+    more = "".join(f", {c} {kinds[c]}" for c in keep)
+    schema = f"{id_col} {kind}, n_units long, n_removed long, removed array<struct<start:long,length:long>>, {text_col} string{more}"
+    return map_rows(joined, schema, cut, ["id", "text", "removed", *[f"keep_{i}" for i in range(len(keep))]])
 
 
 SQL = r"""

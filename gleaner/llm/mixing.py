@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -130,3 +132,35 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
         F.col("p.id").alias(id_col), "size", F.col("src").alias(source_col), "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken")
     )
     return out, pieces.withColumnRenamed("id", id_col)
+
+
+def mixed_texts(df: DataFrame, pieces: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """The words that a mix takes of each document as its text: id, text and the columns in keep. Documents of which
+    nothing is taken go. Pieces that follow each other keep what is between them; other pieces begin a new line. A block
+    that is taken twice comes again in a second pass over the document."""
+    from .shared import map_rows
+
+    keep, kinds = keep or [], dict(df.dtypes)
+    taken = pieces.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("first", "last", "times"))).alias("taken"))
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *[F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep)]).join(taken.withColumnRenamed(id_col, "id"), "id")
+
+    def make():
+        word = re.compile(WORD.encode())
+
+        def each(key, text, taken, *rest):
+            ends = np.array([m.span() for m in word.finditer(text)], np.int64).reshape(-1, 2)
+            parts = []
+            for again in range(max(t["times"] for t in taken)):
+                runs: list[list[int]] = []
+                for t in taken:
+                    if t["times"] > again and t["last"] <= len(ends):
+                        if runs and runs[-1][1] == t["first"]:
+                            runs[-1][1] = t["last"]
+                        else:
+                            runs.append([t["first"], t["last"]])
+                parts += [text[ends[a, 0] : ends[b - 1, 1]] for a, b in runs]
+            yield key, b"\n".join(parts), *rest
+
+        return each
+
+    return map_rows(rows, f"{id_col} {kinds[id_col]}, {text_col} string" + "".join(f", {c} {kinds[c]}" for c in keep), make, ["id", "text", "taken", *[f"keep_{i}" for i in range(len(keep))]])
