@@ -38,7 +38,9 @@ def fold(findings: DataFrame) -> DataFrame:
 
 
 def dashboard(findings: DataFrame) -> DataFrame:
-    """Counts in all and by group, source and encoding, in one pass (A6); order by kind, count down, name."""
+    """Counts in all and by group, source and encoding, in one pass (A6); order by kind, count down, name.
+
+    An empty scan gives no rows."""
     kind = F.expr("CASE grouping_id(`group`, source, encoding) WHEN 3 THEN 'group' WHEN 5 THEN 'source' WHEN 6 THEN 'encoding' ELSE 'total' END")
     sets = findings.groupingSets([["group"], ["source"], ["encoding"], []], "group", "source", "encoding")
     return sets.agg(kind.alias("kind"), F.count("*").alias("findings")).select("kind", F.coalesce("group", "source", "encoding", F.lit("")).alias("name"), "findings")
@@ -148,7 +150,7 @@ def resolve_download_hosts(findings: DataFrame, label: str = "Download URL") ->
     bare = bare.groupBy(*key).agg(F.max("url").alias("from")).select(*key, F.concat(F.regexp_extract("from", "^(.*?://)", 1), "value").alias("resolved"), "from", F.col("value").alias("path"))
     paths = _without(asked, bare, key)
     paths = paths.withColumn("path", F.when(F.col("value").startswith("/"), F.col("value")).otherwise(F.concat(F.lit("/"), "value"))).withColumn("cd", _folders(F.col("path")))
-    pairs = paths.withColumn("top", F.element_at("cd", 1)).join(known.withColumn("top", F.element_at("kd", 1)), ["place", "top"])  # depth 1 or more
+    pairs = paths.withColumn("top", F.get("cd", F.lit(0))).join(known.withColumn("top", F.get("kd", F.lit(0))), ["place", "top"])  # depth 1 or more
     same = F.zip_with("cd", "kd", lambda a, b: F.coalesce(a == b, F.lit(False)))
     pairs = pairs.withColumn("depth", F.coalesce(F.nullif(F.array_position(same, False), F.lit(0)) - 1, F.size(same)).cast("int"))
     votes = pairs.groupBy(*key, "path", "depth", ascii_lower("origin").alias("o")).agg(F.count("*").alias("n"), F.max(F.struct("url", "origin")).alias("best"))

@@ -39,7 +39,7 @@ def _doc_source():
 
 
 def _page_urls(spark, d, text=None, options=URLS):
-    rows = _pages(spark, d).withColumn("t", text if text is not None else F.col("url"))
+    rows = _pages(spark, d).withColumn("t", text() if text else F.col("url"))
     return scan_column(rows, "t", _page_source(), options)
 
 
@@ -112,11 +112,6 @@ def _pair(spark, d):
     return results.dedup(_doc_hits(spark, d, _regex("email", "ipv4")))
 
 
-def _encoded(spark, d, name, value):
-    rows = _pages(spark, d).withColumn("t", F.concat(F.lit("k="), value, F.lit(" ;")))
-    return rows, name
-
-
 def _kernel(spark, d, data, options=None):
     rows = _pages(spark, d).select(_page_source().alias("source"), data.alias("data"))
     return results.dedup(scan_bytes(rows, options or Options())).select("group", "value", "encoding", "source", "offset")
@@ -161,10 +156,6 @@ def _captures(spark, d):
     return out.select("value", "source", tx.capture_text(F.col("captures")).alias("captures"))
 
 
-def _identity(name, build, sql):
-    return {name: (build, sql)}
-
-
 _LEFT = _regex("email", "ipv4")
 _RIGHT = _regex("email", custom=TICKET)
 _RIGHT_SQL = f"SELECT DISTINCT \"group\", value, source, CAST(\"offset\" AS BIGINT) AS \"offset\" FROM ({_found_sql(_EMAIL, _hits_sql('', label='Custom', pattern=TICKET))})"
@@ -225,23 +216,21 @@ def _inspect(spark, d):
     return hex_lines(rows, "data", 256, 64, ["doc_id"])
 
 
-_INSPECT_SQL = """
-SELECT doc_id, printf('%012X', at) AS "offset", regexp_replace(hexed, '(..)(?=.)', '\\1 ', 'g') AS hex, ascii FROM (
-  SELECT doc_id, at, h AS hexed, list_aggregate([CASE WHEN x BETWEEN 32 AND 126 THEN chr(CAST(x AS INTEGER)) ELSE '.' END FOR x IN codes], 'string_agg', '') AS ascii FROM (
-    SELECT doc_id, at, h, [('0x' || substr(h, 2 * i + 1, 2))::INTEGER FOR i IN range(len(h) // 2)] AS codes FROM (
-      SELECT doc_id, at, substr(whole, 2 * at + 1, 32) AS h FROM (SELECT doc_id, hex(encode(text)) AS whole, unnest([256, 272, 288, 304]) AS at FROM documents)))
-  WHERE h <> '')"""
+_INSPECT_SQL = r"""
+SELECT doc_id, printf('%012X', pos) AS "offset", rtrim(regexp_replace(h, '(..)', '\1 ', 'g')) AS hex, list_aggregate([CASE WHEN x BETWEEN 32 AND 126 THEN chr(x) ELSE '.' END FOR x IN codes], 'string_agg', '') AS ascii FROM (
+  SELECT doc_id, pos, h, [('0x' || substr(h, CAST(2 * i + 1 AS BIGINT), 2))::INTEGER FOR i IN range(len(h) // 2)] AS codes FROM (
+    SELECT doc_id, pos, substr(whole, 2 * pos + 1, 32) AS h FROM (SELECT doc_id, hex(encode(text)) AS whole, unnest([256, 272, 288, 304]) AS pos FROM documents)))
+  WHERE h <> ''"""
 
 
 def catalogue() -> dict[str, tuple]:
     """name: (query, SQL)."""
-    page, doc = _page_source, _doc_source
     url_cols = lambda df: df.select(F.regexp_extract("source", "([0-9]+)$", 1).cast("long").alias("page_id"), "value", F.col("group").alias("host"), urls.url_scheme(F.col("value")).alias("scheme"))
     url_out = "SELECT page_id, value, host, scheme FROM ({})"
-    twice = F.concat(F.lit("see "), F.col("url"), F.lit("), then <"), F.col("url"), F.lit(">."))
+    twice = lambda: F.concat(F.lit("see "), F.col("url"), F.lit("), then <"), F.col("url"), F.lit(">."))
     twice_sql = "'see ' || url || '), then <' || url || '>.'"
-    noisy, noisy_sql = F.concat(F.col("url"), F.lit(NOISE_TEXT)), f"url || {_q(NOISE_TEXT)}"
-    login = F.regexp_replace("url", "://([^/]*)", "://user:pw@$1:8443")
+    noisy, noisy_sql = lambda: F.concat(F.col("url"), F.lit(NOISE_TEXT)), f"url || {_q(NOISE_TEXT)}"
+    login = lambda: F.regexp_replace("url", "://([^/]*)", "://user:pw@$1:8443")
     login_sql = r"regexp_replace(url, '://([^/]*)', '://user:pw@\1:8443')"
     noise_off = Options(mode="urls", base64=False, hex=False, utf16=False, escaped=False, drop_noise=False)
     out: dict[str, tuple] = {
@@ -304,18 +293,18 @@ def catalogue() -> dict[str, tuple]:
         "ignore_hidden_count": (lambda s, d: results.hidden_count(_page_urls(s, d), results.IgnoreRules.parse(_IGNORE)), f"SELECT count(*) FILTER ({_IGNORED_SQL}) AS hidden, count(*) AS findings FROM ({_PAGE_SQL})"),
         "result_search": (lambda s, d: results.search(_page_urls(s, d), "/FR/").select("group", "value", "source"), f"SELECT host AS \"group\", value, source FROM ({_PAGE_SQL}) WHERE contains(lower(host), '/fr/') OR contains(lower(value), '/fr/') OR contains(lower(source), '/fr/') OR contains('ascii', '/fr/')"),
         "view_pipeline": (
-            lambda s, d: results.view(results.dedup(_page_urls(s, d, twice)), _page_urls(s, d, F.regexp_replace("url", "^https:", "none:")), results.IgnoreRules.parse(_IGNORE), "example").select("group", "value", "source", "occurrences"),
+            lambda s, d: results.view(results.dedup(_page_urls(s, d, twice)), _page_urls(s, d, lambda: F.regexp_replace("url", "^https:", "none:")), results.IgnoreRules.parse(_IGNORE), "example").select("group", "value", "source", "occurrences"),
             f"""SELECT host AS "group", value, min(source) AS source, CAST(2 * count(*) AS BIGINT) AS occurrences FROM ({_PAGE_SQL}) WHERE NOT {_IGNORED_SQL} AND contains(value, 'example')
               AND value NOT IN (SELECT value FROM ({_PAGE_SQL}) WHERE scheme <> 'https') GROUP BY 1, 2""",
         ),
         "resolve_download_hosts": (_downloads, _DOWNLOADS_SQL),
         "export_csv_rows": (
-            lambda s, d: _page_urls(s, d, F.concat(F.lit('=say "'), F.col("url"), F.lit('"'))).select(tx.csv_line().alias("line")),
+            lambda s, d: _page_urls(s, d, lambda: F.concat(F.lit('=say "'), F.col("url"), F.lit('"'))).select(tx.csv_line().alias("line")),
             f'''SELECT '"' || host || '","' || value || '","ASCII","' || source || '","6","''=say ""","' || left(replace(substr(url, length(value) + 1) || '"', '"', '""'), 64) || '",""' AS line FROM ({_PAGE_SQL})''',
         ),
         "export_txt_rows": (lambda s, d: _doc_hits(s, d, _LEFT).select("source", tx.txt_line(F.col("value"), F.col("offset")).alias("line")), f"SELECT source, value || '  @0x' || printf('%X', \"offset\") AS line FROM ({_BOTH})"),
         "export_json_rows": (
-            lambda s, d: _page_urls(s, d, F.concat(F.lit('=say "'), F.col("url"))).select(tx.json_object().alias("line")),
+            lambda s, d: _page_urls(s, d, lambda: F.concat(F.lit('=say "'), F.col("url"))).select(tx.json_object().alias("line")),
             f"""SELECT '{{"group":"' || host || '","value":"' || value || '","encoding":"ASCII","source":"' || source || '","offset":6,"contextBefore":"=say \\"","contextAfter":"' || substr(url, length(value) + 1) || '","captures":{{}}}}' AS line FROM ({_PAGE_SQL})""",
         ),
         "inspect_bytes": (_inspect, _INSPECT_SQL),
@@ -327,7 +316,7 @@ def catalogue() -> dict[str, tuple]:
     }
     for name, (preset, spark_text, sql_text) in INJECTED.items():
         out[name] = (
-            lambda s, d, preset=preset, t=spark_text: _plain(scan_column(_docs(s, d).withColumn("t", t(_md5())), "t", doc(), _regex(preset)), "offset"),
+            lambda s, d, preset=preset, t=spark_text: _plain(scan_column(_docs(s, d).withColumn("t", t(_md5())), "t", _doc_source(), _regex(preset)), "offset"),
             f'SELECT "group", value, source, CAST("offset" AS BIGINT) AS "offset" FROM (' + _hits_sql(preset, sql_text) + ")",
         )
     return out
