@@ -12,7 +12,7 @@ from .shared import materialize
 def _star(edges: DataFrame, larger: bool) -> DataFrame:
     """Each node's neighbours (the larger, or the smaller and itself) move to its least neighbour. Joins split hot nodes."""
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if larger else edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    least = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")  # read back, so that the join has exchanges of its own
     moved = both.join(least, "a")
     if larger:
         out = moved.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))

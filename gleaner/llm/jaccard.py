@@ -11,6 +11,8 @@ Counting: each key's sets meet around the least of them, its anchor. An anchor's
 weight, and pairs of blocks are counted, each in a task of its own: for each fragment of the order the partial overlaps
 of all its pairs are counted separately, then summed per pair. Only a spanning set of the links found leaves a task.
 Sets that are equal are one set from the start, whatever their number.
+
+What is counted by a key is written before it is joined: a join right above its own aggregation can't be split.
 """
 
 from __future__ import annotations
@@ -156,12 +158,12 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
         return each
 
     base = materialize(map_rows(df, f"id {kind}, n long, d1 long, d2 long, keys binary", describe, [id_col, text_col]), "jaccard-sets")
-    classes = base.filter("n > 0").groupBy("d1", "d2", "n").agg(F.min("id").alias("rep"))
+    classes = materialize(base.filter("n > 0").groupBy("d1", "d2", "n").agg(F.min("id").alias("rep")), "jaccard-classes")
     reps = classes.filter("rep is not null").select(F.col("rep").cast("long").alias("x"), "d1", "d2", "n")
 
     chosen = base.filter("n > 0").select(F.col("id").cast("long").alias("x"), "d1", "d2", "n", "keys").join(reps, ["x", "d1", "d2", "n"], "left_semi").dropDuplicates(["x"])
     entries = _explode_keys(chosen.select("x", "keys"))
-    common = entries.groupBy("k").agg(F.min("x").alias("anchor"), F.count("*").alias("c")).filter("c > 1").select("k", "anchor")
+    common = materialize(entries.groupBy("k").agg(F.min("x").alias("anchor"), F.count("*").alias("c")).filter("c > 1").select("k", "anchor"), "jaccard-keys")
     meets = materialize(entries.join(common, "k").select("anchor", "x").distinct(), "jaccard-meets")
     members = materialize(meets.select("x").distinct(), "jaccard-members")
 
@@ -175,8 +177,8 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     texts = df.select(F.col(id_col).cast("long").alias("x"), F.col(text_col).alias("t")).join(members, "x").dropDuplicates(["x"])
     sets = materialize(map_rows(texts, "x long, grams binary, n long", gather, ["x", "t"]), "jaccard-grams")
-    sized = meets.join(sets.select("x", "n"), "x")
-    heavy = sized.groupBy("anchor").agg(F.greatest(F.lit(1), F.ceil(F.sum("n") / weight)).cast("int").alias("blocks"))
+    sized = materialize(meets.join(sets.select("x", "n"), "x"), "jaccard-sizes")
+    heavy = materialize(sized.groupBy("anchor").agg(F.greatest(F.lit(1), F.ceil(F.sum("n") / weight)).cast("int").alias("blocks")), "jaccard-blocks")
     dealt = sized.join(heavy, "anchor").withColumn("own", F.pmod(F.xxhash64("x"), F.col("blocks")).cast("int"))
     units = dealt.select("anchor", "x", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     units = units.select("anchor", "x", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
