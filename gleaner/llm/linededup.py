@@ -60,7 +60,7 @@ def dedup_units(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", u
         return each
 
     found = materialize(map_rows(df.filter(F.col(id_col).isNotNull()), f"id {kind}, p int, start long, length long, d1 long, d2 long", find, [id_col, text_col]), "units").distinct()
-    first = found.groupBy("d1", "d2").agg(F.min(F.struct("id", "p")).alias("first"), F.count("*").alias("c")).filter("c > 1")
+    first = materialize(found.groupBy("d1", "d2").agg(F.min(F.struct("id", "p")).alias("first"), F.count("*").alias("c")).filter("c > 1"), "repeats")  # read back: the join has exchanges of its own, which can be split
     marked = found.join(first, ["d1", "d2"]).filter((F.col("id") != F.col("first.id")) | (F.col("p") != F.col("first.p")))
     removed = marked.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("start", "length"))).alias("removed"))
     keep = keep or []
