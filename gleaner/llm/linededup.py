@@ -1,12 +1,16 @@
 """Substring dedup: hash normalised lines or paragraphs, group digests globally, keep the earliest occurrence, cut the rest.
 
-A unit is what lies between separators. It is normalised by lower-casing A-Z, turning runs of ASCII white space into one
-space and trimming. Occurrences rank by (id, position). Only digests and positions are shuffled to find repeats; a very
-common unit is counted before the shuffle, and the join that marks its occurrences may be split.
+Units are what lies between separators, and, so that a passage is found wherever in a line it stands, the parts of units
+of several sentences: a sentence of enough words with the short ones after it. A unit is normalised by lower-casing A-Z,
+turning runs of ASCII white space into one space and trimming. Occurrences rank by (id, position). Only digests and
+positions are shuffled to find repeats; a very common unit is counted before the shuffle, and the join that marks its
+occurrences may be split.
 """
 
 from __future__ import annotations
 
+import re
+
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,55 +18,87 @@ from pyspark.sql import functions as F
 from .shared import map_rows, materialize
 
 SEPARATORS = {"line": b"\n", "paragraph": b"\n\n"}
+_END = re.compile(rb"[.!?]+[\x20\t\n]+")
+
 
+def parts_of(unit: bytes, min_words: int) -> list[tuple[int, int]]:
+    """(start, length) of a unit's parts: each sentence of at least min_words words with the shorter ones that follow.
+    What comes before the first such sentence is a part of its own, of length 0 if there is nothing."""
+    ends = [*(m.end() for m in _END.finditer(unit)), len(unit)]
+    starts = [0]
+    for a, b in zip([0, *ends], ends):
+        if a < b and len(unit[a:b].split()) >= min_words:
+            starts.append(a)
+    return [(a, b - a) for a, b in zip(starts, [*starts[1:], len(unit)], strict=True)]
 
-def units(text: bytes, unit: str, min_words: int):
-    """(position, start, length, digest) of each unit of at least min_words words; offsets are in bytes of UTF-8."""
+
+def units(text: bytes, unit: str, min_words: int, min_part: int):
+    """(position, part, start, length, digest); part 0 is the whole unit. Offsets are in bytes of UTF-8."""
     mark = SEPARATORS[unit]
     start = 0
-    for position, part in enumerate(text.split(mark)):
-        words = part.lower().split()
+    for position, whole in enumerate(text.split(mark)):
+        words = whole.lower().split()
         if len(words) >= min_words:
-            yield position, start, len(part), xxhash.xxh3_128_digest(b" ".join(words))
-        start += len(part) + len(mark)
-
-
-def cut_spans(text: bytes, spans: list[tuple[int, int]], mark: bytes) -> bytes:
-    """The text without the given units, each with one separator beside it."""
-    keep, at = [], 0
-    for start, length in sorted(spans):
-        keep.append(text[at:start])
-        at = min(start + length + len(mark), len(text))
-    keep.append(text[at:])
-    out = b"".join(keep)
-    last = max(spans, default=(0, 0))
-    if spans and last[0] + last[1] == len(text) and out.endswith(mark):
-        out = out[: -len(mark)]
-    return out
-
-
-def dedup_units(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: str = "line", min_words: int = 3, keep: list[str] | None = None) -> DataFrame:
+            yield position, 0, start, len(whole), xxhash.xxh3_128_digest(b" ".join(words))
+        if len(words) > min_part:
+            parts = parts_of(whole, min_part)
+            if sum(n > 0 for _, n in parts) > 1:
+                for i, (a, n) in enumerate(parts[1:], 1):
+                    yield position, i, start + a, n, xxhash.xxh3_128_digest(b" ".join(whole[a : a + n].lower().split()))
+        start += len(whole) + len(mark)
+
+
+def cut_spans(text: bytes, spans: set[tuple[int, int]], mark: bytes) -> tuple[bytes, list[tuple[int, int]]]:
+    """The text without the given spans, and those of them that were cut: units go with their separator; of others parts
+    go, and a unit of which only white space would be left goes as a whole."""
+    keep, cut, start, inside = [], [], 0, sorted(spans)
+    at = 0
+    for whole in text.split(mark):
+        end = start + len(whole)
+        own = []
+        while at < len(inside) and inside[at][0] < end:
+            own.append(inside[at])
+            at += 1
+        if (start, len(whole)) in spans:
+            cut.append((start, len(whole)))
+        elif own:
+            left, to = [], start
+            for a, n in own:
+                left.append(text[to:a])
+                to = a + n
+            left.append(text[to:end])
+            cut += own
+            if (rest := b"".join(left)).split():
+                keep.append(rest)
+        else:
+            keep.append(whole)
+        start = end + len(mark)
+    return mark.join(keep), cut
+
+
+def dedup_units(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: str = "line", min_words: int = 3, min_part: int = 8, keep: list[str] | None = None) -> DataFrame:
     """One row for each input row: id, n_units, n_removed, removed (array of start, length in the original's bytes), text.
 
-    n_units counts the units of at least min_words words; shorter ones always stay. A null or empty text has none and
-    stays as it is. Rows with a null id stay as they are and don't count. Rows of one id are one document: units at the
-    same position of repeated rows are one occurrence. Only the named columns are used, whatever others are called; those
-    in keep are returned as they are.
+    n_units counts units of at least min_words words, and the parts of units that have more than one; shorter ones always
+    stay. A null or empty text has none and stays as it is. Rows with a null id stay as they are and don't count. Rows of
+    one id are one document: units at the same position of repeated rows are one occurrence. Only the named columns are
+    used, whatever others are called; those in keep are returned as they are.
     """
     kind = dict(df.dtypes)[id_col]
     mark = SEPARATORS[unit]
 
     def find():
         def each(key, text):
-            for position, start, length, digest in units(text or b"", unit, min_words):
-                yield key, position, start, length, int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
+            for position, part, start, length, digest in units(text or b"", unit, min_words, min_part):
+                yield key, position, part, start, length, int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
 
         return each
 
-    found = materialize(map_rows(df.filter(F.col(id_col).isNotNull()), f"id {kind}, p int, start long, length long, d1 long, d2 long", find, [id_col, text_col]), "units").distinct()
-    first = materialize(found.groupBy("d1", "d2").agg(F.min(F.struct("id", "p")).alias("first"), F.count("*").alias("c")).filter("c > 1"), "repeats")  # read back: the join has exchanges of its own, which can be split
-    marked = found.join(first, ["d1", "d2"]).filter((F.col("id") != F.col("first.id")) | (F.col("p") != F.col("first.p")))
-    removed = marked.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("start", "length"))).alias("removed"))
+    found = materialize(map_rows(df.filter(F.col(id_col).isNotNull()), f"id {kind}, p int, q int, start long, length long, d1 long, d2 long", find, [id_col, text_col]), "units").distinct()
+    first = found.groupBy("d1", "d2").agg(F.min(F.struct("id", "p", "q")).alias("first"), F.count("*").alias("c")).filter("c > 1")
+    first = materialize(first, "repeats")  # read back: the join has exchanges of its own, which can be split
+    later = (F.col("id") != F.col("first.id")) | (F.col("p") != F.col("first.p")) | (F.col("q") != F.col("first.q"))
+    removed = found.join(first, ["d1", "d2"]).filter(later).groupBy("id").agg(F.collect_list(F.struct("start", "length")).alias("removed"))
     keep = keep or []
     kinds = dict(df.dtypes)
     joined = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *[F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep)]).join(removed, "id", "left")
@@ -72,9 +108,9 @@ def dedup_units(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", u
             if text is None:
                 yield key, 0, 0, [], None, *rest
             else:
-                spans = [(r["start"], r["length"]) for r in removed or []]
-                n = sum(1 for _ in units(text, unit, min_words)) if key is not None else 0
-                yield key, n, len(spans), removed or [], cut_spans(text, spans, mark).decode("utf-8", "replace"), *rest
+                left, spans = cut_spans(text, {(r["start"], r["length"]) for r in removed or []}, mark)
+                n = sum(1 for _ in units(text, unit, min_words, min_part)) if key is not None else 0
+                yield key, n, len(spans), [{"start": a, "length": b} for a, b in spans], left.decode("utf-8", "replace"), *rest
 
         return each
 
@@ -84,25 +120,39 @@ def dedup_units(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", u
 
 
 SQL = r"""
-WITH parts AS (
-  SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents
-), cut AS (
-  SELECT doc_id, unnest(range(len(lines))) AS p, unnest(lines) AS line FROM parts
+WITH cut AS (
+  SELECT doc_id, unnest(range(len(lines))) AS p, unnest(lines) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents)
+), placed AS (
+  SELECT doc_id, p, line, sum(strlen(line) + 1) OVER (PARTITION BY doc_id ORDER BY p) - strlen(line) - 1 AS start FROM cut
+), sentences AS (
+  SELECT doc_id, p, start, unnest(range(len(s))) AS i, unnest(s) AS piece FROM (
+    SELECT doc_id, p, start, string_split(regexp_replace(line, '([.!?]+[\x20\t]+)', '\1' || chr(1), 'g'), chr(1)) AS s FROM placed)
+), grouped AS (
+  SELECT *, sum(CASE WHEN len(regexp_extract_all(piece, '[^\x20\x09-\x0D]+')) >= 8 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, p ORDER BY i) AS q,
+    start + sum(strlen(piece)) OVER (PARTITION BY doc_id, p ORDER BY i) - strlen(piece) AS place
+  FROM sentences WHERE piece <> ''
+), parts AS (
+  SELECT doc_id, p, q, string_agg(piece, '' ORDER BY i) AS txt, min(place) AS start, count(*) OVER (PARTITION BY doc_id, p) AS n FROM grouped GROUP BY doc_id, p, q
 ), units AS (
-  SELECT doc_id, p, line, trim(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS norm,
-    sum(strlen(line) + 1) OVER (PARTITION BY doc_id ORDER BY p) - strlen(line) - 1 AS start
-  FROM cut
+  SELECT doc_id, p, 0 AS q, line AS txt, start FROM placed WHERE len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) >= 3
+  UNION ALL SELECT doc_id, p, q, txt, start FROM parts WHERE n > 1 AND q > 0
 ), ranked AS (
-  SELECT doc_id, p, line, start, norm <> '' AND len(string_split(norm, ' ')) >= 3 AS counts,
-    row_number() OVER (PARTITION BY norm ORDER BY doc_id, p) AS nth
-  FROM units
-), found AS (
-  SELECT doc_id, count(*) FILTER (counts) AS n_units, count(*) FILTER (counts AND nth > 1) AS n_removed,
-    coalesce(string_agg(start || ':' || strlen(line), ',' ORDER BY p) FILTER (counts AND nth > 1), '') AS removed,
-    coalesce(string_agg(line, chr(10) ORDER BY p) FILTER (NOT (counts AND nth > 1)), '') AS text
-  FROM ranked GROUP BY doc_id
-)
-SELECT d.doc_id, coalesce(f.n_units, 0) AS n_units, coalesce(f.n_removed, 0) AS n_removed, coalesce(f.removed, '') AS removed,
-  CASE WHEN d.text IS NOT NULL THEN coalesce(f.text, '') END AS text
-FROM documents d LEFT JOIN found f USING (doc_id)
+  SELECT doc_id, p, q, txt, start, row_number() OVER (PARTITION BY trim(regexp_replace(translate(txt, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') ORDER BY doc_id, p, q) AS nth FROM units
+), gone AS (SELECT * FROM ranked WHERE nth > 1),
+lines_gone AS (SELECT doc_id, p, txt, start FROM gone WHERE q = 0),
+parts_gone AS (SELECT g.* FROM gone g ANTI JOIN lines_gone l USING (doc_id, p) WHERE q > 0),
+spans AS (
+  SELECT doc_id, string_agg(start || ':' || strlen(txt), ',' ORDER BY start) AS removed, count(*) AS n_removed
+  FROM (SELECT doc_id, txt, start FROM lines_gone UNION ALL SELECT doc_id, txt, start FROM parts_gone) GROUP BY doc_id
+), less AS (
+  SELECT a.doc_id, a.p, coalesce(string_agg(a.txt, '' ORDER BY a.q) FILTER (g.txt IS NULL), '') AS line
+  FROM (SELECT * FROM parts SEMI JOIN parts_gone USING (doc_id, p)) a LEFT JOIN parts_gone g USING (doc_id, p, q) GROUP BY a.doc_id, a.p
+), texts AS (
+  SELECT c.doc_id, string_agg(coalesce(l.line, c.line), chr(10) ORDER BY c.p) AS text
+  FROM (SELECT * FROM cut ANTI JOIN lines_gone USING (doc_id, p)) c LEFT JOIN less l USING (doc_id, p)
+  WHERE l.line IS NULL OR regexp_matches(l.line, '[^\x20\x09-\x0D]') GROUP BY c.doc_id
+), counts AS (SELECT doc_id, count(*) AS n_units FROM units GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_units, 0) AS n_units, coalesce(n_removed, 0) AS n_removed, coalesce(removed, '') AS removed,
+  CASE WHEN d.text IS NOT NULL THEN coalesce(t.text, '') END AS text
+FROM documents d LEFT JOIN counts USING (doc_id) LEFT JOIN spans USING (doc_id) LEFT JOIN texts t USING (doc_id)
 """
