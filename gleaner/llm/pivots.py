@@ -92,7 +92,7 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
     spot = F.pmod(F.xxhash64("x", F.lit(3)), F.lit(1 << 40))
     sample = vectors.select("x", "vec").filter(spot < int((1 << 40) * min(1.0, 4 * count / max(1, n)))).collect()
     sample.sort(key=lambda r: xxhash.xxh3_64_intdigest(str(r["x"]).encode()))
-    points = choose_pivots(np.array([np.frombuffer(r["vec"]) for r in sample]).reshape(-1, dim), count)
+    points = choose_pivots(np.array([np.frombuffer(r["vec"]) for r in sample]).reshape(len(sample), dim), count)
     out = base.select("id", "d1", "d2").join(classes, ["d1", "d2"], "left")
     if len(points):
         held = df.sparkSession.sparkContext.broadcast(points)  # at most 16,384 vectors
