@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize
+from .shared import discard, materialize
 
 
 def _star(edges: DataFrame, larger: bool) -> DataFrame:
@@ -18,7 +18,10 @@ def _star(edges: DataFrame, larger: bool) -> DataFrame:
         out = moved.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
         out = moved.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
-    return out.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    out = materialize(out.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+    discard(edges)
+    discard(least)
+    return out
 
 
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
@@ -29,7 +32,7 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     now = materialize(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     mark = None
     for _ in range(rounds):
-        now = materialize(_star(_star(now, True), False), "links")
+        now = _star(_star(now, True), False)
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(seen) == mark:
             return now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))

@@ -24,9 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components, local_labels
-from .shared import map_rows, materialize
+from .shared import discard, map_rows, materialize
 
 GROWTH = 1.4
+#: Sets in a block at most.
+BLOCK = 1024
+#: Fragments beyond the necessary ones, in hundredths of these.
+SPARE = 18
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -77,7 +81,12 @@ def size_classes(most: int) -> list[int]:
 
 
 def fragment_keys(hashes: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Keys of the fragments of one set, by which any set that links with it can be found."""
+    """Keys of the fragments of one set, by which any set that links with it can be found.
+
+    Of p fragments, p - d are the same in both sets where d n-grams differ at most. Small fragments are alike by chance,
+    so p is larger than d + 1 by a part, and a set whose fragments of at most s n-grams are fewer than p - d gives no key
+    for these (the largest s up to 1): among the p - d equal ones there is a larger one, which has a key in both sets.
+    """
     n = len(hashes)
     bounds = size_classes(n)
     c = len(bounds) - 2
@@ -86,11 +95,15 @@ def fragment_keys(hashes: np.ndarray, num: int, den: int) -> np.ndarray:
     marks, out = mix64(hashes + np.uint64(0x9E3779B97F4A7C15)), []
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(marks)])
     for s in schemes:
-        parts = 2 * (bounds[s + 1] - 1) * (den - num) // (den + num) + 1
+        differ = 2 * (bounds[s + 1] - 1) * (den - num) // (den + num)
+        parts = differ + 1 + -(-differ * SPARE // 100)
         part = ((hashes >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
         cuts = np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64))
+        size = np.diff(cuts)
+        least = max([0, *(k + 1 for k in (0, 1) if (size <= k).sum() < parts - differ)])
         whole = sums[cuts[1:]] - sums[cuts[:-1]]
-        out.append(mix64(whole + mix64(np.arange(parts, dtype=np.uint64) + np.uint64(s << 32))))
+        keys = mix64(whole + mix64(np.arange(parts, dtype=np.uint64) + np.uint64(s << 32)))
+        out.append(keys[size >= least])
     return np.concatenate(out)
 
 
@@ -134,7 +147,7 @@ def link_blocks(ids: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right
     return [(int(i), int(x)) for i, x in zip(ids, label, strict=True) if i != x]
 
 
-def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, num: int = 90, den: int = 100, weight: int = 32_768) -> DataFrame:
+def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, num: int = 90, den: int = 100, weight: int = 65_536) -> DataFrame:
     """One row for each input row: id, n_shingles (size of its set), component_id (least id reachable by links).
 
     Links: den * |intersection| >= num * |union| over sets of distinct word n-grams (64-bit hashes) of the lower-cased
@@ -157,36 +170,56 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
         return each
 
-    base = materialize(map_rows(df, f"id {kind}, n long, d1 long, d2 long, keys binary", describe, [id_col, text_col]), "jaccard-sets")
+    keyed = materialize(map_rows(df, f"id {kind}, n long, d1 long, d2 long, keys binary", describe, [id_col, text_col]), "jaccard-keyed")
+    base = materialize(keyed.drop("keys"), "jaccard-sets")
     classes = materialize(base.filter("n > 0").groupBy("d1", "d2", "n").agg(F.min("id").alias("rep")), "jaccard-classes")
     reps = classes.filter("rep is not null").select(F.col("rep").cast("long").alias("x"), "d1", "d2", "n")
-
-    chosen = base.filter("n > 0").select(F.col("id").cast("long").alias("x"), "d1", "d2", "n", "keys").join(reps, ["x", "d1", "d2", "n"], "left_semi").dropDuplicates(["x"])
-    entries = _explode_keys(chosen.select("x", "keys"))
+    chosen = keyed.filter("n > 0").select(F.col("id").cast("long").alias("x"), "d1", "d2", "n", "keys").join(reps, ["x", "d1", "d2", "n"], "left_semi").dropDuplicates(["x"])
+    chosen = materialize(chosen.select("x", "keys"), "jaccard-chosen")
+    discard(keyed)
+    entries = _explode_keys(chosen)
     common = materialize(entries.groupBy("k").agg(F.min("x").alias("anchor"), F.count("*").alias("c")).filter("c > 1").select("k", "anchor"), "jaccard-keys")
     meets = materialize(entries.join(common, "k").select("anchor", "x").distinct(), "jaccard-meets")
+    discard(chosen)
+    discard(common)
     members = materialize(meets.select("x").distinct(), "jaccard-members")
 
     def gather():
         table = WordHash()
 
         def each(key, text):
-            yield key, (hashes := ngram_hashes(text, words, table)).tobytes(), len(hashes)
+            hashes = ngram_hashes(text, words, table)
+            yield key, short_bytes(hashes), len(hashes)
 
         return each
 
     texts = df.select(F.col(id_col).cast("long").alias("x"), F.col(text_col).alias("t")).join(members, "x").dropDuplicates(["x"])
     sets = materialize(map_rows(texts, "x long, grams binary, n long", gather, ["x", "t"]), "jaccard-grams")
     sized = materialize(meets.join(sets.select("x", "n"), "x"), "jaccard-sizes")
-    heavy = materialize(sized.groupBy("anchor").agg(F.greatest(F.lit(1), F.ceil(F.sum("n") / weight)).cast("int").alias("blocks")), "jaccard-blocks")
+    blocks = F.greatest(F.lit(1), F.ceil(F.sum("n") / weight), F.ceil(F.count("*") / BLOCK)).cast("int")
+    heavy = materialize(sized.groupBy("anchor").agg(blocks.alias("blocks")), "jaccard-blocks")
     dealt = sized.join(heavy, "anchor").withColumn("own", F.pmod(F.xxhash64("x"), F.col("blocks")).cast("int"))
     units = dealt.select("anchor", "x", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     units = units.select("anchor", "x", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    links = components(_count(units.join(sets.select("x", "grams"), "x"), num, den))
-    out = base.select("id", "n", "d1", "d2").join(classes, ["d1", "d2", "n"], "left").join(links, F.col("rep").cast("long") == F.col("node"), "left")
+    found = materialize(_count(units.join(sets.select("x", "grams"), "x"), num, den), "jaccard-links")
+    for table in (meets, members, sets, sized, heavy):
+        discard(table)
+    links = components(found)
+    out = base.join(classes, ["d1", "d2", "n"], "left").join(links, F.col("rep").cast("long") == F.col("node"), "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", F.col("rep").cast("long"), F.col("id").cast("long")).alias("component_id"))
 
 
+def short_bytes(hashes: np.ndarray) -> bytes:
+    """The upper 48 bits of sorted hashes, six bytes each: among the sets of one task as good as all 64."""
+    return (hashes >> np.uint64(16)).astype(">u8").view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
+
+
+def long_hashes(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return out.view(">u8").ravel().astype(np.uint64)
+
+
 def _explode_keys(rows: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
@@ -200,7 +233,7 @@ def _count(units: DataFrame, num: int, den: int) -> DataFrame:
     def run(table: pa.Table) -> pa.Table:
         ids, own = table["x"].to_numpy(), table["own"].to_numpy()
         i, j = table["i"][0].as_py(), table["j"][0].as_py()
-        links = link_blocks(ids, [np.frombuffer(g.as_buffer(), np.uint64) for c in table["grams"].chunks for g in c], own == i, own == j, num, den) if len(ids) > 1 else []
+        links = link_blocks(ids, [long_hashes(g.as_py()) for c in table["grams"].chunks for g in c], own == i, own == j, num, den) if len(ids) > 1 else []
         return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
 
     return units.groupBy("anchor", "i", "j").applyInArrow(run, "a long, b long")
