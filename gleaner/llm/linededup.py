@@ -32,22 +32,28 @@ def parts_of(unit: bytes, min_words: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(starts, [*starts[1:], len(unit)], strict=True)]
 
 
-def units(text: bytes, unit: str, min_words: int, min_part: int):
-    """(position, part, start, length, digest); part 0 is the whole unit. Offsets are in bytes of UTF-8."""
+def spans_of(text: bytes, unit: str, min_words: int, min_part: int):
+    """(position, part, start, length) of a text's units; part 0 is the whole unit. Offsets are in bytes of UTF-8."""
     mark = SEPARATORS[unit]
     start = 0
     for position, whole in enumerate(text.split(mark)):
-        words = whole.lower().split()
-        if len(words) >= min_words:
-            yield position, 0, start, len(whole), xxhash.xxh3_128_digest(b" ".join(words))
-        if len(words) > min_part:
+        words = len(whole.split())
+        if words >= min_words:
+            yield position, 0, start, len(whole)
+        if words > min_part and _END.search(whole):
             parts = parts_of(whole, min_part)
-            if sum(n > 0 for _, n in parts) > 1:
+            if len(parts) > 2 or len(parts) == 2 and parts[0][1]:
                 for i, (a, n) in enumerate(parts[1:], 1):
-                    yield position, i, start + a, n, xxhash.xxh3_128_digest(b" ".join(whole[a : a + n].lower().split()))
+                    yield position, i, start + a, n
         start += len(whole) + len(mark)
 
 
+def digest(unit: bytes) -> tuple[int, int]:
+    """128 bits of a unit's normalised text."""
+    d = xxhash.xxh3_128_intdigest(b" ".join(unit.lower().split()))
+    return (d >> 64) - (1 << 63), (d & (1 << 64) - 1) - (1 << 63)
+
+
 def cut_spans(text: bytes, spans: set[tuple[int, int]], mark: bytes) -> tuple[bytes, list[tuple[int, int]]]:
     """The text without the given spans, and those of them that were cut: units go with their separator; of others parts
     go, and a unit of which only white space would be left goes as a whole."""
@@ -89,12 +95,13 @@ def dedup_units(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", u
 
     def find():
         def each(key, text):
-            for position, part, start, length, digest in units(text or b"", unit, min_words, min_part):
-                yield key, position, part, start, length, int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
+            text = text or b""
+            for position, part, start, length in spans_of(text, unit, min_words, min_part):
+                yield key, position, part, start, length, *digest(text[start : start + length])
 
         return each
 
-    found = materialize(map_rows(df.filter(F.col(id_col).isNotNull()), f"id {kind}, p int, q int, start long, length long, d1 long, d2 long", find, [id_col, text_col]), "units").distinct()
+    found = materialize(map_rows(df.filter(F.col(id_col).isNotNull()), f"id {kind}, p int, q int, start long, length long, d1 long, d2 long", find, [id_col, text_col]), "units")
     first = found.groupBy("d1", "d2").agg(F.min(F.struct("id", "p", "q")).alias("first"), F.count("*").alias("c")).filter("c > 1")
     first = materialize(first, "repeats")  # read back: the join has exchanges of its own, which can be split
     later = (F.col("id") != F.col("first.id")) | (F.col("p") != F.col("first.p")) | (F.col("q") != F.col("first.q"))
@@ -109,7 +116,7 @@ def dedup_units(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", u
                 yield key, 0, 0, [], None, *rest
             else:
                 left, spans = cut_spans(text, {(r["start"], r["length"]) for r in removed or []}, mark)
-                n = sum(1 for _ in units(text, unit, min_words, min_part)) if key is not None else 0
+                n = sum(1 for _ in spans_of(text, unit, min_words, min_part)) if key is not None else 0
                 yield key, n, len(spans), [{"start": a, "length": b} for a, b in spans], left.decode("utf-8", "replace"), *rest
 
         return each
