@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .functions import decoders, patterns, text as tx, urls
-from .operators import results
+from .operators import export, results
 from .operators.kernel import scan_bytes
-from .operators.scan import scan_column
+from .operators.scan import scan_column, scan_lines
 from .plans.options import FileSelection, Options
 from .sources.files import select_files
 from .sources.inspect import hex_lines
+from .sources.spans import label_offsets, plan_spans
 from .streaming.live import first_seen
 
 URLS = Options(mode="urls", base64=False, hex=False, utf16=False, escaped=False)
@@ -223,6 +224,21 @@ SELECT doc_id, printf('%012X', pos) AS "offset", rtrim(regexp_replace(h, '(..)',
   WHERE h <> ''"""
 
 
+def _span_rows(spark, d):
+    """Spans of one dump for each source, from documents: a page each, some unreadable, with the language as label."""
+    return _docs(spark, d).select("source", (F.col("doc_id") * 4096).alias("base"), (F.col("n_chars") % 4096 + 1).alias("size"), (F.col("n_chars") % 5 != 0).alias("readable"), F.col("lang").alias("label"))
+
+
+def _points(spark, d):
+    """Findings at addresses of a dump, from conversations."""
+    return spark.read.parquet(f"{d}/conversations.parquet").select(
+        F.col("role").alias("group"), F.concat("conv_id", F.lit("/"), "turn").alias("value"), F.lit("ASCII").alias("encoding"), F.concat(F.lit("src"), F.col("turn") % 3).alias("source"), (F.col("conv_id") * 4099 + F.col("turn") * 13).alias("offset")
+    )
+
+
+_SPANS_SQL = "SELECT source, doc_id * 4096 AS base, n_chars % 4096 + 1 AS size, n_chars % 5 <> 0 AS readable, lang AS label FROM documents"
+
+
 def catalogue() -> dict[str, tuple]:
     """name: (query, SQL)."""
     url_cols = lambda df: df.select(F.regexp_extract("source", "([0-9]+)$", 1).cast("long").alias("page_id"), "value", F.col("group").alias("host"), urls.url_scheme(F.col("value")).alias("scheme"))
@@ -307,6 +323,27 @@ def catalogue() -> dict[str, tuple]:
             lambda s, d: _page_urls(s, d, lambda: F.concat(F.lit('=say "'), F.col("url"))).select(tx.json_object().alias("line")),
             f"""SELECT '{{"group":"' || host || '","value":"' || value || '","encoding":"ASCII","source":"' || source || '","offset":6,"contextBefore":"=say \\"","contextAfter":"' || substr(url, length(value) + 1) || '","captures":{{}}}}' AS line FROM ({_PAGE_SQL})""",
         ),
+        "sample_lines": (
+            lambda s, d: scan_lines(_docs(s, d), "text", _regex("email", "ipv4")).select("group", "value", "source", "offset"),
+            "SELECT \"group\", value, source, CAST(\"offset\" AS BIGINT) AS \"offset\" FROM (" + _found_sql(*[_hits_sql(n, "line", "(SELECT unnest(regexp_split_to_array(text, '\\r?\\n')) AS line FROM documents)", "'Sample'") for n in ("email", "ipv4")]) + ")",
+        ),
+        "export_plain_rows": (
+            lambda s, d: export.lines(_pair(s, d), "plain").filter("line <> ''"),
+            f"""WITH f AS (SELECT DISTINCT "group", value FROM ({_BOTH})) SELECT value AS line FROM f UNION ALL SELECT "group" || '  (' || count(*) || ')' FROM f GROUP BY "group\"""",
+        ),
+        "span_plan": (
+            lambda s, d: plan_spans(_span_rows(s, d), 4096, 0, 50_000),
+            f"""SELECT source, label, base, CAST(least(size, 50000 - used) AS BIGINT) AS size FROM (
+              SELECT source, label, base, size, coalesce(sum(size) OVER (PARTITION BY source ORDER BY base ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM (
+                SELECT source, label, greatest(base, 4096) AS base, base + size - greatest(base, 4096) AS size FROM ({_SPANS_SQL}) WHERE readable AND base + size > greatest(base, 4096)))
+              WHERE used < 50000""",
+        ),
+        "span_labels": (
+            lambda s, d: label_offsets(_points(s, d), _span_rows(s, d)),
+            f"""WITH p AS (SELECT role AS "group", conv_id || '/' || turn AS value, 'ASCII' AS encoding, 'src' || turn % 3 AS source, conv_id * 4099 + turn * 13 AS "offset" FROM conversations)
+              SELECT "group", value, encoding, CASE WHEN label IS NULL THEN p.source ELSE p.source || ' [' || label || ']' END AS source, "offset"
+              FROM p LEFT JOIN ({_SPANS_SQL}) s ON s.source = p.source AND "offset" >= base AND "offset" < base + size""",
+        ),
         "inspect_bytes": (_inspect, _INSPECT_SQL),
         "file_selection": (_files, _FILES_SQL),
         "live_first_seen": (
