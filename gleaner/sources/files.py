@@ -6,7 +6,7 @@ import glob as _glob
 import os
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -155,3 +155,10 @@ def scan_chunks(spark: SparkSession, path: str, options: Options | None = None,
 def unreadable(chunks: DataFrame) -> DataFrame:
     """The sources that could not be read."""
     return chunks.filter("status = 'unreadable'").select("source").distinct()
+
+
+def observed(chunks: DataFrame) -> tuple[DataFrame, Observation]:
+    """The chunks, and counts that are known once an action has read them: bytes, windows, unreadable sources."""
+    seen = Observation("scan")
+    counts = [F.coalesce(F.sum(F.octet_length("data")), F.lit(0)).alias("bytes"), F.count_if(F.col("status") == "read").alias("windows"), F.count_if(F.col("status") == "unreadable").alias("unreadable")]
+    return chunks.observe(seen, *counts), seen

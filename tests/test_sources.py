@@ -8,7 +8,8 @@ from gleaner import cli, sql
 from gleaner.operators.kernel import FINDINGS
 from gleaner.plans import presets
 from gleaner.plans.options import FileSelection, Job, OptionError, Options
-from gleaner.sources.files import scan_chunks, scan_paths, unreadable
+from gleaner.plans.control import cancel, cancellable
+from gleaner.sources.files import observed, scan_chunks, scan_paths, unreadable
 from gleaner.sources.inspect import hex_lines
 from gleaner.sources.spans import label_offsets, pe_sections, plan_spans, read_sections
 from gleaner.sources.store import Store
@@ -42,6 +43,33 @@ def test_chunks_do_not_depend_on_the_window(spark, tree):
     assert unreadable(bad).first()["source"] == f"{tree}/none"
 
 
+def test_progress_and_cancel(spark, tree):
+    import threading
+    import time
+
+    rows, seen = observed(spark.read.format("bytechunks").load(f"{tree}/one.TXT,{tree}/none"))
+    rows.count()
+    assert seen.get == {"bytes": 347, "windows": 1, "unreadable": 1}
+    stopped = []
+
+    def work():
+        try:
+            with cancellable(spark, "slow"):
+                spark.range(0, 4, 1, 2).mapInArrow(lambda batches: (time.sleep(20) or b for b in batches), "id long").count()
+        except Exception as e:
+            stopped.append(e)
+
+    t = threading.Thread(target=work)
+    t.start()
+    for _ in range(100):
+        time.sleep(0.2)
+        cancel(spark, "slow")
+        if not t.is_alive():
+            break
+    t.join(30)
+    assert stopped
+
+
 def test_spans_and_sections(spark):
     spans = spark.createDataFrame([("p", 0, 100, True, "heap"), ("p", 200, 100, True, ""), ("p", 400, 50, False, "x")], "source string, base long, size long, readable boolean, label string")
     assert [(r["base"], r["size"]) for r in plan_spans(spans, 10, 0, 120).orderBy("base").collect()] == [(10, 90), (200, 30)]
