@@ -17,6 +17,8 @@ What is counted by a key is written before it is joined: a join right above its
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -147,14 +149,15 @@ def link_blocks(ids: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right
     return [(int(i), int(x)) for i, x in zip(ids, label, strict=True) if i != x]
 
 
-def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, num: int = 90, den: int = 100, weight: int = 65_536) -> DataFrame:
+def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, num: int = 90, den: int = 100, weight: int = 65_536, passes: int = 4) -> DataFrame:
     """One row for each input row: id, n_shingles (size of its set), component_id (least id reachable by links).
 
     Links: den * |intersection| >= num * |union| over sets of distinct word n-grams (64-bit hashes) of the lower-cased
     whole text. Null, empty and blank texts have size 0 and are linked with nothing: component_id is the id itself. Equal
     sets are linked. A null id gets the component of its class, and never names one. Ids are integers and should be
     unique: rows of one id are one document. Other columns are ignored, whatever their names.
-    weight: n-grams in a block, the unit in which an anchor's sets are dealt to tasks.
+    weight: n-grams in a block, the unit in which an anchor's sets are dealt to tasks. passes: parts of the keys that are
+    looked at one after the other, so that their shuffles need as much less disk.
     """
     kind = dict(df.dtypes)[id_col]
 
@@ -174,14 +177,17 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     base = materialize(keyed.drop("keys"), "jaccard-sets")
     classes = materialize(base.filter("n > 0").groupBy("d1", "d2", "n").agg(F.min("id").alias("rep")), "jaccard-classes")
     reps = classes.filter("rep is not null").select(F.col("rep").cast("long").alias("x"), "d1", "d2", "n")
-    chosen = keyed.filter("n > 0").select(F.col("id").cast("long").alias("x"), "d1", "d2", "n", "keys").join(reps, ["x", "d1", "d2", "n"], "left_semi").dropDuplicates(["x"])
-    chosen = materialize(chosen.select("x", "keys"), "jaccard-chosen")
+    chosen = materialize(keyed.filter("n > 0").select(F.col("id").cast("long").alias("x"), "keys").join(reps.select("x").distinct(), "x", "left_semi"), "jaccard-chosen")
     discard(keyed)
-    entries = _explode_keys(chosen)
-    common = materialize(entries.groupBy("k").agg(F.min("x").alias("anchor"), F.count("*").alias("c")).filter("c > 1").select("k", "anchor"), "jaccard-keys")
-    meets = materialize(entries.join(common, "k").select("anchor", "x").distinct(), "jaccard-meets")
-    discard(chosen)
-    discard(common)
+    parts = []
+    for turn in range(passes):
+        entries = _explode_keys(chosen, turn, passes)
+        common = materialize(entries.groupBy("k").agg(F.min("x").alias("anchor"), F.count("*").alias("c")).filter("c > 1").select("k", "anchor"), "jaccard-keys")
+        parts.append(materialize(entries.join(common, "k").select("anchor", "x").distinct(), "jaccard-meets"))
+        discard(common)
+    meets = materialize(reduce(DataFrame.union, parts).distinct(), "jaccard-meets")
+    for table in (chosen, *parts):
+        discard(table)
     members = materialize(meets.select("x").distinct(), "jaccard-members")
 
     def gather():
@@ -220,11 +226,15 @@ def long_hashes(data: bytes) -> np.ndarray:
     return out.view(">u8").ravel().astype(np.uint64)
 
 
-def _explode_keys(rows: DataFrame) -> DataFrame:
+def _explode_keys(rows: DataFrame, turn: int, passes: int) -> DataFrame:
+    """(k, x) of the keys whose turn it is."""
+
     def run(batches):
         for batch in batches:
             ids, keys = batch.column(0).to_numpy(), batch.column(1).to_pylist()
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(keys), np.int64)), pa.array(np.repeat(ids, [len(k) // 8 for k in keys]))], ["k", "x"])
+            k, x = np.frombuffer(b"".join(keys), np.uint64), np.repeat(ids, [len(b) // 8 for b in keys])
+            own = k % np.uint64(passes) == turn
+            yield pa.RecordBatch.from_arrays([pa.array(k[own].view(np.int64)), pa.array(x[own])], ["k", "x"])
 
     return rows.mapInArrow(run, "k long, x long")
 
