@@ -1,5 +1,6 @@
 """Language-model scoring: a gated recurrent network over words with a class-factored softmax, trained in numpy by
-truncated backpropagation, its state carried across windows so that a document is scored as a whole.
+truncated backpropagation on all training documents, its state carried across windows so that a document is learned and
+scored as a whole.
 
 Word counts cover every training document: they are summed in tasks, then by a shuffle. The most common words (a bounded
 number) go to all tasks; what a document holds beyond them is looked up in the counts by a join. The network's own
@@ -9,6 +10,7 @@ word's probability is (c + 1) / (n + v + 1) with the class's n tokens and v word
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections import Counter
 
@@ -18,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize
+from .shared import discard, materialize
 
 END = b" "  # no word has a space
 LONG = 64
@@ -163,27 +165,44 @@ class Network:
         grads["b"] = rows.sum(axis=0)
         return float(-(lp * weight).sum() / count), {k: v / np.float32(count) for k, v in grads.items()}, states[-1]
 
-    def fit(self, texts: list[np.ndarray], epochs: int = 3, lanes: int = 128, window: int = 16, rate: float = 0.01, seed: int = 5) -> list[float]:
-        """Adam over windows; each lane reads text after text, its state carried on within a text."""
-        rng, step, losses = np.random.default_rng(seed), 0, []
-        m = {k: np.zeros_like(v) for k, v in self.p.items()}
-        v = {k: np.zeros_like(x) for k, x in self.p.items()}
-        for _ in range(epochs):
-            for inputs, targets, real, fresh in windows([texts[i] for i in rng.permutation(len(texts))], lanes, window, self.words):
-                if step == 0 or len(fresh) != len(state):
-                    state = np.zeros((len(fresh), self.h), np.float32)
-                state = np.where(fresh[:, None], np.float32(0), state)
-                loss, g, state = self.gradients(inputs, targets, real, state)
-                losses.append(loss)
-                step += 1
-                norm = math.sqrt(sum(float((x * x).sum()) for x in g.values()))
-                clip, pace = np.float32(min(1, 1 / max(norm, 1e-9))), np.float32(rate * math.sqrt(1 - 0.999**step) / (1 - 0.9**step))
-                for k, x in g.items():
-                    x = x * clip
-                    m[k] += np.float32(0.1) * (x - m[k])
-                    v[k] += np.float32(0.001) * (x * x - v[k])
-                    self.p[k] -= pace * m[k] / (np.sqrt(v[k]) + np.float32(1e-8))
-        return losses
+    def start_training(self) -> np.ndarray:
+        """What training carries on from: weights, both of Adam's moments and its number of steps, in one vector."""
+        flat = np.concatenate([x.reshape(-1) for x in self.p.values()])
+        return np.concatenate([flat, np.zeros(2 * len(flat) + 1, np.float32)])
+
+    def _parts(self, flat: np.ndarray) -> dict[str, np.ndarray]:
+        cuts = np.cumsum([x.size for x in self.p.values()])[:-1]
+        return {k: part.reshape(x.shape).copy() for (k, x), part in zip(self.p.items(), np.split(flat, cuts), strict=True)}
+
+    def load(self, vector: np.ndarray) -> None:
+        self.p = self._parts(vector[: len(vector) // 3])
+
+    def fit(self, texts: list[np.ndarray], vector: np.ndarray, lanes: int = 128, window: int = 16, rate: float = 0.01, seed: int = 5) -> tuple[np.ndarray, int]:
+        """Adam over windows of the whole texts, from where `vector` left off; each lane reads text after text, its state
+        carried on within a text. Returns the vector afterwards and the number of tokens trained. A window of fewer tokens
+        than full lanes hold takes a step shorter in proportion."""
+        size = len(vector) // 3
+        self.load(vector)
+        m, v, step = self._parts(vector[size : 2 * size]), self._parts(vector[2 * size : -1]), int(vector[-1])
+        state, seen = np.zeros((0, self.h), np.float32), 0
+        queues = dealt([len(t) for t in texts], lanes, seed)
+        for inputs, targets, real, fresh, _, still in windows(texts, len(queues), window, self.words, True, queues):
+            state = state[still] if len(state) else np.zeros((len(fresh), self.h), np.float32)
+            state = np.where(fresh[:, None], np.float32(0), state)
+            _, g, state = self.gradients(inputs, targets, real, state)
+            step += 1
+            tokens = int(real.sum())
+            seen += tokens
+            norm = math.sqrt(sum(float((x * x).sum()) for x in g.values()))
+            share = tokens / (len(queues) * window)
+            clip, pace = np.float32(min(1, 1 / max(norm, 1e-9))), np.float32(share * rate * math.sqrt(1 - 0.999**step) / (1 - 0.9**step))
+            for k, x in g.items():
+                x = x * clip
+                m[k] += np.float32(0.1) * (x - m[k])
+                v[k] += np.float32(0.001) * (x * x - v[k])
+                self.p[k] -= pace * m[k] / (np.sqrt(v[k]) + np.float32(1e-8))
+        flat = [x.reshape(-1) for part in (self.p, m, v) for x in part.values()]
+        return np.concatenate([*flat, np.array([step], np.float32)]), seen
 
     def score(self, texts: list[np.ndarray], lanes: int = 256, window: int = 32) -> np.ndarray:
         """Natural log-probability of each whole text (its words outside the vocabulary as their class alone)."""
@@ -199,13 +218,28 @@ class Network:
         return out
 
 
-def windows(texts: list[np.ndarray], lanes: int, window: int, words: int, owners: bool = False):
+def dealt(lengths: list[int], lanes: int, seed: int) -> list[list[int]]:
+    """Texts of each lane: lanes of nearly equal length, no more of them than keep each as long as the longest text; the
+    texts of a lane in random order."""
+    lanes = max(1, min(lanes, len(lengths), sum(lengths) // max(lengths, default=1)))
+    out: list[list[int]] = [[] for _ in range(lanes)]
+    heap = [(0, k) for k in range(lanes)]
+    for i in sorted(range(len(lengths)), key=lambda i: -lengths[i]):
+        load, k = heap[0]
+        out[k].append(i)
+        heapq.heapreplace(heap, (load + lengths[i], k))
+    rng = np.random.default_rng(seed)
+    return [[x[i] for i in rng.permutation(len(x))] for x in out if x]
+
+
+def windows(texts: list[np.ndarray], lanes: int, window: int, words: int, owners: bool = False, queues: list[list[int]] | None = None):
     """Windows (steps, lanes) of inputs, targets, which are real and which lanes begin a text; lanes without text go.
 
     owners: also the text of each lane, and the lanes of the window before that are still there.
+    queues: the texts of each lane; by default a lane takes the next text that no other has taken.
     """
-    queue = iter(range(len(texts)))
-    text = [i for _, i in zip(range(lanes), queue)]
+    own = [iter(q) for q in queues] if queues is not None else [iter(range(len(texts)))] * min(lanes, len(texts))
+    text = [next(q) for q in own]
     at, fresh, still = [0] * len(text), [True] * len(text), np.arange(len(text))
     while text:
         inputs, targets = np.full((window, len(text)), words + 1, np.int64), np.full((window, len(text)), words, np.int64)
@@ -223,11 +257,11 @@ def windows(texts: list[np.ndarray], lanes: int, window: int, words: int, owners
             at[k] += window
             fresh[k] = False
             if at[k] >= len(texts[i]):
-                text[k] = next(queue, -1)
+                text[k] = next(own[k], -1)
                 at[k], fresh[k] = 0, True
             if text[k] >= 0:
                 keep.append(k)
-        text, at, fresh, still = [text[k] for k in keep], [at[k] for k in keep], [fresh[k] for k in keep], np.array(keep, np.int64)
+        own, text, at, fresh, still = [own[k] for k in keep], [text[k] for k in keep], [at[k] for k in keep], [fresh[k] for k in keep], np.array(keep, np.int64)
 
 
 class Scorer:
@@ -235,6 +269,7 @@ class Scorer:
 
     def __init__(self, words: list[bytes], counts: np.ndarray, n: int, v: int, network: Network):
         self.words, self.counts, self.n, self.v, self.network = words, counts, n, v, network
+        self.trained = 0  # tokens that the network was trained on, over all passes
         self.rest = max(0, n - int(counts[: network.words].sum())) + max(0, v - network.words) + 1
 
 
@@ -243,9 +278,9 @@ class Index(dict):
         return -1
 
 
-def build(df: DataFrame, train, id_col: str = "doc_id", text_col: str = "text", common: int = 200_000, vocabulary: int = 2048, sample: int = 3000, span: int = 192) -> tuple[Scorer, DataFrame]:
-    """Counts over all training rows, and a network fitted on about `sample` spans of at most `span` tokens, each at a
-    place in its text that a hash picks. Returns the scorer and the counts table."""
+def build(df: DataFrame, train, id_col: str = "doc_id", text_col: str = "text", common: int = 200_000, vocabulary: int = 2048, shard: int = 1 << 20) -> tuple[Scorer, DataFrame]:
+    """Counts over all training rows, and a network trained on all tokens of all of them, in whole texts (see train).
+    Returns the scorer and the counts table."""
     rows = df.filter(train)
     counts = materialize(word_counts(rows, text_col), "word-counts")
     total = counts.agg(F.sum("c"), F.count("*")).first()
@@ -260,27 +295,75 @@ def build(df: DataFrame, train, id_col: str = "doc_id", text_col: str = "text",
     head = sorted(((bytes(r["word"]), r["c"]) for r in head), key=lambda x: (x[0] != END, -x[1], x[0]))
     words, c = [w for w, _ in head], np.array([k for _, k in head], np.int64)
     network = Network(max(1, min(vocabulary, len(words))))
+    scorer = Scorer(words, c, n, v, network)
     if len(words):
         network.start(c[: network.words], max(0, n - int(c[: network.words].sum())))
-    docs = rows.agg(F.count("*")).first()[0]
-    chance = min(1.0, sample / max(1, docs))
-    spot = F.pmod(F.xxhash64(F.col(id_col), F.lit(9)), F.lit(1 << 40))
+        scorer.trained = train_network(rows, network, words[: network.words], n, id_col, text_col, shard)
+    return scorer, counts
+
 
-    def cut(batches):
+def train_network(rows: DataFrame, network: Network, words: list[bytes], n: int, id_col: str, text_col: str, shard: int, enough: int = 1_700_000, pieces: int = 16) -> int:
+    """Train on every token of the rows, n in all; returns the number of tokens trained.
+
+    Texts are dealt by a hash of id and text into rounds, and in a round into shards of about `shard` tokens. Each shard
+    is trained in a task of its own, from the weights that the round before ended with; a round ends with the average of
+    its shards' weights and moments, weighted by tokens, which is summed in pieces and in two steps. The number of shards
+    grows with n, what a task holds doesn't. Of few tokens, under `enough`, up to three passes are made, and else one.
+    """
+    shards = max(1, -(-n // shard))
+    rounds = max(1, min(32, shards // 6))
+    per = -(-shards // rounds)
+    shared = rows.sparkSession.sparkContext.broadcast(words)
+
+    def encode(batches):
+        own = Index({w: i for i, w in enumerate(shared.value)})
+        other = len(own)
         for batch in batches:
-            keys, out = batch.column(0).to_pylist(), []
-            for k, text in zip(keys, batch.column(1), strict=True):
-                t = tokens_of(text.as_py())
-                at = k % max(1, len(t) - span + 1)
-                out.append(t[at : at + span])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.binary()))], ["k", "t"])
-
-    picked = rows.filter(spot < int(chance * (1 << 40))).select(spot.alias("k"), F.col(text_col).cast("binary").alias("t")).mapInArrow(cut, "k long, t array<binary>").collect()
-    own = Index({w: i for i, w in enumerate(words[: network.words])})
-    texts = [np.array([own[w] if own[w] >= 0 else network.words for w in map(bytes, r["t"])], np.int64) for r in sorted(picked, key=lambda r: (r["k"], [bytes(w) for w in r["t"]]))]
-    if len(words):
-        network.fit(texts)
-    return Scorer(words, c, n, v, network), counts
+            for lo in range(0, batch.num_rows, 2048):
+                part = batch.slice(lo, 2048)
+                out = []
+                for text in part.column(1):
+                    at = np.fromiter(map(own.__getitem__, tokens_of(text.as_py())), np.int32)
+                    out.append(np.where(at < 0, other, at).astype(np.int32).tobytes())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, pa.binary())], ["k", "t"])
+
+    key = F.xxhash64(F.col(id_col), F.col(text_col), F.lit(9))
+    texts = rows.select(key.alias("k"), F.col(text_col).cast("binary").alias("t")).mapInArrow(encode, "k long, t binary")
+    place = F.pmod(F.col("k"), F.lit(rounds * per))
+    texts = materialize(texts.select("k", "t", (place % per).cast("int").alias("shard"), F.floor(place / per).cast("int").alias("round")), "lm-tokens", by="round")
+    vector, trained = network.start_training(), 0
+    schema = "shard int, piece int, tokens long, part binary"
+
+    for turn in range(max(1, min(3, -(-enough // n)))):
+        for r in range(rounds):
+            held = rows.sparkSession.sparkContext.broadcast((network, vector))
+
+            def learn(table: pa.Table) -> pa.Table:
+                net, start = held.value
+                order = table.sort_by([("k", "ascending"), ("t", "ascending")])
+                after, seen = net.fit([np.frombuffer(t.as_py(), np.int32) for t in order["t"]], start, seed=5 + turn)
+                parts = [p.tobytes() for p in np.array_split(after, pieces)]
+                return pa.table({"shard": pa.array([order["shard"][0].as_py()] * pieces, pa.int32()), "piece": pa.array(range(pieces), pa.int32()), "tokens": pa.array([seen] * pieces, pa.int64()), "part": pa.array(parts, pa.binary())})
+
+            learnt = texts.filter(F.col("round") == r).select("k", "t", "shard").groupBy("shard").applyInArrow(learn, schema)
+            if per > 32:
+                learnt = learnt.withColumn("shard", F.col("shard") % 32).groupBy("piece", "shard").applyInArrow(averaged, schema)
+            ends = sorted(learnt.groupBy("piece").applyInArrow(averaged, schema).collect(), key=lambda x: x["piece"])
+            held.destroy()
+            if ends:  # a round of few texts may have none
+                vector = np.concatenate([np.frombuffer(x["part"], np.float32) for x in ends])
+                trained += ends[0]["tokens"]
+    discard(texts)
+    network.load(vector)
+    return trained
+
+
+def averaged(table: pa.Table) -> pa.Table:
+    """One row of rows of (shard, piece, tokens, part): the parts' average, weighted by tokens."""
+    total, weight = 0.0, 0
+    for tokens, _, part in sorted(zip(table["tokens"].to_pylist(), table["shard"].to_pylist(), table["part"].to_pylist(), strict=True), key=lambda x: x[1]):
+        total, weight = total + np.frombuffer(part, np.float32).astype(np.float64) * tokens, weight + tokens
+    return pa.table({"shard": table["shard"][:1], "piece": table["piece"][:1], "tokens": pa.array([weight], pa.int64()), "part": pa.array([(total / weight).astype(np.float32).tobytes()], pa.binary())})
 
 
 def score_documents(df: DataFrame, scorer: Scorer, counts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

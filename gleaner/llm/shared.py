@@ -29,16 +29,16 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """Write a frame once to the shared folder and read it back, which cuts its lineage and survives lost executors.
 
     The driver's garbage is collected afterwards, as spark.cleaner.periodicGC does at intervals: the shuffle files of what
-    was written are then free to go, so that a job of many steps needs the disk of its largest step and not of all.
+    was written are then free to go, so that a job of many steps needs the disk of its largest step and not of all. by: a last column by whose values the files lie in folders, so that reading one value reads only it.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     del df
     gc.collect()
     spark.sparkContext._jvm.System.gc()

@@ -99,6 +99,28 @@ def test_lm_tail_and_edges(docs, edges, empty):
     assert rnnlm.score_documents(empty, *none).count() == 0 and rnnlm.score_documents(edges, *none).count() == 8
 
 
+def test_lm_trains_on_every_token_of_whole_texts(docs):
+    texts = [[(i * j) % 7 for j in range(n)] for i, n in enumerate([1, 700, 3, 450, 64, 900])]
+    net = rnnlm.Network(7, hidden=4, each=3)
+    seen: dict[int, list[int]] = {}
+    queues = rnnlm.dealt([len(t) for t in texts], 4, 1)
+    assert sorted(i for q in queues for i in q) == list(range(6))
+    for _, targets, real, _, owner, _ in rnnlm.windows([np.array(t) for t in texts], len(queues), 16, 7, True, queues):
+        for k, i in enumerate(owner):
+            seen.setdefault(i, []).extend(targets[real[:, k], k].tolist())
+    assert [seen[i] for i in range(6)] == texts
+    after, tokens = net.fit([np.array(t) for t in texts], net.start_training())
+    assert tokens == sum(map(len, texts)) and after[-1] > 0
+
+    d = docs([(i, " ".join(f"w{(i + j) % 40}" for j in range(300 + i)), "en", "a") for i in range(60)])
+    scorer, counts = rnnlm.build(d, F.lit(True), shard=1000)  # 20 shards in 3 rounds
+    assert scorer.n == sum(301 + i for i in range(60)) and scorer.trained == 3 * scorer.n
+    again, _ = rnnlm.build(d.repartition(7), F.lit(True), shard=1000)
+    assert all(np.allclose(x, again.network.p[k]) for k, x in scorer.network.p.items())
+    rows = rnnlm.score_documents(d, scorer, counts).collect()
+    assert sum(r["score"] for r in rows) > sum(r["base_score"] for r in rows)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 100 + i) for i in range(1, 200)] + [(500, 501), (501, 500), (7, 7)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
