@@ -11,11 +11,12 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import map_rows, materialize
+from .shared import discard, map_rows, materialize
 
 SEPARATORS = {"line": b"\n", "paragraph": b"\n\n"}
 _END = re.compile(rb"[.!?]+[\x20\t\n]+")
@@ -126,6 +127,107 @@ def dedup_units(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", u
     return map_rows(joined, schema, cut, ["id", "text", "removed", *[f"keep_{i}" for i in range(len(keep))]])
 
 
+_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+RUN = 50
+GRAM = 26  # any RUN words hold RUN - GRAM + 1 sequences of GRAM words, of which the one with the least hash stands for them
+
+
+def _hashes(words: list[bytes], length: int) -> np.ndarray:
+    """A 64-bit hash of each sequence of so many words."""
+    own = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), np.uint64, len(words))
+    n = len(words) - length + 1
+    out = np.zeros(max(0, n), np.uint64)
+    for k in range(length if n > 0 else 0):
+        out = (out ^ own[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return out
+
+
+def marks_of(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """For each run of RUN words the hash of GRAM words in it that stands for it, and their place. Equal runs have equal
+    marks at equal distances, so a run that occurs twice has a mark that stands at two places."""
+    grams = _hashes(words, GRAM)
+    width = RUN - GRAM + 1
+    if len(grams) < width:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    at = np.lib.stride_tricks.sliding_window_view(grams, width).argmin(axis=1)
+    at += np.arange(len(at))
+    return grams[at].view(np.int64), at
+
+
+def cut_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """id, text, keep: each row without the words of every run of RUN words (in lower case, whatever the white space) that
+    occurs earlier by (id, word), wherever in lines and sentences runs begin and end; longer passages go as a whole, being
+    such runs. A run that overlaps the first occurrence of its words is no repeat.
+
+    First the marks of all runs are counted. Of runs whose mark occurs twice, alone, 128-bit digests are compared. Rows with
+    a null id or text stay as they are and don't count. Equal rows of one id are one document. White space after a cut
+    word goes with it, but for line feeds.
+    """
+    kind, kinds, keep = dict(df.dtypes)[id_col], dict(df.dtypes), keep or []
+    text = F.col(text_col).alias("text")
+    real = df.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), text)
+
+    def mark():
+        def each(key, h, text):
+            m, at = marks_of(_WORD.findall(text.lower()))
+            if len(m):
+                _, one = np.unique(at, return_index=True)
+                for x, c in zip(*map(np.ndarray.tolist, np.unique(m[one], return_counts=True)), strict=True):
+                    yield key, h, x, c
+
+        return each
+
+    marks = materialize(map_rows(real, f"id {kind}, h long, m long, c long", mark, ["id", "h", "text"]), "passage-marks")
+    twice = materialize(marks.groupBy("m").agg(F.sum("c").alias("c")).filter("c > 1").select("m"), "passage-repeats")
+    wanted = materialize(marks.join(twice, "m").groupBy("id", "h").agg(F.collect_set("m").alias("ms")), "passage-wanted")
+
+    def runs():
+        def each(key, h, text, ms):
+            words = _WORD.findall(text.lower())
+            for i in np.flatnonzero(np.isin(marks_of(words)[0], np.array(ms, np.int64))).tolist():
+                d = xxhash.xxh3_128_digest(b" ".join(words[i : i + RUN]))
+                yield key, h, i, int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
+
+        return each
+
+    found = materialize(map_rows(real.join(wanted, ["id", "h"]), f"id {kind}, h long, i int, d1 long, d2 long", runs, ["id", "h", "text", "ms"]), "passage-runs")
+    first = found.groupBy("d1", "d2").agg(F.min(F.struct("id", "h", "i")).alias("first"), F.count("*").alias("c")).filter("c > 1")
+    first = materialize(first, "passage-first")
+    later = (F.col("id") != F.col("first.id")) | (F.col("h") != F.col("first.h")) | (F.col("i") >= F.col("first.i") + RUN)
+    gone = materialize(found.join(first, ["d1", "d2"]).filter(later).groupBy("id", "h").agg(F.collect_set("i").alias("gone")), "passage-gone")
+    for table in (marks, twice, wanted, found, first):
+        discard(table)
+    joined = df.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), text, *[F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep)]).join(gone, ["id", "h"], "left")
+
+    def cut():
+        def each(key, text, gone, *rest):
+            yield key, None if text is None else without_words(text, gone or []).decode("utf-8", "replace"), *rest
+
+        return each
+
+    more = "".join(f", {c} {kinds[c]}" for c in keep)
+    return map_rows(joined, f"{id_col} {kind}, {text_col} string{more}", cut, ["id", "text", "gone", *[f"keep_{i}" for i in range(len(keep))]])
+
+
+def without_words(text: bytes, starts: list[int]) -> bytes:
+    """The text without the RUN words from each of these words on."""
+    if not starts:
+        return text
+    places = [m.span() for m in _WORD.finditer(text)]
+    out, to, end = [], 0, 0
+    for i in sorted(starts):
+        for k in range(max(i, end), min(i + RUN, len(places))):
+            a, b = places[k]
+            out.append(text[to:a])
+            to = b
+            stop = places[k + 1][0] if k + 1 < len(places) else len(text)
+            out.append(b"\n" * text.count(b"\n", b, stop))
+            to = stop
+        end = max(end, i + RUN)
+    return b"".join(out) + text[to:]
+
+
 SQL = r"""
 WITH cut AS (
   SELECT doc_id, unnest(range(len(lines))) AS p, unnest(lines) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents)

@@ -53,6 +53,43 @@ def test_lines_against_brute_force(docs, edges, empty):
     assert linededup.dedup_units(empty).count() == 0
 
 
+def brute_passages(rows, n=linededup.RUN):
+    first, out = {}, {}
+    for i, text in sorted(rows):
+        words = text.lower().split()
+        gone = set()
+        for k in range(len(words) - n + 1):
+            a = first.setdefault(tuple(words[k : k + n]), (i, k))
+            if a[0] != i or k >= a[1] + n:
+                gone |= set(range(k, k + n))
+        out[i] = [w for k, w in enumerate(text.split()) if k not in gone]
+    return out
+
+
+def test_passages_against_brute_force(docs, edges, empty):
+    rng = random.Random(8)
+    word = lambda k=900: f"W{rng.randrange(k)}"
+    long = [[word() for _ in range(n)] for n in (49, 50, 51, 60, 130)]  # no sentence ends at all
+    short = [f"{word()} {word()} {word()} {word()} {word()}." for _ in range(12)]  # 60 words in sentences of five
+    rows = []
+    for i in range(80):
+        words = [word() for _ in range(rng.randrange(60))]
+        for _ in range(rng.randrange(3)):
+            at = rng.randrange(len(words) + 1)
+            words[at:at] = rng.choice([*long, " ".join(short).split()])
+        rows.append((i, " ".join(w + "\n" * (rng.random() < 0.02) for w in words), "en", "a"))
+    rows.append((80, "on and " * 200, "en", "a"))
+    got = {r["doc_id"]: r["text"] for r in linededup.cut_passages(docs(rows)).collect()}
+    want = brute_passages([(i, t) for i, t, _, _ in rows])
+    assert {i: t.split() for i, t in got.items()} == want
+    assert sum(" ".join(short) in " ".join(t.split()) for t in got.values()) == 1 and len(got[80].split()) == 50
+    edge = {(r["doc_id"], r["lang"]): r["text"] for r in linededup.cut_passages(edges, keep=["lang"]).collect()}
+    assert len(edge) == 8 and edge[1, None] is None and edge[2, "en"] == "" and edge[None, "fr"] == "no id at all" and edge[5, "en"]
+    two = {r["text"] for r in linededup.cut_passages(docs([(1, rows[80][1], "en", "a"), (1, " ".join(long[4]), "en", "a"), (1, " ".join(long[4]), "en", "a")])).collect()}
+    assert " ".join(long[4]) in two
+    assert linededup.cut_passages(empty).count() == 0
+
+
 def test_lines_against_sql(spark):
     d = spark.read.parquet(f"{SF}/documents.parquet")
     con = duckdb.connect()
