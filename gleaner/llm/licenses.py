@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect
+from collections import Counter
 from difflib import SequenceMatcher
 
 import zstandard
@@ -30,9 +31,33 @@ TEMPLATES = {
     "CC-BY-4.0-statement": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "CC-BY-NC-4.0-statement": "Licensed under CC BY-NC 4.0.",
     "All-rights-reserved": "All rights reserved.",
+    "MIT-disclaimer": "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.",
+    "BSD-disclaimer": "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.",
+    "BSD-3-clause": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "Zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",
+    "Unlicense": "This is free and unencumbered software released into the public domain.",
+    "BSL-1.0": "Distributed under the Boost Software License, Version 1.0.",
+    "EPL-2.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0",
+    "CC0-1.0-statement": "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide.",
+    "Apache-2.0-text": "Apache License Version 2.0, January 2004",
+    "MPL-2.0-text": "Mozilla Public License Version 2.0 1. Definitions",
 }
-# Each template has one of these, in lower case.
-ANCHORS = (b"licen", b"permission", b"redistribution", b"rights reserved")
+_GNU = [("GPL-2.0", "program", ";", "General", "2", "2, June 1991"), ("GPL-3.0", "program", ":", "General", "3", "3, 29 June 2007"), ("LGPL-2.0", "library", ";", "Library General", "2", "2, June 1991"), ("LGPL-2.1", "library", ";", "Lesser General", "2.1", "2.1, February 1999"), ("LGPL-3.0", "program", ":", "Lesser General", "3", "3, 29 June 2007"), ("AGPL-3.0", "program", ":", "Affero General", "3", "3, 19 November 2007")]
+for _name, _what, _mark, _kind, _version, _dated in _GNU:
+    TEMPLATES.setdefault(_name, f"This {_what} is free software{_mark} you can redistribute it and/or modify it under the terms of the GNU {_kind} Public License as published by the Free Software Foundation{_mark.replace(':', ',')} either version {_version} of the License, or (at your option) any later version.")
+    TEMPLATES.setdefault(f"{_name}-statement", f"Licensed under the GNU {_kind} Public License, version {_version}.")
+    TEMPLATES[f"{_name}-text"] = f"GNU {_kind} Public License Version {_dated}"
+for _short, _long in (("BY", "Attribution"), ("BY-SA", "Attribution-ShareAlike"), ("BY-ND", "Attribution-NoDerivatives"), ("BY-NC", "Attribution-NonCommercial"), ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"), ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives")):
+    for _version, _where in (("4.0", "International"), ("3.0", "Unported")):
+        for _name, _text in ((f"CC-{_short}-{_version}-statement", f"Licensed under CC {_short} {_version}."), (f"CC-{_short}-{_version}", f"This work is licensed under a Creative Commons {_long} {_version} {_where} License.")):
+            if _text not in TEMPLATES.values():
+                TEMPLATES[f"{_name}-short" if _name in TEMPLATES else _name] = _text
+
+# Each template has one of these, in lower case; words may have anything but letters and digits between them.
+ANCHORS = (b"licen", b"permission", b"redistribution", b"rights reserved", b"warrant", b"public domain")
+_ANCHORS = [(a.split()[-1], re.compile(b"[^a-z0-9]+".join(a.split()))) for a in ANCHORS]
+# Words that decide which license and version it is: none may be missing, added or changed.
+_DECIDES = re.compile(rb"v?\d{1,2}(\.\d+)*|gnu|lesser|affero|mozilla|apache|eclipse|boost|mit|bsd|isc|cc0|by-[a-z-]+|attribution.*|.*(noncommercial|sharealike|noderiv).*")
 REACH = 700
 MOST = 4200
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -46,7 +71,7 @@ def words_of(text: bytes) -> list[tuple[bytes, int, int]]:
 def candidate_blocks(text: bytes) -> list[tuple[int, bytes]]:
     """(start, bytes) of the surroundings of anchors, merged; longer ones in overlapping parts."""
     low = text.lower()
-    spots = sorted({m for a in ANCHORS if a in low for m in (x.start() for x in re.finditer(re.escape(a), low))})
+    spots = sorted({x.start() for word, anchor in _ANCHORS if word in low for x in anchor.finditer(low)})
     spans: list[list[int]] = []
     for s in spots:
         if spans and s - REACH <= spans[-1][1]:
@@ -56,6 +81,16 @@ def candidate_blocks(text: bytes) -> list[tuple[int, bytes]]:
     return [(at, text[at : min(hi, at + MOST)]) for lo, hi in spans for at in range(lo, max(lo + 1, hi - 2 * REACH), MOST - 2 * REACH)]
 
 
+def deciding(words: list[bytes], at: range) -> Counter:
+    """Those of the words at these places that decide about license and version, numbers without v and .0."""
+    out: Counter = Counter()
+    for i in at:
+        w = words[i]
+        if _DECIDES.fullmatch(w) or w == b"library" and words[i + 1 : i + 2] == [b"general"]:
+            out[w.lstrip(b"v").removesuffix(b".0") if w[-1:].isdigit() else w] += 1
+    return out
+
+
 class Scanner:
     def __init__(self, templates: dict[str, str] = TEMPLATES, level: int = 6):
         self.words = {k: [w for w, _, _ in words_of(t.encode())] for k, t in templates.items()}
@@ -80,11 +115,18 @@ class Scanner:
         ops = [o for o in SequenceMatcher(None, want, part, autojunk=False).get_opcodes() if o[0] != "equal"]
         first = next((o[4] for o in ops if o[0] == "insert" and o[1] == 0), 0)
         last = next((o[3] for o in ops if o[0] == "insert" and o[1] == len(want)), len(part))
-        notes = []
+        notes, gone, more = [], Counter(), Counter()
         for kind, a, b, c, d in ops:
             if kind == "insert" and a in (0, len(want)):
                 continue
             notes += [f"-{w.decode('utf-8', 'replace')}" for w in want[a:b]] + [f"+{w.decode('utf-8', 'replace')}" for w in part[c:d]]
+            gone += deciding(want, range(a, b))
+            more += deciding(part, range(c, d))
+        if len(notes) <= allowed and last > first and gone != more:  # another license; this one may stand beside it
+            for s, e in ((0, lo + first), (lo + last, len(block))):
+                if (e - s) * 10 >= len(want) * 9 and (hit := self.confirm(name, block[s:e])):
+                    return s + hit[0], s + hit[1], hit[2]
+            return None
         return (lo + first, lo + last, notes) if len(notes) <= allowed and last > first else None
 
     def scan_block(self, data: bytes) -> list[tuple[str, int, int, int, str]]:
@@ -126,7 +168,7 @@ def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row for each input row: id, findings (array of license, start, length in bytes, saved bytes, differences).
 
     Null, empty and clean texts have no findings. A template counts where at most a tenth of its words are missing, added
-    or changed (a short one: none). Equal texts give equal findings. Other columns are ignored, whatever their names.
+    or changed (a short one: none), and none of those that decide about license and version. Equal texts give equal findings. Other columns are ignored, whatever their names.
     """
 
     def make():

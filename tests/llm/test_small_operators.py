@@ -121,3 +121,18 @@ def test_licenses(edges, empty):
     assert len(many) == 3000 and many[1][1] == 21
     rows = {r["doc_id"]: r["findings"] for r in licenses.scan_licenses(edges).collect()}
     assert len(rows) == 8 and not any(rows.values()) and licenses.scan_licenses(empty).count() == 0
+
+
+def test_license_families_and_anchors():
+    s = licenses.Scanner()
+    names = lambda text: [f[0] for f in s.scan(text.encode())]
+    gpl = licenses.TEMPLATES["GPL-3.0"]
+    assert names(gpl.replace("GNU General", "GNU Affero General")) == ["AGPL-3.0"]
+    assert names(gpl.replace("GNU General", "GNU Lesser General")) == ["LGPL-3.0"]
+    assert names(gpl.replace("version 3", "version 2")) == ["GPL-2.0"]
+    assert names(gpl.replace("version 3", "version 1")) == []
+    assert names(gpl.replace("version 3", "version 1") + " And then. " + gpl) == ["GPL-3.0"]
+    assert names("This work is licensed under the GNU Affero General Public License, version 3.") == ["AGPL-3.0-statement"]
+    assert names("Licensed under the GNU General Public License, version 2.") == ["GPL-2.0-statement"]
+    assert names("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.") == ["CC-BY-SA-4.0"]
+    assert names("x " * 2000 + "All rights\n# reserved." + " y" * 2000) == names("All  rights reserved") == ["All-rights-reserved"]
