@@ -61,9 +61,9 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
     """One row for each input row: id, n_links, component_id, kept (id = component_id).
 
     A vector that is null, empty, zero or holds null or non-finite components links with nothing: 0, its own id, true.
-    Vectors of another length than the commonest link with equal vectors only. Ids are integers and should be unique; a
+    Vectors of each length have pivots and lists of their own, and link with vectors of that length. Ids are integers and should be unique; a
     null id gets its class's component and kept is null. Other columns are ignored, whatever their names.
-    pivots: by default twice the square root of the number of vectors (16 to 16,384), thinned from a hash sample of four
+    pivots: by default twice the square root of the number of vectors of a length (16 to 16,384), thinned from a hash sample of four
     times as many. Every row is indexed; candidates share at least `shared` of `nearest` pivots.
     """
     kind = dict(df.dtypes)[id_col]
@@ -85,31 +85,39 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
     base = materialize(df.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v")).mapInArrow(read, f"id {kind}, dim int, vec binary, d1 long, d2 long"), "vectors")
     real = base.filter("dim > 0")
     classes = real.groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.count("*").alias("times"))
-    dims = real.groupBy("dim").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").limit(1).collect()
-    dim, n = (dims[0]["dim"], dims[0]["n"]) if dims else (0, 0)
-    vectors = real.filter(F.col("dim") == dim).join(classes, ["d1", "d2"]).filter(F.col("id") == F.col("rep")).dropDuplicates(["d1", "d2"]).select(F.col("id").cast("long").alias("x"), "vec", "times")
-    count = pivots or int(min(16_384, max(16, 2 * n**0.5)))
+    dims = {r["dim"]: r["n"] for r in real.groupBy("dim").agg(F.count("*").alias("n")).collect()}
+    counts_of = {d: pivots or int(min(16_384, max(16, 2 * n**0.5))) for d, n in dims.items()}
+    vectors = real.join(classes, ["d1", "d2"]).filter(F.col("id") == F.col("rep")).dropDuplicates(["d1", "d2"]).select(F.col("id").cast("long").alias("x"), "vec", "times", "dim")
     spot = F.pmod(F.xxhash64("x", F.lit(3)), F.lit(1 << 40))
-    sample = vectors.select("x", "vec").filter(spot < int((1 << 40) * min(1.0, 4 * count / max(1, n)))).collect()
+    cuts = df.sparkSession.createDataFrame([(d, int((1 << 40) * min(1.0, 4 * counts_of[d] / n))) for d, n in dims.items()], "dim int, cut long")
+    sample = vectors.join(F.broadcast(cuts), "dim").filter(spot < F.col("cut")).select("x", "vec", "dim").collect()
     sample.sort(key=lambda r: xxhash.xxh3_64_intdigest(str(r["x"]).encode()))
-    points = choose_pivots(np.array([np.frombuffer(r["vec"]) for r in sample]).reshape(len(sample), dim), count)
+    drawn: dict[int, list] = {}
+    for r in sample:
+        drawn.setdefault(r["dim"], []).append(np.frombuffer(r["vec"]))
+    points = {d: choose_pivots(np.array(x), counts_of[d]) for d, x in drawn.items()}
     out = base.select("id", "d1", "d2").join(classes, ["d1", "d2"], "left")
     if len(points):
-        held = df.sparkSession.sparkContext.broadcast(points)  # at most 16,384 vectors
+        held = df.sparkSession.sparkContext.broadcast(points)  # at most 16,384 vectors of a length
 
         def describe(batches):
             for batch in batches:
-                unit = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.float64).reshape(-1, dim)
-                perm = nearest_pivots(unit, held.value, nearest)
-                k = perm.shape[1]
-                again = np.repeat(np.arange(len(unit)), k)
-                packed = pa.array([p.tobytes() for p in perm], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(perm.reshape(-1)), batch.column(0).take(again), batch.column(1).take(again), packed.take(again), batch.column(2).take(again)], ["pivot", "x", "vec", "perm", "times"])
-
-        lists = vectors.mapInArrow(describe, "pivot int, x long, vec binary, perm binary, times long")
+                dim = batch.column(3).to_numpy()
+                for d in np.unique(dim).tolist():
+                    if d not in held.value:
+                        continue
+                    part = batch.take(pa.array(np.flatnonzero(dim == d)))
+                    unit = np.frombuffer(b"".join(part.column(1).to_pylist()), np.float64).reshape(-1, d)
+                    perm = nearest_pivots(unit, held.value[d], nearest)
+                    k = perm.shape[1]
+                    again = np.repeat(np.arange(len(unit)), k)
+                    packed = pa.array([p.tobytes() for p in perm], pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(perm.reshape(-1)), *[c.take(again) for c in (part.column(0), part.column(1), packed, part.column(2), part.column(3))]], ["pivot", "x", "vec", "perm", "times", "dim"])
+
+        lists = vectors.mapInArrow(describe, "pivot int, x long, vec binary, perm binary, times long, dim int")
         lists = materialize(lists, "pivot-lists")
-        lengths = lists.groupBy("pivot").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-        dealt = lists.join(F.broadcast(lengths), "pivot").withColumn("own", F.pmod(F.xxhash64("x"), F.col("blocks")).cast("int"))  # a row for each pivot
+        lengths = lists.groupBy("dim", "pivot").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+        dealt = lists.join(F.broadcast(lengths), ["dim", "pivot"]).withColumn("own", F.pmod(F.xxhash64("x"), F.col("blocks")).cast("int"))  # a row for each pivot
         units = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
 
         def verify(table: pa.Table) -> pa.Table:
@@ -117,11 +125,11 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
             i, j, pivot = table["i"][0].as_py(), table["j"][0].as_py(), table["pivot"][0].as_py()
             unit = np.frombuffer(b"".join(table["vec"].to_pylist()), np.float64).reshape(len(x), -1)
             perm = np.frombuffer(b"".join(table["perm"].to_pylist()), np.int32).reshape(len(x), -1)
-            found, label = link_lists(x, unit, perm, table["times"].to_numpy(), own == i, own == j, pivot, len(held.value), least, shared)
+            found, label = link_lists(x, unit, perm, table["times"].to_numpy(), own == i, own == j, pivot, len(held.value[unit.shape[1]]), least, shared)
             at = np.flatnonzero(found)
             return pa.table({"a": x[at], "b": label[at], "found": found[at]})
 
-        links = materialize(units.select("pivot", "i", "j", "x", "vec", "perm", "times", "own").groupBy("pivot", "i", "j").applyInArrow(verify, "a long, b long, found long"), "vector-links")
+        links = materialize(units.select("dim", "pivot", "i", "j", "x", "vec", "perm", "times", "own").groupBy("dim", "pivot", "i", "j").applyInArrow(verify, "a long, b long, found long"), "vector-links")
         counts = links.groupBy("a").agg(F.sum("found").alias("found"))
         reached = components(links.select("a", "b"))
         rep = F.col("rep").cast("long")

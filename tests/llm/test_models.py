@@ -165,6 +165,18 @@ def test_pivots_against_brute_force(spark):
     assert pivots.near_vectors(spark.createDataFrame([], df.schema)).count() == 0
 
 
+def test_vectors_of_every_length_link(spark):
+    rng = np.random.default_rng(6)
+    rows, near = [], []
+    for n, dim in ((60, 12), (40, 5), (2, 3)):
+        for _ in range(n // 2):
+            v = rng.normal(size=dim)
+            near.append((len(rows), len(rows) + 1))
+            rows += [(len(rows), v.tolist()), (len(rows) + 1, (v + 0.001).tolist())]
+    got = {r["vec_id"]: r for r in pivots.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert len(got) == len(rows) and all(got[a]["component_id"] == got[b]["component_id"] and got[b]["n_links"] >= 1 for a, b in near)
+
+
 def test_pivot_recall(spark):
     df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     rows = df.collect()
