@@ -1,16 +1,22 @@
 """N-gram Jaccard join by vertical partitioning.
 
-The global order of n-grams is the order of their 64-bit hashes. It is cut into fragments twice over.
+The global order of n-grams is the order of their 64-bit hashes; equal sets are one set from the start, whatever their
+number. The join has two parts, which go on in rounds.
 
-Candidates: two sets whose Jaccard index is at least num/den differ in at most (|x|+|y|)(den-num)/(den+num) n-grams. Cut
-into one fragment more than that, at least one fragment is the same in both. So each set gives a key for each of its
-fragments (the number of fragments depends on its class of sizes; a set near its class's upper end also gives those of
-the next), and no link is lost: sets without a key in common can't be linked. Accidental common n-grams give no key.
+Which pairs to count. Two sets whose Jaccard index is at least num/den differ in at most (|x|+|y|)(den-num)/(den+num)
+n-grams. Cut the order into more parts than that: at least one part is the same in both sets. So each set gives a key for
+each of its parts (their number depends on its class of sizes; a set that may link with larger ones also gives the keys
+of their classes), and sets without a key in common can't be linked. A key's sets are a group; groups of the same sets
+are one. In the first round every set of a group is paired with the group's first one.
 
-Counting: each key's sets meet around the least of them, its anchor. An anchor's sets are dealt into blocks of bounded
-weight, and pairs of blocks are counted, each in a task of its own: for each fragment of the order the partial overlaps
-of all its pairs are counted separately, then summed per pair. Only a spanning set of the links found leaves a task.
-Sets that are equal are one set from the start, whatever their number.
+Counting. The order is cut into a few long fragments, and a set's n-grams into a record for each. A record is sent to the
+unit of its fragment and pair's first set; there the partial overlap of the pair in this fragment is counted, and left
+out if the sizes before, in and after the fragment already differ by too much. The partial overlaps are summed per pair.
+
+Further rounds. What is linked so far gives components. A group whose sets are all in one component is done. Of any other
+group all pairs between components are counted, in rounds: some sets outside the group's largest component are paired with
+all sets of other components and then leave the group; four times as many in each round. So a group of copies is settled
+by one pass over it, without its pairs, and no link between different components is missed.
 
 What is counted by a key is written before it is joined: a join right above its own aggregation can't be split.
 """
@@ -25,12 +31,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import components, local_labels
+from .components import components
 from .shared import discard, map_rows, materialize
 
 GROWTH = 1.4
-#: Sets in a block at most.
-BLOCK = 1024
+#: Pairs of one set that one unit of work counts at most.
+UNIT = 256
 #: Fragments beyond the necessary ones, in hundredths of these.
 SPARE = 18
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -82,21 +88,19 @@ def size_classes(most: int) -> list[int]:
     return out
 
 
-def fragment_keys(hashes: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Keys of the fragments of one set, by which any set that links with it can be found.
+def part_keys(hashes: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Keys of the parts of one set, by which any set that links with it can be found.
 
-    Of p fragments, p - d are the same in both sets where d n-grams differ at most. Small fragments are alike by chance,
-    so p is larger than d + 1 by a part, and a set whose fragments of at most s n-grams are fewer than p - d gives no key
+    Of p parts, p - d are the same in both sets where d n-grams differ at most. Small parts are alike by chance,
+    so p is larger than d + 1 by a part, and a set whose parts of at most s n-grams are fewer than p - d gives no key
     for these (the largest s up to 1): among the p - d equal ones there is a larger one, which has a key in both sets.
     """
     n = len(hashes)
-    bounds = size_classes(n)
-    c = len(bounds) - 2
-    schemes = [c, c + 1] if den * n >= num * bounds[c + 1] else [c]
-    bounds.append(max(bounds[-1] + 1, int(bounds[-1] * GROWTH)))
+    bounds = size_classes(n * den // num)  # the largest set that may link with it is in the last class but one
+    first = next(s for s in range(len(bounds)) if bounds[s + 1] > n)
     marks, out = mix64(hashes + np.uint64(0x9E3779B97F4A7C15)), []
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(marks)])
-    for s in schemes:
+    for s in range(first, len(bounds) - 1):
         differ = 2 * (bounds[s + 1] - 1) * (den - num) // (den + num)
         parts = differ + 1 + -(-differ * SPARE // 100)
         part = ((hashes >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
@@ -109,121 +113,123 @@ def fragment_keys(hashes: np.ndarray, num: int, den: int) -> np.ndarray:
     return np.concatenate(out)
 
 
-def link_blocks(ids: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, num: int, den: int, fragments: int = 8) -> list[tuple[int, int]]:
-    """Spanning links among the pairs of left and right. Partial overlaps are counted by fragment and summed per pair."""
-    sizes = np.array([len(s) for s in sets], np.int64)
-    a, b = np.flatnonzero(left), np.flatnonzero(right)
-    order = np.concatenate(sets)
-    owner = np.repeat(np.arange(len(sets)), sizes)
-    by = np.argsort(order, kind="stable")
-    order, owner = order[by], owner[by]
-    overlap = np.zeros((len(a), len(b)), np.int64)
-    row_of, col_of = np.full(len(sets), -1), np.full(len(sets), -1)
-    row_of[a], col_of[b] = np.arange(len(a)), np.arange(len(b))
-    edges = np.searchsorted(order, np.arange(1, fragments, dtype=np.uint64) * np.uint64((1 << 64) // fragments))
-    for lo, hi in zip([0, *edges], [*edges, len(order)], strict=True):
-        own, value = owner[lo:hi], order[lo:hi]
-        if len(value) < 2:
-            continue
-        fresh = np.concatenate([[True], value[1:] != value[:-1]])
-        number = np.cumsum(fresh) - 1
-        often = np.bincount(number)[number] > 1
-        if not often.any():
-            continue
-        own, number = own[often], number[often]
-        number = np.cumsum(np.concatenate([[True], number[1:] != number[:-1]])) - 1
-        width = 2048
-        cuts = np.searchsorted(number, np.arange(0, number[-1] + width, width))
-        for at, to in zip(cuts[:-1], cuts[1:], strict=True):
-            n, o = number[at:to] - number[at], own[at:to]
-            x = np.zeros((len(a), int(n[-1]) + 1), np.float32)
-            y = np.zeros((len(b), int(n[-1]) + 1), np.float32)
-            m = row_of[o] >= 0
-            x[row_of[o[m]], n[m]] = 1
-            m = col_of[o] >= 0
-            y[col_of[o[m]], n[m]] = 1
-            overlap += (x @ y.T).astype(np.int64)
-    total = sizes[a][:, None] + sizes[b][None, :]
-    linked = (den * overlap >= num * (total - overlap)) & (overlap > 0)
-    label = local_labels(ids, a, b, linked)
-    return [(int(i), int(x)) for i, x in zip(ids, label, strict=True) if i != x]
-
-
-def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, num: int = 90, den: int = 100, weight: int = 65_536, passes: int = 4) -> DataFrame:
+def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, num: int = 90, den: int = 100, fragments: int = 8, passes: int = 4) -> DataFrame:
     """One row for each input row: id, n_shingles (size of its set), component_id (least id reachable by links).
 
     Links: den * |intersection| >= num * |union| over sets of distinct word n-grams (64-bit hashes) of the lower-cased
     whole text. Null, empty and blank texts have size 0 and are linked with nothing: component_id is the id itself. Equal
-    sets are linked. A null id gets the component of its class, and never names one. Ids are integers and should be
-    unique: rows of one id are one document. Other columns are ignored, whatever their names.
-    weight: n-grams in a block, the unit in which an anchor's sets are dealt to tasks. passes: parts of the keys that are
-    looked at one after the other, so that their shuffles need as much less disk.
+    sets are linked. A null id gets the component of its class, and never names one. Rows of one id with different texts
+    are each linked by their own text. Other columns are ignored, whatever their names. Ids are of one integer type.
+    fragments: records that a set's n-grams are cut into. passes: portions of the keys that are looked at one after the
+    other, so that their shuffles need as much less disk.
     """
     kind = dict(df.dtypes)[id_col]
+    rows = df.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("r"), F.col(text_col).alias("t"))
 
     def describe():
         table = WordHash()
 
-        def each(key, text):
+        def each(key, r, text):
             hashes = ngram_hashes(text, words, table)
-            data = hashes.tobytes()
-            digest = xxhash.xxh3_128_digest(data)
-            keys = fragment_keys(hashes, num, den) if len(hashes) else hashes
-            yield key, len(hashes), int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True), keys.tobytes()
+            digest = xxhash.xxh3_128_digest(hashes.tobytes())
+            keys = part_keys(hashes, num, den) if len(hashes) else hashes
+            yield key, r, len(hashes), int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True), keys.tobytes()
 
         return each
 
-    keyed = materialize(map_rows(df, f"id {kind}, n long, d1 long, d2 long, keys binary", describe, [id_col, text_col]), "jaccard-keyed")
+    keyed = materialize(map_rows(rows, f"id {kind}, r long, n long, x long, x2 long, keys binary", describe, ["id", "r", "t"]), "jaccard-keyed")
     base = materialize(keyed.drop("keys"), "jaccard-sets")
-    classes = materialize(base.filter("n > 0").groupBy("d1", "d2", "n").agg(F.min("id").alias("rep")), "jaccard-classes")
-    reps = classes.filter("rep is not null").select(F.col("rep").cast("long").alias("x"), "d1", "d2", "n")
-    chosen = materialize(keyed.filter("n > 0").select(F.col("id").cast("long").alias("x"), "keys").join(reps.select("x").distinct(), "x", "left_semi"), "jaccard-chosen")
+    classes = materialize(base.filter("n > 0").groupBy("x", "x2").agg(F.min("id").alias("rep"), F.min("r").alias("r")), "jaccard-classes")
+    chosen = materialize(keyed.filter("n > 0").select("r", "x", "keys").join(classes.select("r", "x"), ["r", "x"], "left_semi").dropDuplicates(["r", "x"]).select("x", "keys"), "jaccard-chosen")
     discard(keyed)
     parts = []
     for turn in range(passes):
         entries = _explode_keys(chosen, turn, passes)
-        common = materialize(entries.groupBy("k").agg(F.min("x").alias("anchor"), F.count("*").alias("c")).filter("c > 1").select("k", "anchor"), "jaccard-keys")
-        parts.append(materialize(entries.join(common, "k").select("anchor", "x").distinct(), "jaccard-meets"))
+        alike = entries.groupBy("k").agg(F.min("x").alias("anchor"), F.count("*").alias("c"), F.bit_xor(F.xxhash64("x")).alias("all"))
+        common = materialize(alike.filter("c > 1").select("k", "anchor", F.xxhash64("all", "c", "anchor").alias("g")), "jaccard-keys")
+        parts.append(materialize(entries.join(common, "k").select("g", "anchor", "x").distinct(), "jaccard-meets"))
         discard(common)
     meets = materialize(reduce(DataFrame.union, parts).distinct(), "jaccard-meets")
-    for table in (chosen, *parts):
-        discard(table)
-    members = materialize(meets.select("x").distinct(), "jaccard-members")
+    discard(chosen, *parts)
+    members = materialize(meets.select("x").distinct().join(classes.select("r", "x"), "x"), "jaccard-members")
 
-    def gather():
+    def cut():
         table = WordHash()
 
-        def each(key, text):
+        def each(x, text):
             hashes = ngram_hashes(text, words, table)
-            yield key, short_bytes(hashes), len(hashes)
+            cuts = np.searchsorted(hashes, edges)
+            for f, (lo, hi) in enumerate(zip([0, *cuts], [*cuts, len(hashes)], strict=True)):
+                yield x, f, len(hashes), lo, hashes[lo:hi].tobytes()
 
         return each
 
-    texts = df.select(F.col(id_col).cast("long").alias("x"), F.col(text_col).alias("t")).join(members, "x").dropDuplicates(["x"])
-    sets = materialize(map_rows(texts, "x long, grams binary, n long", gather, ["x", "t"]), "jaccard-grams")
-    sized = materialize(meets.join(sets.select("x", "n"), "x"), "jaccard-sizes")
-    blocks = F.greatest(F.lit(1), F.ceil(F.sum("n") / weight), F.ceil(F.count("*") / BLOCK)).cast("int")
-    heavy = materialize(sized.groupBy("anchor").agg(blocks.alias("blocks")), "jaccard-blocks")
-    dealt = sized.join(heavy, "anchor").withColumn("own", F.pmod(F.xxhash64("x"), F.col("blocks")).cast("int"))
-    units = dealt.select("anchor", "x", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    units = units.select("anchor", "x", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    found = materialize(_count(units.join(sets.select("x", "grams"), "x"), num, den), "jaccard-links")
-    for table in (meets, members, sets, sized, heavy):
-        discard(table)
-    links = components(found)
-    out = base.join(classes, ["d1", "d2", "n"], "left").join(links, F.col("rep").cast("long") == F.col("node"), "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", F.col("rep").cast("long"), F.col("id").cast("long")).alias("component_id"))
-
-
-def short_bytes(hashes: np.ndarray) -> bytes:
-    """The upper 48 bits of sorted hashes, six bytes each: among the sets of one task as good as all 64."""
-    return (hashes >> np.uint64(16)).astype(">u8").view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
-
-
-def long_hashes(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
-    return out.view(">u8").ravel().astype(np.uint64)
+    edges = np.array([f * ((1 << 64) // fragments) for f in range(1, fragments)], np.uint64)
+    texts = rows.join(members, "r").dropDuplicates(["x"])
+    segments = materialize(map_rows(texts, "x long, f int, n long, before long, grams binary", cut, ["x", "t"]), "jaccard-segments")
+    links = materialize(count_pairs(meets.filter("x <> anchor").select(F.col("anchor").alias("a"), F.col("x").alias("b")).distinct(), segments, num, den), "jaccard-links")
+    reached, links = _settle(meets.filter("x <> anchor").select("g", "x"), links, segments, num, den)
+    discard(meets, members, segments)
+    named = classes.join(reached, F.col("x") == F.col("node"), "left").select("x", "x2", "rep", F.coalesce("component", "x").alias("label"))
+    names = materialize(named.groupBy("label").agg(F.min("rep").alias("least")), "jaccard-names")
+    out = base.join(materialize(named.join(names, "label").select("x", "x2", "least"), "jaccard-named"), ["x", "x2"], "left")
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("least", "id").cast("long").alias("component_id"))
+
+
+def _settle(groups: DataFrame, links: DataFrame, segments: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """Components (node, component) of all links, and the links found, given groups (g, x) whose first sets have been
+    paired with all others and are left out. Rounds end when each group is within one component."""
+    anchors, left = 1, groups
+    while True:
+        reached = materialize(components(links), "jaccard-reached")
+        labelled = left.join(reached, F.col("x") == F.col("node"), "left").select("g", "x", F.coalesce("component", "x").alias("label"))
+        counted = labelled.groupBy("g", "label").agg(F.count("*").alias("c"))
+        largest = counted.groupBy("g").agg(F.max(F.struct("c", "label")).alias("most"), F.sum("c").alias("c"), F.count("*").alias("labels"))
+        apart = materialize(largest.filter("labels > 1").select("g", F.col("most.label").alias("main"), (F.col("c") - F.col("most.c")).alias("odd")), "jaccard-apart")
+        if apart.isEmpty():
+            discard(apart)
+            return reached, links
+        old = left
+        now = materialize(labelled.join(apart, "g").withColumn("first", (F.col("label") != F.col("main")) & (F.pmod(F.xxhash64("g", "x"), F.col("odd")) < anchors)), "jaccard-left")
+        first = now.filter("first").select("g", F.col("x").alias("a"), F.col("label").alias("own"))
+        pairs = first.join(now, "g").filter("own <> label").select(F.least("a", "x").alias("a"), F.greatest("a", "x").alias("b")).distinct()
+        found = materialize(count_pairs(pairs, segments, num, den).union(links), "jaccard-links")
+        discard(links, apart, reached, *([old] if hasattr(old, "written_to") else []))
+        left, links, anchors = materialize(now.filter("not first").select("g", "x"), "jaccard-groups"), found, anchors * 4
+        discard(now)
+
+
+def count_pairs(pairs: DataFrame, segments: DataFrame, num: int, den: int) -> DataFrame:
+    """Those of the pairs (a, b) that link. Each fragment's partial overlaps are counted in units of their own, of one
+    set a and at most about UNIT others, and summed per pair."""
+    pairs = materialize(pairs, "jaccard-pairs")
+    dealt = materialize(pairs.groupBy("a").agg(F.ceil(F.count("*") / UNIT).cast("int").alias("units")), "jaccard-units")
+    others = pairs.join(dealt, "a").select("a", F.col("b").alias("x"), F.pmod(F.xxhash64("b"), F.col("units")).cast("int").alias("unit"))
+    firsts = dealt.select("a", F.col("a").alias("x"), F.explode(F.sequence(F.lit(0), F.col("units") - 1)).alias("unit"))
+    records = others.union(firsts).join(segments, "x").select("f", "a", "unit", "x", "n", "before", "grams")
+    records = records.repartition("f", "a", "unit").sortWithinPartitions("f", "a", "unit", F.col("x") != F.col("a"))
+
+    def overlaps(batches):
+        first, n0, before0 = None, 0, 0
+        for batch in batches:
+            a, x, n, before = (batch.column(k).to_numpy() for k in (1, 3, 4, 5))
+            out: list[tuple] = []
+            for i, grams in enumerate(batch.column(6)):
+                own = np.frombuffer(grams.as_buffer(), np.uint64)
+                if a[i] == x[i]:  # the unit's first record
+                    first, n0, before0 = own, int(n[i]), int(before[i])
+                    continue
+                total = n0 + int(n[i])
+                common = int((first.take(np.searchsorted(first, own), mode="clip") == own).sum()) if len(first) else 0
+                ahead, behind = abs(before0 - int(before[i])), abs((n0 - before0 - len(first)) - int(n[i] - before[i] - len(own)))
+                if common and (ahead + behind + len(first) + len(own) - 2 * common) * (den + num) <= total * (den - num):
+                    out.append((a[i], x[i], common, total))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b", "common", "total"])
+
+    partial = records.mapInArrow(overlaps, "a long, b long, common long, total long")
+    summed = partial.groupBy("a", "b").agg(F.sum("common").alias("common"), F.max("total").alias("total"))
+    return summed.filter(F.col("common") * den >= (F.col("total") - F.col("common")) * num).select("a", "b")
 
 
 def _explode_keys(rows: DataFrame, turn: int, passes: int) -> DataFrame:
@@ -237,13 +243,3 @@ def _explode_keys(rows: DataFrame, turn: int, passes: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(k[own].view(np.int64)), pa.array(x[own])], ["k", "x"])
 
     return rows.mapInArrow(run, "k long, x long")
-
-
-def _count(units: DataFrame, num: int, den: int) -> DataFrame:
-    def run(table: pa.Table) -> pa.Table:
-        ids, own = table["x"].to_numpy(), table["own"].to_numpy()
-        i, j = table["i"][0].as_py(), table["j"][0].as_py()
-        links = link_blocks(ids, [long_hashes(g.as_py()) for c in table["grams"].chunks for g in c], own == i, own == j, num, den) if len(ids) > 1 else []
-        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
-
-    return units.groupBy("anchor", "i", "j").applyInArrow(run, "a long, b long")

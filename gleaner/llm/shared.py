@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -20,38 +19,49 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that all executors see: spark.checkpoint.dir. Only a local session, as in tests, may leave it unset."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     if spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster"):
         return f"file://{tempfile.gettempdir()}/checkpoints"
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints"
+    raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+
+
+#: Shuffle files of a query go when it ends, so that a job of many steps needs the disk of its largest step and not of all.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def materialize(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """Write a frame once to the shared folder and read it back, which cuts its lineage and survives lost executors.
 
-    The driver's garbage is collected afterwards, as spark.cleaner.periodicGC does at intervals: the shuffle files of what
-    was written are then free to go, so that a job of many steps needs the disk of its largest step and not of all. by: a last column by whose values the files lie in folders, so that reading one value reads only it.
+    What isn't discarded before goes when the application ends. by: a last column by whose values the files lie in
+    folders, so that reading one value reads only it.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    schema = df.schema
-    (df.write.partitionBy(by) if by else df.write).parquet(path)
-    del df
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    schema, before = df.schema, spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        (df.write.partitionBy(by) if by else df.write).parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
     out = spark.read.schema(schema).parquet(path)
     out.written_to = path
+    _files(out, lambda fs, at: fs.deleteOnExit(at))
     return out
 
 
-def discard(table: DataFrame) -> None:
-    """Delete a materialized table that nothing will read any more."""
-    spark = table.sparkSession
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table.written_to)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def discard(*tables: DataFrame) -> None:
+    """Delete materialized tables that nothing will read any more."""
+    for table in tables:
+        _files(table, lambda fs, at: fs.delete(at, True))
+
+
+def _files(table: DataFrame, act: Callable) -> None:
+    context = table.sparkSession.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(table.written_to)
+    act(path.getFileSystem(context._jsc.hadoopConfiguration()), path)
 
 
 def map_rows(df: DataFrame, schema: str, make: Callable[[], Callable], columns: list[str]) -> DataFrame:

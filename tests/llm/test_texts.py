@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 
 import duckdb
 import numpy as np
@@ -15,79 +16,69 @@ from gleaner.llm.queries import tokenizer
 SF = "/root/testdata/sf0.001"
 
 
-def brute_lines(rows, min_words=3, min_part=8):
-    seen, out = set(), {}
-    for i, text in sorted((r for r in rows if r[0] is not None), key=lambda r: r[0]):
-        kept = []
-        for line in (text or "").split("\n"):
-            norm = lambda s: " ".join(s.lower().split())
-            whole = len(line.split()) >= min_words
-            gone = whole and norm(line) in seen
-            seen |= {norm(line)} if whole else set()
-            parts = [line[a : a + n] for a, n in linededup.parts_of(line.encode(), min_part)]
-            left = line
-            if len([p for p in parts if p]) > 1:
-                left = parts[0]
-                for p in parts[1:]:
-                    left += "" if norm(p) in seen else p
-                    seen.add(norm(p))
-            if not gone and (left == line or left.split()):
-                kept.append(left)
-        out[i] = "\n".join(kept)
+def brute_lines(rows, min_words, run):
+    """Texts by place in the list, without words that later units and later runs hold."""
+    units, runs, out = set(), {}, {}
+    for n, (i, text) in sorted(enumerate(rows), key=lambda r: (r[1][0] is None, r[1][0])):
+        if i is None or text is None:
+            out[n] = text
+            continue
+        lines = text.split("\n")
+        words = [w.lower() for line in lines for w in line.split()]
+        gone, at = [False] * len(words), 0
+        for line in lines:
+            k = len(line.split())
+            if k >= min_words:
+                if tuple(words[at : at + k]) in units:
+                    gone[at : at + k] = [True] * k
+                units.add(tuple(words[at : at + k]))
+            at += k
+        for k in range(len(words) - run + 1):
+            first = runs.setdefault(tuple(words[k : k + run]), (n, k))
+            if first[0] != n or k >= first[1] + run:
+                gone[k : k + run] = [True] * run
+        kept, at = [], 0
+        for line in lines:
+            pieces = re.findall(r"\S+\s*", line)
+            own = gone[at : at + len(pieces)]
+            at += len(pieces)
+            if not any(own):
+                kept.append(line)
+            elif not all(own):
+                kept.append(line[: len(line) - len("".join(pieces))] + "".join(p for p, g in zip(pieces, own) if not g))
+        out[n] = "\n".join(kept)
     return out
 
 
-def test_lines_against_brute_force(docs, edges, empty):
+@pytest.mark.parametrize("min_words, run", [(3, 8), (6, 5), (4, 30)])
+def test_lines_against_brute_force(docs, min_words, run):
     rng = random.Random(4)
-    words = ["alpha", "beta", "Gamma", "delta.", "eps!", "zeta"]
-    passage = "This passage stands in the middle of lines of many documents. And it has a second sentence, as long as that."
+    words = ["alpha", "beta", "Gamma", "delta.", "eps!", "zeta", "é", " "]
+    passage = " ".join(f"p{k}" for k in range(40))
     lines = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 14))) for _ in range(40)]
-    rows = [(i, "\n".join(rng.choice(lines) + (f" No{i}. {passage} Tail {i}." if rng.random() < 0.3 else "") for _ in range(rng.randint(0, 6))), "en", "a") for i in range(120)]
-    got = {r["doc_id"]: r for r in linededup.dedup_units(docs(rows)).collect()}
-    assert {i: r["text"] for i, r in got.items()} == brute_lines([(i, t) for i, t, _, _ in rows])
-    assert sum(passage in r["text"] for r in got.values()) == 1
-    for i, text, _, _ in rows:  # offsets are the original's
-        assert linededup.cut_spans(text.encode(), {(s["start"], s["length"]) for s in got[i]["removed"]}, b"\n")[0].decode() == got[i]["text"]
-    edge = {r["doc_id"]: r for r in linededup.dedup_units(edges, keep=["lang"]).collect()}
+    rows = [(i, "\n".join(rng.choice(lines) + (f" no{i} {passage[: rng.randint(60, 150)]} tail{i}" if rng.random() < 0.3 else "") for _ in range(rng.randint(0, 6))), "en", "a") for i in range(120)]
+    rows += [(200, passage.replace(" ", "\n") + "\n" + passage.upper(), "en", "a"), (201, "x " * 100, "en", "a"), (None, rows[3][1], "en", "a"), (202, None, "en", "a")]
+    got = {r["doc_id"]: r for r in linededup.dedup_units(docs(rows), min_words=min_words, run=run).collect()}
+    want = brute_lines([(i, t) for i, t, _, _ in rows], min_words, run)
+    assert {i: r["text"] for i, r in got.items()} == {rows[n][0]: t for n, t in want.items()}
+    for i, text, _, _ in rows:  # offsets are the original's: what is left is all but them and separators
+        if text is not None:
+            data, left, to = text.encode(), b"", 0
+            for s in got[i]["removed"]:
+                left, to = left + data[to : s["start"]], s["start"] + s["length"]
+            assert (left + data[to:]).replace(b"\n", b"") == got[i]["text"].encode().replace(b"\n", b"") and got[i]["n_removed"] == len(got[i]["removed"])
+
+
+def test_line_edges(docs, edges, empty):
+    edge = {r["doc_id"]: r for r in linededup.dedup_units(edges, keep=["lang"], min_words=3).collect()}
     assert edge[1]["text"] is None and edge[2]["text"] == "" and edge[4]["text"] and edge[5]["text"] == "" and edge[None]["text"] == "no id at all" and edge[None]["lang"] == "fr"
     assert linededup.dedup_units(empty).count() == 0
-
-
-def brute_passages(rows, n=linededup.RUN):
-    first, out = {}, {}
-    for i, text in sorted(rows):
-        words = text.lower().split()
-        gone = set()
-        for k in range(len(words) - n + 1):
-            a = first.setdefault(tuple(words[k : k + n]), (i, k))
-            if a[0] != i or k >= a[1] + n:
-                gone |= set(range(k, k + n))
-        out[i] = [w for k, w in enumerate(text.split()) if k not in gone]
-    return out
-
-
-def test_passages_against_brute_force(docs, edges, empty):
-    rng = random.Random(8)
-    word = lambda k=900: f"W{rng.randrange(k)}"
-    long = [[word() for _ in range(n)] for n in (49, 50, 51, 60, 130)]  # no sentence ends at all
-    short = [f"{word()} {word()} {word()} {word()} {word()}." for _ in range(12)]  # 60 words in sentences of five
-    rows = []
-    for i in range(80):
-        words = [word() for _ in range(rng.randrange(60))]
-        for _ in range(rng.randrange(3)):
-            at = rng.randrange(len(words) + 1)
-            words[at:at] = rng.choice([*long, " ".join(short).split()])
-        rows.append((i, " ".join(w + "\n" * (rng.random() < 0.02) for w in words), "en", "a"))
-    rows.append((80, "on and " * 200, "en", "a"))
-    got = {r["doc_id"]: r["text"] for r in linededup.cut_passages(docs(rows)).collect()}
-    want = brute_passages([(i, t) for i, t, _, _ in rows])
-    assert {i: t.split() for i, t in got.items()} == want
-    assert sum(" ".join(short) in " ".join(t.split()) for t in got.values()) == 1 and len(got[80].split()) == 50
-    edge = {(r["doc_id"], r["lang"]): r["text"] for r in linededup.cut_passages(edges, keep=["lang"]).collect()}
-    assert len(edge) == 8 and edge[1, None] is None and edge[2, "en"] == "" and edge[None, "fr"] == "no id at all" and edge[5, "en"]
-    two = {r["text"] for r in linededup.cut_passages(docs([(1, rows[80][1], "en", "a"), (1, " ".join(long[4]), "en", "a"), (1, " ".join(long[4]), "en", "a")])).collect()}
-    assert " ".join(long[4]) in two
-    assert linededup.cut_passages(empty).count() == 0
+    # rows of one id with different texts keep what doesn't repeat; equal rows of one id are one document
+    rows = [(1, "the first of the lines here", "en", "a"), (2, "the first of the lines here\nand more", "en", "a"), (2, "éééé completely different words in this one", "en", "a"), (3, "a row that is twice there", "en", "a"), (3, "a row that is twice there", "en", "a")]
+    out = linededup.dedup_units(docs(rows), min_words=3).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in out) == [(1, rows[0][1]), (2, "and more"), (2, rows[2][1]), (3, rows[3][1]), (3, rows[3][1])]
+    paragraphs = linededup.dedup_units(docs([(1, "one two\nthree four\n\nx", "en", "a"), (2, "y\n\none  two three four", "en", "a")]), unit="paragraph", min_words=4).collect()
+    assert sorted(r["text"] for r in paragraphs) == ["one two\nthree four\n\nx", "y"]
 
 
 def test_lines_against_sql(spark):
@@ -191,8 +182,9 @@ def brute_components(rows, words, num, den):
     return {i: (len(sets[i]), find(i)) for i in ids}
 
 
-@pytest.mark.parametrize("words, num, den, weight", [(3, 90, 100, 32_768), (5, 80, 100, 300), (2, 50, 100, 100)])
-def test_jaccard_against_brute_force(docs, words, num, den, weight):
+@pytest.mark.parametrize("words, num, den, fragments, unit", [(3, 90, 100, 8, 256), (5, 80, 100, 5, 3), (2, 50, 100, 1, 2)])
+def test_jaccard_against_brute_force(docs, monkeypatch, words, num, den, fragments, unit):
+    monkeypatch.setattr(jaccard, "UNIT", unit)
     rng = random.Random(words)
     vocabulary = [f"w{i}" for i in range(3000)]
     rows = []
@@ -203,8 +195,14 @@ def test_jaccard_against_brute_force(docs, words, num, den, weight):
             for _ in range(rng.randint(0, 6)):
                 text[rng.randrange(len(text))] = rng.choice(vocabulary)
             rows.append((len(rows), " ".join(text).upper() if rng.random() < 0.2 else "  ".join(text)))
+    for g in range(8):  # chains: neighbours link, the ends don't; and parts of a text
+        base = [rng.choice(vocabulary) for _ in range(100)]
+        for k in range(6):
+            rows.append((len(rows), " ".join(base[3 * k :] + [f"g{g}n{k}{i}" for i in range(3 * k)])))
+        rows += [(len(rows) + k, " ".join(base[: 100 * keep // 100])) for k, keep in enumerate((91, 82, 70, 55))]
+    rng.shuffle(rows)
     rows += [(len(rows), ""), (len(rows) + 1, None), (len(rows) + 2, "one"), (len(rows) + 3, "One"), (len(rows) + 4, "one two")]
-    got = jaccard.jaccard_components(docs([(i, t, "en", "a") for i, t in rows]), words=words, num=num, den=den, weight=weight)
+    got = jaccard.jaccard_components(docs([(i, t, "en", "a") for i, t in rows]), words=words, num=num, den=den, fragments=fragments)
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got.collect()} == brute_components(rows, words, num, den)
 
 
@@ -215,12 +213,36 @@ def test_jaccard_edges(edges, empty, docs):
     assert [r["component_id"] for r in twice] == [1, 1, 1]
 
 
-def test_fragment_keys_lose_no_link():
-    rng = np.random.default_rng(8)
-    for _ in range(300):
+@pytest.mark.parametrize("num, den", [(90, 100), (80, 100), (50, 100), (30, 100)])
+def test_part_keys_lose_no_link(num, den):
+    rng, linked = np.random.default_rng(8), 0
+    for _ in range(400):
         n = int(rng.integers(1, 400))
         x = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2))
-        y = np.unique(np.concatenate([x[rng.random(len(x)) > 0.05], rng.integers(0, 1 << 63, int(n * rng.random() * 0.05)).astype(np.uint64)]))
+        stay = rng.uniform(num / den, 1) if rng.random() < 0.5 else (num / den) + 0.01  # many of them subsets near the bound
+        y = x[rng.permutation(len(x))[: max(1, round(len(x) * stay))]]
+        y = np.unique(np.concatenate([y, rng.integers(0, 1 << 63, int(n * rng.random() * 0.05) if rng.random() < 0.5 else 0).astype(np.uint64)]))
         common = len(np.intersect1d(x, y))
-        if common and 100 * common >= 90 * (len(x) + len(y) - common):
-            assert len(np.intersect1d(jaccard.fragment_keys(x, 90, 100), jaccard.fragment_keys(y, 90, 100)))
+        if common and den * common >= num * (len(x) + len(y) - common):
+            linked += 1
+            assert len(np.intersect1d(jaccard.part_keys(x, num, den), jaccard.part_keys(y, num, den)))
+    assert linked > 100
+
+
+def test_groups_are_settled_by_rounds(spark, docs):
+    """Sets of one group that don't link with its first one still find each other."""
+    rng = random.Random(3)
+    rows = [(i, " ".join(f"w{(i // 5) * 7 + k}" if k > 30 else f"c{k}" for k in range(60)) + f" x{rng.randint(0, 1)}") for i in range(60)]
+    text = {i: np.unique(jaccard.ngram_hashes(t.encode(), 2, jaccard.WordHash())) for i, t in rows}
+    edges = np.arange(1, 4, dtype=np.uint64) * np.uint64(1 << 62)
+    parts = [(i, f, len(h), int(lo), h[lo:hi].tobytes()) for i, h in text.items() for f, (lo, hi) in enumerate(zip([0, *np.searchsorted(h, edges)], [*np.searchsorted(h, edges), len(h)]))]
+    segments = spark.createDataFrame([(i, f, n, lo, bytearray(b)) for i, f, n, lo, b in parts], "x long, f int, n long, before long, grams binary")
+    groups = spark.createDataFrame([(1, i) for i in range(1, 60)], "g long, x long")
+    first = jaccard.count_pairs(spark.createDataFrame([(0, i) for i in range(1, 60)], "a long, b long"), segments, 70, 100)
+    from gleaner.llm.shared import materialize
+
+    reached, _ = jaccard._settle(groups, materialize(first, "first"), segments, 70, 100)
+    got = {r["node"]: r["component"] for r in reached.collect()}
+    assert {i: (0, got.get(i, i)) for i in range(60)} == {i: (0, c) for i, (_, c) in brute_components(rows, 2, 70, 100).items()}
+    repeated = jaccard.jaccard_components(docs([(1, "a b c d", "en", "a"), (1, "e f g h", "en", "a"), (3, "e f g h", "en", "a"), (4, "a b c d", "en", "a")])).collect()
+    assert sorted(r["component_id"] for r in repeated) == [1, 1, 1, 1]
