@@ -9,9 +9,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import WORD, materialize
+from .shared import WORD, map_rows, materialize
 
 WEIGHTS = (3, 1, 2)
+#: Sources beyond which their table isn't broadcast.
+BROADCAST = 10_000
 
 
 def fill_targets(sizes: list[int], weights: list[float], share: float, most: float) -> list[float]:
@@ -63,23 +65,31 @@ def shard_counts(quotas: list[int], shards: int, seed: int) -> np.ndarray:
     return out
 
 
-def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", share: float = 1.5, most: float = 2.0, block: int = 64, shards: int = 16, seed: int = 17, buckets: int = 1024) -> tuple[DataFrame, DataFrame]:
+def row_hashes(df: DataFrame, columns: list[str]) -> list:
+    """Two hashes by which a row is known; rows that agree in them agree in all these columns."""
+    return [F.xxhash64(*columns).alias("h1"), F.xxhash64(F.lit(1), *columns).alias("h2")]
+
+
+def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", share: float = 1.5, most: float = 2.0, block: int = 64, shards: int = 16, seed: int = 17, keep: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """Mix sources' words in blocks of a fixed length.
 
     Returns (documents, pieces). documents: id, size, source, source_size, target, taken (words, repeats counted), one row
-    for each input row. pieces: id, first, last (words of the document, last exclusive), block, times (0, 1 or 2).
+    for each input row. pieces: h1, h2 (hashes of the row: id, text, source and the columns in keep), s, start (the row's
+    place), first, last (words of the row, last exclusive), block, times (0, 1 or 2).
     Sources by code point, null last, weigh 3, 1, 2, repeating. Targets are met to within a block; a block is taken most
-    times at most. A null or empty text has size 0 and takes nothing. Repeated rows count each; equal ids are one
-    document to the caller, so ids should be unique. Other columns are ignored. An empty table gives empty results.
-    Sizes by source come to the driver: as many numbers as there are sources.
+    times at most, so no row gives more than most times its size. A null or empty text has size 0 and takes nothing. Rows
+    are told apart by their place, not by their id: repeated rows and rows with a null id count each. Other columns are
+    ignored. An empty table gives empty results. Sizes by source come to the driver: as many numbers as there are sources.
     """
-    base = df.select(
+    base = materialize(df.select(
         F.col(id_col).alias("id"),
         F.col(source_col).alias("src"),
         F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long").alias("size"),
-    ).withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int"))
-    base = materialize(base, "mix-sizes")
+        *row_hashes(df, [id_col, text_col, source_col, *(keep or [])]),
+    ), "mix-sizes")
     spark = df.sparkSession
+    buckets = max(64, base.count() // 50_000)
+    base = base.withColumn("bucket", F.pmod("h1", F.lit(buckets)))
     sums = base.groupBy("src", "bucket").agg(F.sum("size").alias("n"))
     sources = sums.groupBy("src").agg(F.sum("n").alias("n")).collect()
     sources.sort(key=lambda r: (r["src"] is None, r["src"] or ""))
@@ -90,12 +100,12 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     table = spark.createDataFrame([(i, r["src"], n, t, b) for i, (r, n, t, b) in enumerate(zip(sources, sizes, targets, blocks, strict=True))], "s int, src string, source_size long, target double, blocks long")
     before = Window.partitionBy("src").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select("src", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    own = Window.partitionBy("src", "bucket").orderBy("id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    own = Window.partitionBy("src", "bucket").orderBy("h1", "h2").rowsBetween(Window.unboundedPreceding, -1)
     placed = (
         base.withColumn("within", F.coalesce(F.sum("size").over(own), F.lit(0))).alias("d")
         .join(starts.alias("b"), F.col("d.src").eqNullSafe(F.col("b.src")) & (F.col("d.bucket") == F.col("b.bucket")))
-        .join(F.broadcast(table).alias("t"), F.col("d.src").eqNullSafe(F.col("t.src")))  # a row for each source
-        .select("d.id", "d.size", "d.src", "t.s", "source_size", "target", "blocks", (F.col("base") + F.col("within")).alias("start"))
+        .join((F.broadcast(table) if len(sources) <= BROADCAST else table).alias("t"), F.col("d.src").eqNullSafe(F.col("t.src")))
+        .select("d.id", "d.h1", "d.h2", "d.size", "d.src", "t.s", "source_size", "target", "blocks", (F.col("base") + F.col("within")).alias("start"))
     )
     placed = materialize(placed, "mix-places")
     # slots: (shard, source, ordinal), mapped through the source's permutation to a block
@@ -120,29 +130,29 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
 
     slots = spark.range(0, at, 1, max(2, min(4096, at // 250_000 + 2))).mapInArrow(deal, "shard int, s int, block long")
     times = slots.groupBy("s", "block").agg(F.count("*").alias("times"))
-    spans = placed.filter("size > 0").select("id", "s", "start", "size", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block))).alias("block"))
+    spans = placed.filter("size > 0").select("h1", "h2", "s", "start", "size", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block))).alias("block"))
     pieces = spans.join(times, ["s", "block"]).select(
-        "id", "block",
+        "h1", "h2", "s", "start", "block",
         F.greatest(F.lit(0).cast("long"), F.col("block") * block - F.col("start")).alias("first"),
         F.least(F.col("size"), (F.col("block") + 1) * block - F.col("start")).alias("last"),
         "times",
     )
-    taken = pieces.groupBy("id").agg(F.sum((F.col("last") - F.col("first")) * F.col("times")).alias("taken"))
-    out = placed.alias("p").join(taken.alias("k"), F.col("p.id").eqNullSafe(F.col("k.id")), "left").select(
+    taken = pieces.groupBy("s", "start").agg(F.sum((F.col("last") - F.col("first")) * F.col("times")).alias("taken"))
+    place = F.when(F.col("p.size") > 0, F.col("p.start"))  # rows without words share their place with the next row
+    out = placed.alias("p").join(taken.alias("k"), (F.col("p.s") == F.col("k.s")) & (place == F.col("k.start")), "left").select(
         F.col("p.id").alias(id_col), "size", F.col("src").alias(source_col), "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken")
     )
-    return out, pieces.withColumnRenamed("id", id_col)
-
+    return out, pieces
 
-def mixed_texts(df: DataFrame, pieces: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The words that a mix takes of each document as its text: id, text and the columns in keep. Documents of which
-    nothing is taken go. Pieces that follow each other keep what is between them; other pieces begin a new line. A block
-    that is taken twice comes again in a second pass over the document."""
-    from .shared import map_rows
 
-    keep, kinds = keep or [], dict(df.dtypes)
-    taken = pieces.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("first", "last", "times"))).alias("taken"))
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *[F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep)]).join(taken.withColumnRenamed(id_col, "id"), "id")
+def mixed_texts(df: DataFrame, pieces: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: list[str] | None = None) -> DataFrame:
+    """The words that a mix (with the same columns to keep) takes of each row as its text: id, text, source and the
+    columns in keep. Rows of which nothing is taken go. Pieces that follow each other keep what is between them; other
+    pieces begin a new line. A block that is taken twice comes again in a second pass over the row."""
+    more, kinds = [source_col, *(keep or [])], dict(df.dtypes)
+    taken = pieces.groupBy("h1", "h2", "s", "start").agg(F.array_sort(F.collect_list(F.struct("first", "last", "times"))).alias("taken"))
+    rows = df.select(*row_hashes(df, [id_col, text_col, *more]), F.col(id_col).alias("id"), F.col(text_col).alias("text"), *[F.col(c).alias(f"keep_{i}") for i, c in enumerate(more)])
+    rows = rows.dropDuplicates(["h1", "h2"]).join(taken, ["h1", "h2"])
 
     def make():
         word = re.compile(WORD.encode())
@@ -153,7 +163,7 @@ def mixed_texts(df: DataFrame, pieces: DataFrame, id_col: str = "doc_id", text_c
             for again in range(max(t["times"] for t in taken)):
                 runs: list[list[int]] = []
                 for t in taken:
-                    if t["times"] > again and t["last"] <= len(ends):
+                    if t["times"] > again:
                         if runs and runs[-1][1] == t["first"]:
                             runs[-1][1] = t["last"]
                         else:
@@ -163,4 +173,4 @@ def mixed_texts(df: DataFrame, pieces: DataFrame, id_col: str = "doc_id", text_c
 
         return each
 
-    return map_rows(rows, f"{id_col} {kinds[id_col]}, {text_col} string" + "".join(f", {c} {kinds[c]}" for c in keep), make, ["id", "text", "taken", *[f"keep_{i}" for i in range(len(keep))]])
+    return map_rows(rows, f"{id_col} {kinds[id_col]}, {text_col} string" + "".join(f", {c} {kinds[c]}" for c in more), make, ["id", "text", "taken", *[f"keep_{i}" for i in range(len(more))]])

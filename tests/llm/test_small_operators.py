@@ -108,6 +108,19 @@ def test_mix(spark, edges, empty):
     assert len(got) == 8 and got[1]["size"] == 0 == got[1]["taken"] and mixing.mix(empty)[0].count() == 0
 
 
+def test_mix_tells_rows_apart(docs):
+    """Equal rows, and rows with null ids, take at most twice their own size, and sources meet their targets."""
+    rows = [(1, "w " * 200, "en", "a")] * 2 + [(i, f"own{i} " * 150, "en", "a") for i in range(2, 8)] + [(None, "x " * 90, "en", "b"), (None, "y " * 110, "en", "b"), (9, "", "en", "b"), (10, "z " * 500, "en", None)]
+    out, pieces = mixing.mix(docs(rows), block=16, keep=["lang"])
+    got = out.collect()
+    assert len(got) == len(rows) and all(r["taken"] <= 2 * r["size"] for r in got)
+    for s in ("a", "b", None):
+        own = [r for r in got if r["source"] == s]
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 17, s
+    texts = mixing.mixed_texts(docs(rows), pieces, keep=["lang"]).collect()
+    assert sorted(len(r["text"].split()) for r in texts) == sorted(r["taken"] for r in got if r["taken"]) and {r["lang"] for r in texts} == {"en"}
+
+
 def test_licenses(edges, empty):
     s = licenses.Scanner()
     for name, text in licenses.TEMPLATES.items():
