@@ -1,265 +1,247 @@
 """Substring dedup: hash normalised lines or paragraphs, group digests globally, keep the earliest occurrence, cut the rest.
 
-Units are what lies between separators, and, so that a passage is found wherever in a line it stands, the parts of units
-of several sentences: a sentence of enough words with the short ones after it. A unit is normalised by lower-casing A-Z,
-turning runs of ASCII white space into one space and trimming. Occurrences rank by (id, position). Only digests and
-positions are shuffled to find repeats; a very common unit is counted before the shuffle, and the join that marks its
-occurrences may be split.
+A unit is what lies between separators, its words compared in lower case (A-Z) whatever the white space between them.
+Units of a few words repeat by chance or by form, so units below a least number of words stay. So that a longer passage is
+found wherever in a unit it begins and ends, every run of a fixed number of words (over units' ends too) that occurs
+earlier goes as well. Occurrences rank by (id, word). Only digests and places are shuffled to find repeats; a very common
+digest is counted before the shuffle, and the join that marks its occurrences may be split.
+
+Runs are found in two steps. Any run of RUN words holds RUN - GRAM + 1 sequences of GRAM words; the one with the least hash
+stands for it. Equal runs have equal marks, at equal distances, and neighbouring runs mostly share theirs, so the marks
+are few. Runs whose mark stands at one place alone can't repeat; of the others digests are compared.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
-import xxhash
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .jaccard import WordHash, mix64
 from .shared import discard, map_rows, materialize
 
 SEPARATORS = {"line": b"\n", "paragraph": b"\n\n"}
-_END = re.compile(rb"[.!?]+[\x20\t\n]+")
-
-
-def parts_of(unit: bytes, min_words: int) -> list[tuple[int, int]]:
-    """(start, length) of a unit's parts: each sentence of at least min_words words with the shorter ones that follow.
-    What comes before the first such sentence is a part of its own, of length 0 if there is nothing."""
-    ends = [*(m.end() for m in _END.finditer(unit)), len(unit)]
-    starts = [0]
-    for a, b in zip([0, *ends], ends):
-        if a < b and len(unit[a:b].split()) >= min_words:
-            starts.append(a)
-    return [(a, b - a) for a, b in zip(starts, [*starts[1:], len(unit)], strict=True)]
-
-
-def spans_of(text: bytes, unit: str, min_words: int, min_part: int):
-    """(position, part, start, length) of a text's units; part 0 is the whole unit. Offsets are in bytes of UTF-8."""
-    mark = SEPARATORS[unit]
-    start = 0
-    for position, whole in enumerate(text.split(mark)):
-        words = len(whole.split())
-        if words >= min_words:
-            yield position, 0, start, len(whole)
-        if words > min_part and _END.search(whole):
-            parts = parts_of(whole, min_part)
-            if len(parts) > 2 or len(parts) == 2 and parts[0][1]:
-                for i, (a, n) in enumerate(parts[1:], 1):
-                    yield position, i, start + a, n
-        start += len(whole) + len(mark)
-
-
-def digest(unit: bytes) -> tuple[int, int]:
-    """128 bits of a unit's normalised text."""
-    d = xxhash.xxh3_128_intdigest(b" ".join(unit.lower().split()))
-    return (d >> 64) - (1 << 63), (d & (1 << 64) - 1) - (1 << 63)
+_PIECE = re.compile(rb"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*")
+GRAM = 26
+_BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 
 
-def cut_spans(text: bytes, spans: set[tuple[int, int]], mark: bytes) -> tuple[bytes, list[tuple[int, int]]]:
-    """The text without the given spans, and those of them that were cut: units go with their separator; of others parts
-    go, and a unit of which only white space would be left goes as a whole."""
-    keep, cut, start, inside = [], [], 0, sorted(spans)
-    at = 0
-    for whole in text.split(mark):
-        end = start + len(whole)
-        own = []
-        while at < len(inside) and inside[at][0] < end:
-            own.append(inside[at])
-            at += 1
-        if (start, len(whole)) in spans:
-            cut.append((start, len(whole)))
-        elif own:
-            left, to = [], start
-            for a, n in own:
-                left.append(text[to:a])
-                to = a + n
-            left.append(text[to:end])
-            cut += own
-            if (rest := b"".join(left)).split():
-                keep.append(rest)
-        else:
-            keep.append(whole)
-        start = end + len(mark)
-    return mark.join(keep), cut
-
+def prefix_sums(words: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of words * base**place before each word, and base**-place; modulo 2**64."""
+    n = len(words)
+    up = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, base, np.uint64)]))
+    down = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, pow(base, -1, 1 << 64), np.uint64)]))
+    return np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * up[:-1])]), down
 
-def dedup_units(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: str = "line", min_words: int = 3, min_part: int = 8, keep: list[str] | None = None) -> DataFrame:
-    """One row for each input row: id, n_units, n_removed, removed (array of start, length in the original's bytes), text.
 
-    n_units counts units of at least min_words words, and the parts of units that have more than one; shorter ones always
-    stay. A null or empty text has none and stays as it is. Rows with a null id stay as they are and don't count. Rows of
-    one id are one document: units at the same position of repeated rows are one occurrence. Only the named columns are
-    used, whatever others are called; those in keep are returned as they are.
-    """
-    kind = dict(df.dtypes)[id_col]
-    mark = SEPARATORS[unit]
+def sequence_hashes(words: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
+    """A hash of the words from each start to its end."""
+    sums, down = prefix_sums(words, _BASES[which])
+    return mix64((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
-    def find():
-        def each(key, text):
-            text = text or b""
-            for position, part, start, length in spans_of(text, unit, min_words, min_part):
-                yield key, position, part, start, length, *digest(text[start : start + length])
 
-        return each
-
-    found = materialize(map_rows(df.filter(F.col(id_col).isNotNull()), f"id {kind}, p int, q int, start long, length long, d1 long, d2 long", find, [id_col, text_col]), "units")
-    first = found.groupBy("d1", "d2").agg(F.min(F.struct("id", "p", "q")).alias("first"), F.count("*").alias("c")).filter("c > 1")
-    first = materialize(first, "repeats")  # read back: the join has exchanges of its own, which can be split
-    later = (F.col("id") != F.col("first.id")) | (F.col("p") != F.col("first.p")) | (F.col("q") != F.col("first.q"))
-    removed = found.join(first, ["d1", "d2"]).filter(later).groupBy("id").agg(F.collect_list(F.struct("start", "length")).alias("removed"))
-    keep = keep or []
-    kinds = dict(df.dtypes)
-    joined = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *[F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep)]).join(removed, "id", "left")
-
-    def cut():
-        def each(key, text, removed, *rest):
-            if text is None:
-                yield key, 0, 0, [], None, *rest
-            else:
-                left, spans = cut_spans(text, {(r["start"], r["length"]) for r in removed or []}, mark)
-                n = sum(1 for _ in spans_of(text, unit, min_words, min_part)) if key is not None else 0
-                yield key, n, len(spans), [{"start": a, "length": b} for a, b in spans], left.decode("utf-8", "replace"), *rest
+def marks_of(words: np.ndarray, run: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each run of so many words the hash of the sequence in it that stands for it, and its place."""
+    gram = min(GRAM, run)
+    width = run - gram + 1
+    if len(words) < run:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    starts = np.arange(len(words) - gram + 1)
+    grams = sequence_hashes(words, starts, starts + gram)
+    at = np.lib.stride_tricks.sliding_window_view(grams, width).argmin(axis=1) + np.arange(len(words) - run + 1)
+    return grams[at].view(np.int64), at
 
-        return each
 
-    more = "".join(f", {c} {kinds[c]}" for c in keep)
-    schema = f"{id_col} {kind}, n_units long, n_removed long, removed array<struct<start:long,length:long>>, {text_col} string{more}"
-    return map_rows(joined, schema, cut, ["id", "text", "removed", *[f"keep_{i}" for i in range(len(keep))]])
+def words_and_units(text: bytes, unit: str, table: WordHash) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of a text's words, and the number of words in each unit."""
+    units = [u.split() for u in text.lower().split(SEPARATORS[unit])]
+    counts = np.fromiter(map(len, units), np.int64, len(units))
+    return np.fromiter((table[w] for u in units for w in u), np.uint64, int(counts.sum())), counts
 
 
-_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
-RUN = 50
-GRAM = 26  # any RUN words hold RUN - GRAM + 1 sequences of GRAM words, of which the one with the least hash stands for them
+def cut_words(text: bytes, gone: np.ndarray, unit: str) -> tuple[bytes, list[tuple[int, int]]]:
+    """The text without the words that are gone, each with the white space after it in its unit, and the (start, length)
+    cut. A unit that loses all its words goes with its separator."""
+    mark, keep, spans = SEPARATORS[unit], [], []
+    start = i = 0
+    for whole in text.split(mark):
+        places = [m.span() for m in _PIECE.finditer(whole)]
+        own = gone[i : i + len(places)]
+        i += len(places)
+        if not own.any():
+            keep.append(whole)
+        elif own.all():
+            spans.append((start, len(whole)))
+        else:
+            left, to = [], 0
+            change = np.flatnonzero(np.diff(np.concatenate([[False], own, [False]]).astype(np.int8))).tolist()
+            for a, b in zip(change[::2], change[1::2], strict=True):
+                left.append(whole[to : places[a][0]])
+                to = places[b - 1][1]
+                spans.append((start + places[a][0], to - places[a][0]))
+            keep.append(b"".join(left) + whole[to:])
+        start += len(whole) + len(mark)
+    return mark.join(keep), spans
 
 
-def _hashes(words: list[bytes], length: int) -> np.ndarray:
-    """A 64-bit hash of each sequence of so many words."""
-    own = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), np.uint64, len(words))
-    n = len(words) - length + 1
-    out = np.zeros(max(0, n), np.uint64)
-    for k in range(length if n > 0 else 0):
-        out = (out ^ own[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
-        out ^= out >> np.uint64(29)
-    return out
+def _batches(rows: Iterator[tuple], names: list[str], kind: pa.DataType, limit: int = 200_000) -> Iterator[pa.RecordBatch]:
+    """(id, hash, columns...) of equal length each to batches."""
+    held: list[tuple] = []
+    n = 0
+    for row in rows:
+        held.append(row)
+        n += len(row[2])
+        if n >= limit:
+            yield _packed(held, names, kind)
+            held, n = [], 0
+    if held:
+        yield _packed(held, names, kind)
 
 
-def marks_of(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """For each run of RUN words the hash of GRAM words in it that stands for it, and their place. Equal runs have equal
-    marks at equal distances, so a run that occurs twice has a mark that stands at two places."""
-    grams = _hashes(words, GRAM)
-    width = RUN - GRAM + 1
-    if len(grams) < width:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    at = np.lib.stride_tricks.sliding_window_view(grams, width).argmin(axis=1)
-    at += np.arange(len(at))
-    return grams[at].view(np.int64), at
+def _packed(held: list[tuple], names: list[str], kind: pa.DataType) -> pa.RecordBatch:
+    times = [len(r[2]) for r in held]
+    again = np.repeat(np.arange(len(held)), times)
+    first = [pa.array([r[0] for r in held], kind).take(pa.array(again)), pa.array(np.repeat(np.array([r[1] for r in held], np.int64), times))]
+    return pa.RecordBatch.from_arrays(first + [pa.array(np.concatenate(c)) for c in zip(*(r[2:] for r in held), strict=True)], names)
 
 
-def cut_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """id, text, keep: each row without the words of every run of RUN words (in lower case, whatever the white space) that
-    occurs earlier by (id, word), wherever in lines and sentences runs begin and end; longer passages go as a whole, being
-    such runs. A run that overlaps the first occurrence of its words is no repeat.
+def dedup_units(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: str = "line", min_words: int = 25, run: int = 50, keep: list[str] | None = None) -> DataFrame:
+    """One row for each input row: id, n_units, n_removed, removed (array of start, length in the original's bytes), text.
 
-    First the marks of all runs are counted. Of runs whose mark occurs twice, alone, 128-bit digests are compared. Rows with
-    a null id or text stay as they are and don't count. Equal rows of one id are one document. White space after a cut
-    word goes with it, but for line feeds.
+    n_units counts units of at least min_words words. Of these every later occurrence goes, and so do the words of every
+    run of `run` words that occurs earlier; a run that overlaps the first occurrence of its words is no repeat. n_removed
+    counts stretches cut. A null or empty text has none and stays as it is. Rows with a null id stay as they are and don't
+    count. Rows of one id with different texts are different documents, ranked by a hash of the text; equal rows of one
+    id are one. Only the named columns are used, whatever others are called; those in keep are returned as they are.
     """
     kind, kinds, keep = dict(df.dtypes)[id_col], dict(df.dtypes), keep or []
-    text = F.col(text_col).alias("text")
-    real = df.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), text)
-
-    def mark():
-        def each(key, h, text):
-            m, at = marks_of(_WORD.findall(text.lower()))
-            if len(m):
-                _, one = np.unique(at, return_index=True)
-                for x, c in zip(*map(np.ndarray.tolist, np.unique(m[one], return_counts=True)), strict=True):
-                    yield key, h, x, c
-
-        return each
-
-    marks = materialize(map_rows(real, f"id {kind}, h long, m long, c long", mark, ["id", "h", "text"]), "passage-marks")
-    twice = materialize(marks.groupBy("m").agg(F.sum("c").alias("c")).filter("c > 1").select("m"), "passage-repeats")
-    wanted = materialize(marks.join(twice, "m").groupBy("id", "h").agg(F.collect_set("m").alias("ms")), "passage-wanted")
-
-    def runs():
-        def each(key, h, text, ms):
-            words = _WORD.findall(text.lower())
-            for i in np.flatnonzero(np.isin(marks_of(words)[0], np.array(ms, np.int64))).tolist():
-                d = xxhash.xxh3_128_digest(b" ".join(words[i : i + RUN]))
-                yield key, h, i, int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
-
-        return each
-
-    found = materialize(map_rows(real.join(wanted, ["id", "h"]), f"id {kind}, h long, i int, d1 long, d2 long", runs, ["id", "h", "text", "ms"]), "passage-runs")
-    first = found.groupBy("d1", "d2").agg(F.min(F.struct("id", "h", "i")).alias("first"), F.count("*").alias("c")).filter("c > 1")
-    first = materialize(first, "passage-first")
-    later = (F.col("id") != F.col("first.id")) | (F.col("h") != F.col("first.h")) | (F.col("i") >= F.col("first.i") + RUN)
-    gone = materialize(found.join(first, ["d1", "d2"]).filter(later).groupBy("id", "h").agg(F.collect_set("i").alias("gone")), "passage-gone")
-    for table in (marks, twice, wanted, found, first):
-        discard(table)
-    joined = df.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), text, *[F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep)]).join(gone, ["id", "h"], "left")
+    text = F.col(text_col).cast("binary").alias("text")
+    rows = df.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), text, *[F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep)])
+    real = rows.filter(F.col("id").isNotNull() & F.col("text").isNotNull()).select("id", "h", "text")
+    places = f"id {kind}, h long, at int, n int, d1 long, d2 long"
+
+    def find(batches):
+        table = WordHash()
+
+        def each(batch):
+            for key, h, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                words, counts = words_and_units(body.as_py(), unit, table)
+                ends = np.cumsum(counts)
+                starts = ends - counts
+                long = counts >= min_words
+                digests = [sequence_hashes(words, starts[long], ends[long], k).view(np.int64) for k in (0, 1)]
+                m, at = marks_of(words, run)
+                own, times = np.unique(m[np.unique(at, return_index=True)[1]], return_counts=True)
+                none = np.full(len(own), -1, np.int32)
+                yield key, h, *map(np.concatenate, zip((starts[long].astype(np.int32), counts[long].astype(np.int32), *digests), (none, times.astype(np.int32), own, own), strict=True))
+
+        for batch in batches:
+            yield from _batches(each(batch), ["id", "h", "at", "n", "d1", "d2"], batch.schema.field(0).type)
+
+    found = materialize(real.mapInArrow(find, places), "units")
+    units, marks = found.filter("at >= 0"), found.filter("at < 0").select("id", "h", "n", F.col("d1").alias("m"))
+    cut_units = materialize(_later(units, 0), "units-later")
+    twice = materialize(marks.groupBy("m").agg(F.sum("n").alias("c")).filter("c > 1").select("m"), "run-marks")  # read back: the join has exchanges of its own, which can be split
+    wanted = marks.join(twice, "m").groupBy("id", "h").agg(F.collect_set("m").alias("ms"))
+    whole = cut_units.groupBy("id", "h").agg(F.collect_list(F.struct("at", "n")).alias("own"))
+    wanted = materialize(wanted.join(whole, ["id", "h"], "left"), "run-wanted")
+    discard(found, twice)
+
+    def digest(batches):
+        table = WordHash()
+
+        def each(batch):
+            for key, h, body, ms, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), batch.column(4).to_pylist(), strict=True):
+                words, _ = words_and_units(body.as_py(), unit, table)
+                m, _ = marks_of(words, run)
+                hit = np.isin(m, ms.values.to_numpy())
+                for a in own or []:  # runs within a unit that goes: the first occurrence of the unit has them
+                    hit[a["at"] : max(a["at"], a["at"] + a["n"] - run + 1)] = False
+                at = np.flatnonzero(hit)
+                if len(at):
+                    yield key, h, at.astype(np.int32), np.full(len(at), run, np.int32), *[sequence_hashes(words, at, at + run, k).view(np.int64) for k in (0, 1)]
+
+        for batch in batches:
+            yield from _batches(each(batch), ["id", "h", "at", "n", "d1", "d2"], batch.schema.field(0).type)
+
+    runs = materialize(real.join(wanted, ["id", "h"]).select("id", "h", "text", "ms", "own").mapInArrow(digest, places), "runs")
+    discard(wanted)
+    gone = _later(runs, run).union(cut_units).groupBy("id", "h").agg(F.collect_set(F.struct("at", "n")).alias("gone"))
+    gone = materialize(gone, "units-gone")
+    discard(runs, cut_units)
 
     def cut():
-        def each(key, text, gone, *rest):
-            yield key, None if text is None else without_words(text, gone or []).decode("utf-8", "replace"), *rest
+        def each(key, body, places, *rest):
+            if body is None:
+                yield key, 0, 0, [], None, *rest
+                return
+            n = sum(len(u.split()) >= min_words for u in body.split(SEPARATORS[unit])) if key is not None else 0
+            left, spans = body, []
+            if places:
+                marked = np.zeros(len(_PIECE.findall(body)) + 1, np.int64)
+                at, ends = np.array([p["at"] for p in places]), np.array([p["at"] + p["n"] for p in places])
+                np.add.at(marked, at, 1)
+                np.add.at(marked, ends, -1)
+                left, spans = cut_words(body, np.cumsum(marked)[:-1] > 0, unit)
+            yield key, n, len(spans), [{"start": a, "length": b} for a, b in spans], left.decode("utf-8", "replace"), *rest
 
         return each
 
     more = "".join(f", {c} {kinds[c]}" for c in keep)
-    return map_rows(joined, f"{id_col} {kind}, {text_col} string{more}", cut, ["id", "text", "gone", *[f"keep_{i}" for i in range(len(keep))]])
-
-
-def without_words(text: bytes, starts: list[int]) -> bytes:
-    """The text without the RUN words from each of these words on."""
-    if not starts:
-        return text
-    places = [m.span() for m in _WORD.finditer(text)]
-    out, to, end = [], 0, 0
-    for i in sorted(starts):
-        for k in range(max(i, end), min(i + RUN, len(places))):
-            a, b = places[k]
-            out.append(text[to:a])
-            to = b
-            stop = places[k + 1][0] if k + 1 < len(places) else len(text)
-            out.append(b"\n" * text.count(b"\n", b, stop))
-            to = stop
-        end = max(end, i + RUN)
-    return b"".join(out) + text[to:]
+    schema = f"{id_col} {kind}, n_units long, n_removed long, removed array<struct<start:long,length:long>>, {text_col} string{more}"
+    return map_rows(rows.join(gone, ["id", "h"], "left"), schema, cut, ["id", "text", "gone", *[f"keep_{i}" for i in range(len(keep))]])
+
+
+def _later(places: DataFrame, apart: int) -> DataFrame:
+    """(id, h, at, n) of all but the first of equal digests, at least so many words behind it in one text."""
+    first = places.groupBy("d1", "d2").agg(F.min(F.struct("id", "h", "at")).alias("first"), F.count("*").alias("c")).filter("c > 1")
+    first = materialize(first, "repeats")
+    later = (F.col("id") != F.col("first.id")) | (F.col("h") != F.col("first.h")) | (F.col("at") >= F.col("first.at") + max(1, apart))
+    return places.join(first, ["d1", "d2"]).filter(later).select("id", "h", "at", "n")
 
 
 SQL = r"""
-WITH cut AS (
-  SELECT doc_id, unnest(range(len(lines))) AS p, unnest(lines) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents)
+WITH lines AS (
+  SELECT doc_id, unnest(range(len(x))) AS p, unnest(x) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents WHERE text IS NOT NULL)
 ), placed AS (
-  SELECT doc_id, p, line, sum(strlen(line) + 1) OVER (PARTITION BY doc_id ORDER BY p) - strlen(line) - 1 AS start FROM cut
-), sentences AS (
-  SELECT doc_id, p, start, unnest(range(len(s))) AS i, unnest(s) AS piece FROM (
-    SELECT doc_id, p, start, string_split(regexp_replace(line, '([.!?]+[\x20\t]+)', '\1' || chr(1), 'g'), chr(1)) AS s FROM placed)
-), grouped AS (
-  SELECT *, sum(CASE WHEN len(regexp_extract_all(piece, '[^\x20\x09-\x0D]+')) >= 8 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, p ORDER BY i) AS q,
-    start + sum(strlen(piece)) OVER (PARTITION BY doc_id, p ORDER BY i) - strlen(piece) AS place
-  FROM sentences WHERE piece <> ''
-), parts AS (
-  SELECT doc_id, p, q, string_agg(piece, '' ORDER BY i) AS txt, min(place) AS start, count(*) OVER (PARTITION BY doc_id, p) AS n FROM grouped GROUP BY doc_id, p, q
+  SELECT doc_id, p, line, sum(strlen(line) + 1) OVER (PARTITION BY doc_id ORDER BY p) - strlen(line) - 1 AS ls FROM lines
+), pieces AS (
+  SELECT doc_id, p, ls, strlen(regexp_extract(line, '^[\x20\x09-\x0D]*')) AS lead, unnest(range(len(x))) AS k, unnest(x) AS piece
+  FROM (SELECT *, regexp_extract_all(line, '[^\x20\x09-\x0D]+[\x20\x09-\x0D]*') AS x FROM placed)
+), words AS (
+  SELECT doc_id, p, k, piece, translate(regexp_extract(piece, '[^\x20\x09-\x0D]+'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w,
+    ls + lead + sum(strlen(piece)) OVER (PARTITION BY doc_id, p ORDER BY k) - strlen(piece) AS start, row_number() OVER (PARTITION BY doc_id ORDER BY p, k) AS i
+  FROM pieces
 ), units AS (
-  SELECT doc_id, p, 0 AS q, line AS txt, start FROM placed WHERE len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) >= 3
-  UNION ALL SELECT doc_id, p, q, txt, start FROM parts WHERE n > 1 AND q > 0
+  SELECT doc_id, p, min(i) AS i, string_agg(w, ' ' ORDER BY k) AS txt FROM words GROUP BY doc_id, p HAVING count(*) >= 25
+), gone_units AS (
+  SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY txt ORDER BY doc_id, i) AS nth FROM units) WHERE nth > 1
+), runs AS (
+  SELECT doc_id, i, string_agg(w, ' ') OVER ahead AS txt FROM words
+  WINDOW ahead AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING) QUALIFY count(*) OVER ahead = 50
 ), ranked AS (
-  SELECT doc_id, p, q, txt, start, row_number() OVER (PARTITION BY trim(regexp_replace(translate(txt, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') ORDER BY doc_id, p, q) AS nth FROM units
-), gone AS (SELECT * FROM ranked WHERE nth > 1),
-lines_gone AS (SELECT doc_id, p, txt, start FROM gone WHERE q = 0),
-parts_gone AS (SELECT g.* FROM gone g ANTI JOIN lines_gone l USING (doc_id, p) WHERE q > 0),
-spans AS (
-  SELECT doc_id, string_agg(start || ':' || strlen(txt), ',' ORDER BY start) AS removed, count(*) AS n_removed
-  FROM (SELECT doc_id, txt, start FROM lines_gone UNION ALL SELECT doc_id, txt, start FROM parts_gone) GROUP BY doc_id
-), less AS (
-  SELECT a.doc_id, a.p, coalesce(string_agg(a.txt, '' ORDER BY a.q) FILTER (g.txt IS NULL), '') AS line
-  FROM (SELECT * FROM parts SEMI JOIN parts_gone USING (doc_id, p)) a LEFT JOIN parts_gone g USING (doc_id, p, q) GROUP BY a.doc_id, a.p
+  SELECT doc_id, i, first_value(doc_id) OVER same AS first_doc, first_value(i) OVER same AS first_i FROM runs WINDOW same AS (PARTITION BY txt ORDER BY doc_id, i)
+), gone_runs AS (
+  SELECT doc_id, i, true AS r FROM ranked WHERE doc_id <> first_doc OR i >= first_i + 50
+), marked AS (
+  SELECT w.*, u.p IS NOT NULL OR coalesce(bool_or(r.r) OVER (PARTITION BY w.doc_id ORDER BY w.i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW), false) AS gone
+  FROM words w LEFT JOIN gone_runs r ON w.doc_id = r.doc_id AND w.i = r.i LEFT JOIN gone_units u ON w.doc_id = u.doc_id AND w.p = u.p
+), islands AS (
+  SELECT *, sum(turn) OVER (PARTITION BY doc_id, p ORDER BY k) AS island FROM (SELECT *, CASE WHEN gone IS DISTINCT FROM lag(gone) OVER (PARTITION BY doc_id, p ORDER BY k) THEN 1 ELSE 0 END AS turn FROM marked)
+), touched AS (
+  SELECT doc_id, p, bool_and(gone) AS all_gone, string_agg(piece, '' ORDER BY k) FILTER (NOT gone) AS rest FROM marked GROUP BY doc_id, p HAVING bool_or(gone)
+), cuts AS (
+  SELECT doc_id, start, len FROM (SELECT doc_id, p, island, min(start) AS start, sum(strlen(piece)) AS len FROM islands WHERE gone GROUP BY doc_id, p, island) ANTI JOIN (SELECT doc_id, p FROM touched WHERE all_gone) USING (doc_id, p)
+  UNION ALL SELECT doc_id, ls, strlen(line) FROM placed SEMI JOIN (SELECT doc_id, p FROM touched WHERE all_gone) USING (doc_id, p)
+), spans AS (
+  SELECT doc_id, count(*) AS n_removed, string_agg(start || ':' || len, ',' ORDER BY start) AS removed FROM cuts GROUP BY doc_id
 ), texts AS (
-  SELECT c.doc_id, string_agg(coalesce(l.line, c.line), chr(10) ORDER BY c.p) AS text
-  FROM (SELECT * FROM cut ANTI JOIN lines_gone USING (doc_id, p)) c LEFT JOIN less l USING (doc_id, p)
-  WHERE l.line IS NULL OR regexp_matches(l.line, '[^\x20\x09-\x0D]') GROUP BY c.doc_id
+  SELECT doc_id, string_agg(CASE WHEN t.p IS NULL THEN line ELSE regexp_extract(line, '^[\x20\x09-\x0D]*') || rest END, chr(10) ORDER BY l.p) AS text
+  FROM lines l LEFT JOIN touched t USING (doc_id, p) WHERE t.all_gone IS NOT TRUE GROUP BY doc_id
 ), counts AS (SELECT doc_id, count(*) AS n_units FROM units GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n_units, 0) AS n_units, coalesce(n_removed, 0) AS n_removed, coalesce(removed, '') AS removed,
   CASE WHEN d.text IS NOT NULL THEN coalesce(t.text, '') END AS text
