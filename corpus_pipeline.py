@@ -1,8 +1,9 @@
 """The corpus pipeline: language ID, near-duplicates, repeated lines, source mixing, tokens.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents.
-Defined cases: documents whose text is null or has no letter leave at the first stage, those without an id at the
-second; of rows with one id one stays. Empty input gives empty output. Extra columns leave at the third stage.
+Defined cases: documents whose text is null or has no letter leave at the first stage. Rows with a null or a repeated id
+are rows like any other; line dedup leaves those with a null id as they are. Empty input gives empty output. Extra columns
+leave at the third stage.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from gleaner.llm import bpe, jaccard, langid, linededup, mixing
 from gleaner.llm.queries import tokenizer
 from gleaner.llm.shared import documents, materialize
 
+ROW = "pipeline_row"
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -22,22 +24,26 @@ def language_id(spark, docs, sf_dir):
 
 
 def near_duplicates(spark, docs, sf_dir):
-    """One document of each group stays, the one with the least id; operator 5, shingles of five words, similarity 0.8."""
-    groups = jaccard.jaccard_components(docs, words=5, num=80, den=100)
-    kept = groups.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """One row of each group of near-duplicates stays, the one with the least id (null last); operator 5, shingles of five
+    words, similarity 0.8. Rows are told apart by all their columns, so rows that share an id, or have none, but differ in
+    text stay unless a row like them does."""
+    rows = docs.withColumn(ROW, F.xxhash64(*COLUMNS))
+    groups = jaccard.jaccard_components(rows, id_col=ROW, words=5, num=80, den=100)
+    ranks = rows.select(ROW, "doc_id").distinct().join(groups.select(ROW, "component_id").distinct(), ROW)
+    kept = ranks.groupBy("component_id").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", ROW)).alias("first")).select(F.col(f"first.{ROW}").alias(ROW))
+    return rows.join(kept, ROW, "left_semi").dropDuplicates([ROW]).drop(ROW)
 
 
 def repeated_lines(spark, docs, sf_dir):
-    """Lines that stand earlier in the corpus go, and documents of which nothing is left; operator 2."""
+    """Lines and passages of 50 words that stand earlier in the corpus go, and documents of which nothing is left; operator 2."""
     out = linededup.dedup_units(docs, keep=["lang", "source"]).withColumn("n_chars", F.length("text").cast("long"))
     return out.filter(F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(*COLUMNS)
 
 
 def mix_sources(spark, docs, sf_dir):
     """Each document's text is what the mix takes of it, in blocks of 64 words; operator 6."""
-    _, pieces = mixing.mix(docs)
-    out = mixing.mixed_texts(docs, pieces, keep=["lang", "source"])
+    _, pieces = mixing.mix(docs, keep=["lang"])
+    out = mixing.mixed_texts(docs, pieces, keep=["lang"])
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
