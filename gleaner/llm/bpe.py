@@ -32,6 +32,8 @@ SHORT = 48
 CACHE = 200_000
 NONE = 1 << 60
 MADE = (1 << 20) - 1
+#: Letters after an apostrophe by which longer contractions begin.
+_BEGUN = ("r", "v", "l")
 #: Where the standard library's classes and the properties of letters and numbers might differ.
 UNUSUAL = re.compile("[^\\x00-\\x1b\\x20-\\xb1\\xb4-\\xb8\\xba\\xbb\\xbf-\\u024f]")
 
@@ -250,9 +252,11 @@ class Encoder:
                 keep = None
                 if not whole and n == len(parts) - 1 and special is None and words:
                     keep = words.pop()
+                    if words and words[-1] == "'" and keep in _BEGUN:
+                        keep = words.pop() + keep  # may yet become a contraction
                 out.append(b"".join(map(model.words.__getitem__, words)))
                 if keep is not None:
-                    self.open = (self._kind(keep), OpenWord(model), keep)
+                    self.open = (self._kind(keep[-1:]), OpenWord(model), keep)
                     if len(keep) > 3:  # no contraction any more: its class decides how it goes on
                         out.append(self.open[1].feed(keep.encode()))
                         self.open = (*self.open[:2], None)
@@ -301,7 +305,7 @@ class Encoder:
     def _close(self) -> bytes:
         _, word, short = self.open
         self.open = None
-        return self.model.words[short] if short is not None else word.end()
+        return b"".join(map(self.model.words.__getitem__, self.model.pieces.findall(short))) if short is not None else word.end()
 
 
 class Decoder:

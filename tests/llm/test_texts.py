@@ -128,6 +128,16 @@ def test_bpe_long_and_special(model, library):
         assert "".join(decoder.feed(np.array(want[i : i + 7], np.int64)) for i in range(0, len(want), 7)) + decoder.end() == library.decode(want, skip_special_tokens=False)
 
 
+@pytest.mark.parametrize("word", ["'ll", "'re", "'ve", "'s", "'d", ".'ll", "''ll", "'l", "'lx", "x'll"])
+def test_bpe_contractions_at_a_cut(model, library, word):
+    """Long texts without white space are cut at a fixed place; wherever it falls in a contraction, ids are the library's."""
+    cut = 2 * bpe.CHUNK - bpe.Encoder(model).tail
+    for back in range(-1, len(word) + 2):
+        fill = ("x." * (cut // 2 + 2))[: cut - back]
+        for text in (fill + word + "y.y." * 50, fill[1:] + word + "Y." * 2 * bpe.CHUNK, fill + word):
+            assert encoded(model, text, bpe.CHUNK) == library.encode(text, add_special_tokens=False).ids, (back, len(text))
+
+
 def test_lookahead_is_sufficient(model):
     rng = random.Random(5)
     for _ in range(200):
