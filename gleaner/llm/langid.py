@@ -195,33 +195,34 @@ def pooled(model: ByteTagger, texts: list[bytes]) -> np.ndarray:
     return total / np.maximum(1, np.array([len(t) for t in texts], np.int64))[:, None]
 
 
-def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 800, per_text: int = 4, held: int = 2, folds: int = 4) -> ByteTagger:
-    """Fit on the labelled rows outside the held-out fold: about per_lang texts of each language, by a hash of the id,
-    and of each up to per_text windows spread evenly over the whole text. That bounds what comes to the driver."""
+def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 3200, held: int = 2, folds: int = 4) -> ByteTagger:
+    """Fit on labelled windows of the rows outside the held-out fold.
+
+    Every byte of these rows' texts is in one window; about per_lang windows of each language are drawn by a hash of row
+    and window, each as likely as any other, all of them where a language has fewer. That bounds what comes to the driver.
+    Languages are collected with their number of windows; the network has an output for each. Without labelled rows all
+    predictions are `und`.
+    """
     fold = F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(0)) % folds
-    rows = df.filter(F.col(text_col).isNotNull() & (F.octet_length(text_col) > 0) & F.col(lang_col).isNotNull() & (fold != held))
-    counts = {r[0]: r[1] for r in rows.groupBy(F.col(lang_col).alias("l")).agg(F.count("*")).collect()}
+    rows = df.filter((F.octet_length(text_col) > 0) & F.col(lang_col).isNotNull() & (fold != held))
+    rows = rows.select(F.col(lang_col).alias("l"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("k"), F.col(text_col).cast("binary").alias("t"))
+    rows = rows.withColumn("n", F.ceil(F.octet_length("t") / WINDOW).cast("int"))
+    counts = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.sum("n").alias("n")).collect()}
     langs = sorted(counts)
     if not langs:
         return ByteTagger(["und"])
-    spot = F.pmod(F.xxhash64(F.col(id_col), F.lit(5)), F.lit(1 << 40))
-    chosen = [(F.col(lang_col) == F.lit(x)) & (spot < int((1 << 40) * min(1.0, per_lang / counts[x]))) for x in langs]
-    keep = chosen[0]
-    for c in chosen[1:]:
-        keep = keep | c
-    size = F.octet_length(text_col)
-    text = F.col(text_col).cast("binary")
-    parts = F.transform(F.sequence(F.lit(0), F.lit(per_text - 1)), lambda i: F.substring(text, (F.floor((size - WINDOW) * i / max(1, per_text - 1)) + 1).cast("int"), F.lit(WINDOW)))
-    picked = rows.filter(keep).select(F.col(lang_col).alias("l"), F.xxhash64(id_col).alias("k"), F.when(size > per_text * WINDOW, parts).otherwise(F.array(F.substring(text, F.lit(1), F.lit(WINDOW)))).alias("w")).collect()
-    picked.sort(key=lambda r: (r["k"], r["l"], bytes(r["w"][0])))
-    data = [(bytes(w), langs.index(r["l"])) for r in picked for w in r["w"] if w]
-    codes, real = np.full((len(data), WINDOW), 32, np.uint8), np.zeros((len(data), WINDOW), bool)
-    for i, (w, _) in enumerate(data):
-        codes[i, : len(w)] = np.frombuffer(w, np.uint8)
-        real[i, : len(w)] = True
+    cuts = df.sparkSession.createDataFrame([(x, int((1 << 40) * min(1.0, per_lang / counts[x]))) for x in langs], "l string, cut long")
+    drawn = F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.pmod(F.xxhash64("k", i), F.lit(1 << 40)) < F.col("cut"))
+    picked = rows.join(cuts, "l").select("l", "k", "t", F.explode(drawn).alias("i"))
+    picked = picked.select("l", "k", "i", F.substring("t", F.col("i") * WINDOW + 1, F.lit(WINDOW)).alias("w")).collect()
+    picked.sort(key=lambda r: (r["k"], r["i"], r["l"]))
+    codes, real = np.full((len(picked), WINDOW), 32, np.uint8), np.zeros((len(picked), WINDOW), bool)
+    for i, r in enumerate(picked):
+        codes[i, : len(r["w"])] = np.frombuffer(bytes(r["w"]), np.uint8)
+        real[i, : len(r["w"])] = True
     model = ByteTagger(langs)
-    if len(langs) > 1:
-        model.fit(codes, np.array([x for _, x in data]), real)
+    if len(langs) > 1 and len(picked):
+        model.fit(codes, np.array([langs.index(r["l"]) for r in picked]), real)
     return model
 
 
