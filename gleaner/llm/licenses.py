@@ -1,8 +1,10 @@
 """License scans by conditional compression: candidate blocks are compressed with each template as a zstandard raw
 dictionary, templates rank by how much smaller a block gets, and winners are confirmed by their exact wording differences.
 
-Candidate blocks are the surroundings of anchor words, merged where they overlap and cut where they would exceed a fixed
-length, with an overlap longer than any template; so a text of any length is scanned whole in bounded memory.
+A notice may differ in a few words, so at least one run of its words stands unchanged; how long that is at least follows
+from the template's length and the words that may differ. Candidate blocks are the surroundings of all such runs, merged
+where they overlap and cut where they would exceed a fixed number of words, with an overlap longer than any template. So no
+notice that would be confirmed is left out, and a text of any length is scanned whole in bounded memory.
 """
 
 from __future__ import annotations
@@ -10,8 +12,10 @@ from __future__ import annotations
 import re
 from bisect import bisect
 from collections import Counter
+from collections.abc import Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
 import zstandard
 from pyspark.sql import DataFrame
 
@@ -53,32 +57,92 @@ for _short, _long in (("BY", "Attribution"), ("BY-SA", "Attribution-ShareAlike")
             if _text not in TEMPLATES.values():
                 TEMPLATES[f"{_name}-short" if _name in TEMPLATES else _name] = _text
 
-# Each template has one of these, in lower case; words may have anything but letters and digits between them.
-ANCHORS = (b"licen", b"permission", b"redistribution", b"rights reserved", b"warrant", b"public domain")
-_ANCHORS = [(a.split()[-1], re.compile(b"[^a-z0-9]+".join(a.split()))) for a in ANCHORS]
 # Words that decide which license and version it is: none may be missing, added or changed.
 _DECIDES = re.compile(rb"v?\d{1,2}(\.\d+)*|gnu|lesser|affero|mozilla|apache|eclipse|boost|mit|bsd|isc|cc0|by-[a-z-]+|attribution.*|.*(noncommercial|sharealike|noderiv).*")
-REACH = 700
-MOST = 4200
+LONGEST = 8  # words of a run at most
+MOST = 600  # words of a block at most
+CHUNK = 1 << 20
+_EDGE = b".,;:!?()[]{}\"'*#/-_<>"
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 
 def words_of(text: bytes) -> list[tuple[bytes, int, int]]:
     """(word in lower case without punctuation around it, start, end); words of punctuation alone are left out."""
-    return [(w, m.start(), m.end()) for m in _WORD.finditer(text) if (w := m[0].lower().strip(b".,;:!?()[]{}\"'*#/-_<>"))]
+    return [(w, m.start(), m.end()) for m in _WORD.finditer(text) if (w := m[0].lower().strip(_EDGE))]
 
 
-def candidate_blocks(text: bytes) -> list[tuple[int, bytes]]:
-    """(start, bytes) of the surroundings of anchors, merged; longer ones in overlapping parts."""
-    low = text.lower()
-    spots = sorted({x.start() for word, anchor in _ANCHORS if word in low for x in anchor.finditer(low)})
+def allowed(words: int) -> int:
+    """Words of a notice of so many that may be missing, added or changed."""
+    return words // 10
+
+
+class Runs:
+    """Finds the places of words that stand unchanged in a row in any notice that may be confirmed."""
+
+    def __init__(self, templates: list[list[bytes]]):
+        self.ids = {w: i for i, w in enumerate(sorted({w for t in templates for w in t}), 1)}
+        self.base = len(self.ids) + 1
+        grams: dict[int, set[int]] = {}
+        for t in templates:
+            k = allowed(len(t))  # k places of differences leave k + 1 runs of all but k words
+            size = min(LONGEST, -(-(len(t) - k) // (k + 1)))
+            codes = [self.ids[w] for w in t]
+            grams.setdefault(size, set()).update(self.code(codes[i : i + size]) for i in range(len(t) - size + 1))
+        self.grams = {size: np.array(sorted(x), np.uint64) for size, x in grams.items()}
+        self.least = min(grams)
+
+    def code(self, ids: list[int]) -> int:
+        out = 0
+        for i in ids:
+            out = (out * self.base + i) % (1 << 64)
+        return out
+
+    def places(self, text: bytes) -> np.ndarray:
+        """First words, counted as words_of() does, of these runs."""
+        get = self.ids.get
+        ids = np.array([get(w, 0) for x in text.lower().split() if (w := x.strip(_EDGE))], np.uint64)
+        found: list[np.ndarray] = []
+        known = ids > 0
+        if len(ids) < self.least or not np.logical_and.reduce([known[i : len(ids) - self.least + 1 + i] for i in range(self.least)]).any():
+            return np.zeros(0, np.int64)
+        for size, grams in self.grams.items():
+            n = len(ids) - size + 1
+            if n > 0:
+                codes = np.zeros(n, np.uint64)
+                for i in range(size):
+                    codes = codes * np.uint64(self.base) + ids[i : n + i]
+                found.append(np.flatnonzero(grams.take(np.searchsorted(grams, codes), mode="clip") == codes))
+        return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+
+
+def candidate_blocks(places: np.ndarray, words: int, reach: int) -> list[tuple[int, int]]:
+    """(first, last exclusive) word of the surroundings of places, merged; longer ones in overlapping parts."""
     spans: list[list[int]] = []
-    for s in spots:
-        if spans and s - REACH <= spans[-1][1]:
-            spans[-1][1] = min(len(text), s + REACH)
+    for p in places.tolist():
+        if spans and p - reach <= spans[-1][1]:
+            spans[-1][1] = min(words, p + reach)
         else:
-            spans.append([max(0, s - REACH), min(len(text), s + REACH)])
-    return [(at, text[at : min(hi, at + MOST)]) for lo, hi in spans for at in range(lo, max(lo + 1, hi - 2 * REACH), MOST - 2 * REACH)]
+            spans.append([max(0, p - reach), min(words, p + reach)])
+    most = max(MOST, 4 * reach)
+    return [(at, min(hi, at + most)) for lo, hi in spans for at in range(lo, max(lo + 1, hi - 2 * reach), most - 2 * reach)]
+
+
+def chunks_of(text: bytes, reach: int) -> Iterator[tuple[int, bytes]]:
+    """(start, bytes) of parts that end at white space and overlap by the words of two notices."""
+    at = 0
+    while True:
+        space = _SPACE.search(text, at + CHUNK)
+        end = space.start() if space else len(text)
+        yield at, text[at:end]
+        if end >= len(text):
+            return
+        back, seen = end, 0
+        while seen < 2 * reach and back > at:
+            back = max(at, back - 4096)
+            seen = len(text[back:end].split())
+        space = _SPACE.search(text, back, end)
+        at = max(at + 1, space.start() if space else end)
 
 
 def deciding(words: list[bytes], at: range) -> Counter:
@@ -96,6 +160,8 @@ class Scanner:
         self.words = {k: [w for w, _, _ in words_of(t.encode())] for k, t in templates.items()}
         self.plain = zstandard.ZstdCompressor(level=level)
         self.given = {k: zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(b" ".join(w), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for k, w in self.words.items()}
+        self.runs = Runs(list(self.words.values()))
+        self.reach = max(map(len, self.words.values())) + allowed(max(map(len, self.words.values())))
         self.known: dict[bytes, list] = {}
 
     def rank(self, data: bytes) -> list[tuple[int, str]]:
@@ -109,52 +175,64 @@ class Scanner:
         m = SequenceMatcher(None, want, block, autojunk=False).find_longest_match()
         if not m.size:
             return None
-        allowed = len(want) // 10
-        lo, hi = max(0, m.b - m.a - allowed), m.b - m.a + len(want) + allowed
+        most = allowed(len(want))
+        lo, hi = max(0, m.b - m.a - most), m.b - m.a + len(want) + most
         part = block[lo:hi]
         ops = [o for o in SequenceMatcher(None, want, part, autojunk=False).get_opcodes() if o[0] != "equal"]
-        first = next((o[4] for o in ops if o[0] == "insert" and o[1] == 0), 0)
-        last = next((o[3] for o in ops if o[0] == "insert" and o[1] == len(want)), len(part))
+        first, last, inner = 0, len(part), []
+        for kind, a, b, c, d in ops:  # at the ends, no more words count as changed than the notice has there
+            if a == 0 and kind != "delete":
+                first = c = max(c, d - (b - a))
+            if b == len(want) and kind != "delete":
+                last = d = min(d, c + (b - a))
+            inner.append((a, b, c, d))
         notes, gone, more = [], Counter(), Counter()
-        for kind, a, b, c, d in ops:
-            if kind == "insert" and a in (0, len(want)):
-                continue
+        for a, b, c, d in inner:
             notes += [f"-{w.decode('utf-8', 'replace')}" for w in want[a:b]] + [f"+{w.decode('utf-8', 'replace')}" for w in part[c:d]]
             gone += deciding(want, range(a, b))
             more += deciding(part, range(c, d))
-        if len(notes) <= allowed and last > first and gone != more:  # another license; this one may stand beside it
+        if len(notes) <= most and last > first and gone != more:  # another license; this one may stand beside it
             for s, e in ((0, lo + first), (lo + last, len(block))):
                 if (e - s) * 10 >= len(want) * 9 and (hit := self.confirm(name, block[s:e])):
                     return s + hit[0], s + hit[1], hit[2]
             return None
-        return (lo + first, lo + last, notes) if len(notes) <= allowed and last > first else None
+        return (lo + first, lo + last, notes) if len(notes) <= most and last > first else None
 
-    def scan_block(self, data: bytes) -> list[tuple[str, int, int, int, str]]:
-        """(template, start, end, bytes saved, differences) within a block. Confirmed wording is taken out, and what is left is ranked again."""
-        found, left = [], words_of(data)
+    def scan_block(self, words: list[bytes]) -> list[tuple[str, int, int, int, str]]:
+        """(template, first word, last exclusive, bytes saved, differences) in a block. Confirmed wording is taken out, and
+        what is left is ranked again."""
+        found, left = [], list(enumerate(words))
         while left:
-            words = [w for w, _, _ in left]
-            for saved, name in self.rank(b" ".join(words)):
+            own = [w for _, w in left]
+            for saved, name in self.rank(b" ".join(own)):
                 if saved <= 0:
                     return found
-                if len(words) * 10 >= len(self.words[name]) * 9 and (hit := self.confirm(name, words)):
+                if len(own) * 10 >= len(self.words[name]) * 9 and (hit := self.confirm(name, own)):
                     a, b, notes = hit
-                    found.append((name, left[a][1], left[b - 1][2], saved, " ".join(notes)))
-                    left = left[:a] + [(b"\x00", left[a][1], left[a][1])] + left[b:]
+                    found.append((name, left[a][0], left[b - 1][0] + 1, saved, " ".join(notes)))
+                    left = left[:a] + [(left[a][0], b"\x00")] + left[b:]
                     break
             else:
                 return found
         return found
 
     def scan(self, text: bytes | None) -> list[tuple[str, int, int, int, str]]:
-        """Findings of a whole text, by start. Of findings over the same bytes in overlapping parts the longest stays."""
+        """(template, start, end, bytes saved, differences) of a whole text, by start. Of findings over the same bytes in
+        overlapping parts the longest stays."""
         out: list[tuple[str, int, int, int, str]] = []
-        for at, data in candidate_blocks(text or b""):
-            if data not in self.known:
-                if len(self.known) >= 20_000:
-                    self.known.clear()
-                self.known[data] = self.scan_block(data)
-            out += [(k, at + s, at + e, saved, notes) for k, s, e, saved, notes in self.known[data]]
+        for start, part in chunks_of(text or b"", self.reach):
+            places = self.runs.places(part)
+            if not len(places):
+                continue
+            words = words_of(part)
+            for lo, hi in candidate_blocks(places, len(words), self.reach):
+                own = [w for w, _, _ in words[lo:hi]]
+                data = b" ".join(own)
+                if data not in self.known:
+                    if len(self.known) >= 20_000:
+                        self.known.clear()
+                    self.known[data] = self.scan_block(own)
+                out += [(k, start + words[lo + a][1], start + words[lo + b - 1][2], saved, notes) for k, a, b, saved, notes in self.known[data]]
         out.sort(key=lambda x: (x[1] - x[2], x[1], x[0]))
         kept: list[tuple[str, int, int, int, str]] = []
         for x in out:

@@ -130,6 +130,21 @@ def test_licenses(edges, empty):
     changed = licenses.TEMPLATES["MIT"].replace("sell copies", "vend copies")
     assert s.scan(("x " * 9000 + changed).encode())[0][4] == "-sell +vend"
     assert s.scan(b"He has a license to drive; without permission.") == [] == s.scan(None) == s.scan(b"")
+    bsd = licenses.TEMPLATES["BSD"].replace("Redistribution", "Redistributing")
+    assert [f[::4] for f in s.scan(f"some words {bsd} {'more words ' * 100}".encode())] == [("BSD", "-redistribution +redistributing")]
+    for name, text in licenses.TEMPLATES.items():  # whatever words are changed, as far as a notice may differ, it is looked at
+        words, rng = text.split(), np.random.default_rng(len(text))
+        for _ in range(20):
+            for i in rng.permutation(len(words))[: licenses.allowed(len(words))]:
+                words[i] = "changed"
+            assert len(s.runs.places(f"in front {' '.join(words)} behind".encode())), name
+            words = text.split()
+    far = b"word " * 300_000 + licenses.TEMPLATES["MIT"].replace(" ", "\n     # ").encode() + b" word" * 300_000
+    assert [f[0] for f in s.scan(far)] == ["MIT"]
+    around = [licenses.TEMPLATES["BSD"].encode().join([b"w " * (licenses.CHUNK // 2 - n), b" end"]) for n in (0, 5, 40, 140, 400)]
+    assert all([f[0] for f in s.scan(t)] == ["BSD"] for t in around)
+    equal = s.scan(b"All rights reserved. " + licenses.TEMPLATES["MIT"].encode() + b" All rights reserved.")
+    assert [f[0] for f in equal] == ["All-rights-reserved", "MIT", "All-rights-reserved"]
     many = s.scan(b"All rights reserved.\n" * 3000)
     assert len(many) == 3000 and many[1][1] == 21
     rows = {r["doc_id"]: r["findings"] for r in licenses.scan_licenses(edges).collect()}
