@@ -24,6 +24,9 @@ from .shared import discard, materialize
 
 END = b" "  # no word has a space
 LONG = 64
+GROUP = 1 << 22  # tokens that are scored side by side
+SHORT = 1 << 14  # bytes of a text that isn't long
+MOST, LEAST = np.float32(75), np.float32(1e-37)  # bounds of scores, whose exponentials are summed in single precision
 
 
 def tokens_of(text: bytes | None) -> list[bytes]:
@@ -58,7 +61,7 @@ def _packed(table: Counter) -> pa.RecordBatch:
 class Network:
     """words: size of the network's own vocabulary, in classes of `each`; input words + 0 is any other word, + 1 the start."""
 
-    def __init__(self, words: int, hidden: int = 32, each: int = 64, seed: int = 11):
+    def __init__(self, words: int, hidden: int = 16, each: int = 64, seed: int = 11):
         rng = np.random.default_rng(seed)
         self.words, self.h, self.each, self.classes = words, hidden, each, -(-words // each)
         self.p = {
@@ -78,24 +81,33 @@ class Network:
         self.p["wb"][:] = np.where(by > 0, np.log(np.maximum(by, 1e-9) / by.sum(axis=1, keepdims=True)), -1e4)
 
     def states(self, inputs: np.ndarray, state: np.ndarray, keep: list | None = None) -> np.ndarray:
-        """States after each of the inputs (steps, lanes)."""
-        h, u, out = self.h, self.p["u"], np.empty((len(inputs), *state.shape), np.float32)
-        table = self.p["e"] + self.p["b"]
-        for t, row in enumerate(inputs):
-            x = table.take(row, axis=0)
-            y = state @ u
-            g = x[:, : 2 * h]
+        """States after each of the inputs (steps, lanes). keep takes states before, gates, candidates and their products."""
+        h, (steps, lanes), out = self.h, inputs.shape, np.empty((len(inputs), *state.shape), np.float32)
+        half = np.repeat(np.array([0.5, 0.5, 1], np.float32), h)  # halves of the sigmoids' arguments
+        table, u = (self.p["e"] + self.p["b"]) * half, self.p["u"] * half
+        first, second = (np.ascontiguousarray(table[:, x]).take(inputs, axis=0) for x in (np.s_[: 2 * h], np.s_[2 * h :]))
+        if keep is not None:
+            before, gates, cands, products = (np.empty((steps, lanes, w * h), np.float32) for w in (1, 2, 1, 1))
+            keep += [before, gates, cands, products]
+        y, c = np.empty((lanes, 3 * h), np.float32), np.empty((lanes, h), np.float32)
+        for t in range(steps):
+            np.matmul(state, u, out=y)
+            g = first[t]
             g += y[:, : 2 * h]
-            g *= 0.5
             np.tanh(g, out=g)
             g += 1
             g *= 0.5
-            z, r, yc = g[:, :h], g[:, h:], y[:, 2 * h :]
-            c = np.tanh(x[:, 2 * h :] + r * yc)
+            yc = y[:, 2 * h :]
+            np.multiply(g[:, h:], yc, out=c)
+            c += second[t]
+            np.tanh(c, out=c)
             if keep is not None:
-                keep.append((state, z, r, c, yc))
-            state = c + z * (state - c)
-            out[t] = state
+                before[t], gates[t], cands[t], products[t] = state, g, c, yc
+            new = out[t]
+            np.subtract(state, c, out=new)
+            new *= g[:, :h]
+            new += c
+            state = new
         return out
 
     def log_probs(self, flat: np.ndarray, targets: np.ndarray, real: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
@@ -103,9 +115,9 @@ class Network:
         p, n = self.p, len(flat)
         cls = np.where(targets < self.words, targets // self.each, self.classes)
         scores = flat @ p["cw"] + p["cb"]
-        scores -= scores.max(axis=1, keepdims=True)
+        np.minimum(scores, MOST, out=scores)
         expd = np.exp(scores)
-        total = expd.sum(axis=1)
+        total = np.maximum(expd @ np.ones(expd.shape[1], np.float32), LEAST)
         out = scores[np.arange(n), cls] - np.log(total)
         back = None
         if grads is not None:
@@ -123,11 +135,11 @@ class Network:
                 continue
             own = flat[at]
             s = own @ p["w"][k] + p["wb"][k]
-            s -= s.max(axis=1, keepdims=True)
+            np.minimum(s, MOST, out=s)
             slot = targets[at] - k * self.each
             picked = s[np.arange(len(at)), slot]
             np.exp(s, out=s)
-            sums = s.sum(axis=1)
+            sums = np.maximum(s @ np.ones(self.each, np.float32), LEAST)
             out[at] += picked - np.log(sums)
             if grads is not None:
                 s /= sums[:, None]
@@ -146,17 +158,24 @@ class Network:
         lp, back = self.log_probs(states.reshape(-1, h), targets.reshape(-1), weight, grads)
         count = max(1.0, float(weight.sum()))
         back = back.reshape(states.shape)
-        ds, gates_all = np.zeros_like(state), np.empty((*inputs.shape, 3 * h), np.float32)
-        grads["u"] = np.zeros_like(self.p["u"])
+        before, gates, c, yc = kept
+        z, r = gates[:, :, :h], gates[:, :, h:]
+        # all that a step back multiplies the state's gradient by, for the gates, the candidate and its product with the state
+        cand = (1 - z) * (1 - c * c)
+        factors = np.empty((*inputs.shape, 3, h), np.float32)
+        factors[:, :, 0], factors[:, :, 1], factors[:, :, 2] = (1 - z) * z * (before - c), cand * yc * r * (1 - r), cand * r
+        rec, ds_all, ut = np.empty_like(factors), np.empty_like(states), np.ascontiguousarray(self.p["u"].T)
+        ds = np.zeros_like(state)
         for t in range(len(inputs) - 1, -1, -1):
-            prev, z, r, c, yc = kept[t]
-            ds = ds + back[t]
-            dz, dc = ds * (prev - c) * z * (1 - z), ds * (1 - z) * (1 - c * c)
-            dr, dy = dc * yc * r * (1 - r), dc * r
-            gates_all[t] = np.concatenate([dz, dr, dc], axis=1)
-            rec = np.concatenate([dz, dr, dy], axis=1)
-            grads["u"] += prev.T @ rec
-            ds = ds * z + rec @ self.p["u"].T
+            own = ds_all[t]
+            np.add(ds, back[t], out=own)
+            np.multiply(own[:, None, :], factors[t], out=rec[t])
+            ds = rec[t].reshape(-1, 3 * h) @ ut
+            ds += own * z[t]
+        flat = rec.reshape(-1, 3 * h)
+        grads["u"] = before.reshape(-1, h).T @ flat
+        gates_all = rec.reshape(*inputs.shape, 3 * h)
+        gates_all[:, :, 2 * h :] = ds_all * cand
         rows, ids = gates_all.reshape(-1, 3 * h), inputs.reshape(-1)
         order = np.argsort(ids, kind="stable")
         names, at = np.unique(ids[order], return_index=True)
@@ -177,7 +196,7 @@ class Network:
     def load(self, vector: np.ndarray) -> None:
         self.p = self._parts(vector[: len(vector) // 3])
 
-    def fit(self, texts: list[np.ndarray], vector: np.ndarray, lanes: int = 128, window: int = 16, rate: float = 0.01, seed: int = 5) -> tuple[np.ndarray, int]:
+    def fit(self, texts: list[np.ndarray], vector: np.ndarray, lanes: int = 512, window: int = 16, rate: float = 0.01, seed: int = 5) -> tuple[np.ndarray, int]:
         """Adam over windows of the whole texts, from where `vector` left off; each lane reads text after text, its state
         carried on within a text. Returns the vector afterwards and the number of tokens trained. A window of fewer tokens
         than full lanes hold takes a step shorter in proportion."""
@@ -186,7 +205,7 @@ class Network:
         m, v, step = self._parts(vector[size : 2 * size]), self._parts(vector[2 * size : -1]), int(vector[-1])
         state, seen = np.zeros((0, self.h), np.float32), 0
         queues = dealt([len(t) for t in texts], lanes, seed)
-        for inputs, targets, real, fresh, _, still in windows(texts, len(queues), window, self.words, True, queues):
+        for inputs, targets, real, fresh, _, still in windows(texts, len(queues), window, self.words, queues):
             state = state[still] if len(state) else np.zeros((len(fresh), self.h), np.float32)
             state = np.where(fresh[:, None], np.float32(0), state)
             _, g, state = self.gradients(inputs, targets, real, state)
@@ -204,11 +223,11 @@ class Network:
         flat = [x.reshape(-1) for part in (self.p, m, v) for x in part.values()]
         return np.concatenate([*flat, np.array([step], np.float32)]), seen
 
-    def score(self, texts: list[np.ndarray], lanes: int = 256, window: int = 32) -> np.ndarray:
+    def score(self, texts: list[np.ndarray], lanes: int = 512, window: int = 16) -> np.ndarray:
         """Natural log-probability of each whole text (its words outside the vocabulary as their class alone)."""
         out, state = np.zeros(len(texts)), np.zeros((0, self.h), np.float32)
         order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
-        for inputs, targets, real, fresh, owner, still in windows([texts[i] for i in order], lanes, window, self.words, True):
+        for inputs, targets, real, fresh, owner, still in windows([texts[i] for i in order], lanes, window, self.words):
             state = state[still] if len(state) else np.zeros((len(fresh), self.h), np.float32)
             state = np.where(fresh[:, None], np.float32(0), state)
             states = self.states(inputs, state)
@@ -232,36 +251,30 @@ def dealt(lengths: list[int], lanes: int, seed: int) -> list[list[int]]:
     return [[x[i] for i in rng.permutation(len(x))] for x in out if x]
 
 
-def windows(texts: list[np.ndarray], lanes: int, window: int, words: int, owners: bool = False, queues: list[list[int]] | None = None):
-    """Windows (steps, lanes) of inputs, targets, which are real and which lanes begin a text; lanes without text go.
+def windows(texts: list[np.ndarray], lanes: int, window: int, words: int, queues: list[list[int]] | None = None):
+    """Windows (steps, lanes) of inputs, targets, which are real, which lanes begin a text, the text of each lane, and the
+    lanes of the window before that are still there; lanes without text go.
 
-    owners: also the text of each lane, and the lanes of the window before that are still there.
     queues: the texts of each lane; by default a lane takes the next text that no other has taken.
     """
     own = [iter(q) for q in queues] if queues is not None else [iter(range(len(texts)))] * min(lanes, len(texts))
-    text = [next(q) for q in own]
-    at, fresh, still = [0] * len(text), [True] * len(text), np.arange(len(text))
-    while text:
-        inputs, targets = np.full((window, len(text)), words + 1, np.int64), np.full((window, len(text)), words, np.int64)
-        real = np.zeros((window, len(text)), bool)
-        for k, i in enumerate(text):
-            part = texts[i][at[k] : at[k] + window]
-            n = len(part)
-            targets[:n, k], real[:n, k] = part, True
-            inputs[1:n, k] = part[: n - 1]
-            if at[k]:
-                inputs[0, k] = texts[i][at[k] - 1]
-        yield (inputs, targets, real, np.array(fresh), list(text), still) if owners else (inputs, targets, real, np.array(fresh))
-        keep = []
-        for k, i in enumerate(text):
-            at[k] += window
-            fresh[k] = False
-            if at[k] >= len(texts[i]):
-                text[k] = next(own[k], -1)
-                at[k], fresh[k] = 0, True
-            if text[k] >= 0:
-                keep.append(k)
-        own, text, at, fresh, still = [own[k] for k in keep], [text[k] for k in keep], [at[k] for k in keep], [fresh[k] for k in keep], np.array(keep, np.int64)
+    size = np.array([len(t) for t in texts], np.int64)
+    starts, flat = np.cumsum(size) - size, np.concatenate([*texts, np.zeros(0, np.int32)]).astype(np.int32)
+    text = np.array([next(q) for q in own], np.int64)
+    at, steps, still = np.zeros(len(text), np.int64), np.arange(window)[:, None], np.arange(len(text))
+    while len(text):
+        place = starts[text] + at + steps
+        real = at + steps < size[text]
+        targets = np.where(real, flat.take(place, mode="clip"), words)
+        inputs = np.where(real & (at + steps > 0), flat.take(place - 1, mode="clip"), words + 1)
+        yield inputs, targets, real, at == 0, text, still
+        at = at + window
+        for k in np.flatnonzero(at >= size[text]).tolist():
+            text[k], at[k] = next(own[k], -1), 0
+        still = np.flatnonzero(text >= 0)
+        if len(still) < len(text):
+            own = [own[k] for k in still.tolist()]
+        text, at = text[still], at[still]
 
 
 class Scorer:
@@ -278,7 +291,7 @@ class Index(dict):
         return -1
 
 
-def build(df: DataFrame, train, id_col: str = "doc_id", text_col: str = "text", common: int = 200_000, vocabulary: int = 2048, shard: int = 1 << 20) -> tuple[Scorer, DataFrame]:
+def build(df: DataFrame, train, id_col: str = "doc_id", text_col: str = "text", common: int = 200_000, vocabulary: int = 1024, shard: int = 1 << 20) -> tuple[Scorer, DataFrame]:
     """Counts over all training rows, and a network trained on all tokens of all of them, in whole texts (see train).
     Returns the scorer and the counts table."""
     rows = df.filter(train)
@@ -305,12 +318,19 @@ def build(df: DataFrame, train, id_col: str = "doc_id", text_col: str = "text",
 def train_network(rows: DataFrame, network: Network, words: list[bytes], n: int, id_col: str, text_col: str, shard: int, enough: int = 1_700_000, pieces: int = 16) -> int:
     """Train on every token of the rows, n in all; returns the number of tokens trained.
 
-    Texts are dealt by a hash of id and text into rounds, and in a round into shards of about `shard` tokens. Each shard
-    is trained in a task of its own, from the weights that the round before ended with; a round ends with the average of
-    its shards' weights and moments, weighted by tokens, which is summed in pieces and in two steps. The number of shards
-    grows with n, what a task holds doesn't. Of few tokens, under `enough`, up to three passes are made, and else one.
+    Texts are dealt by a hash of id and text into shards of about `shard` tokens, long texts into shards of their own by
+    class of length, so that a shard's texts can be read side by side; shards are dealt into rounds. Each shard is trained
+    in a task of its own, from the weights that the round before ended with; a round ends with the average of its shards'
+    weights and moments, weighted by tokens, which is summed in pieces and in two steps. The number of shards grows with
+    n, what a task holds doesn't. Of few tokens, under `enough`, up to three passes are made, and else one.
     """
-    shards = max(1, -(-n // shard))
+    size = F.coalesce(F.octet_length(text_col), F.lit(0))
+    kind = F.when(size <= SHORT, 0).otherwise(F.floor(F.log2(size.cast("double") / SHORT)) + 1).cast("int")
+    weights = {r["c"]: r["n"] for r in rows.groupBy(kind.alias("c")).agg(F.sum(size + 1).alias("n")).collect()}
+    first, many, shards = [F.lit(0)] * (max(weights) + 1), [F.lit(1)] * (max(weights) + 1), 0
+    for c, w in weights.items():
+        own = max(1, -(-n * w // (shard * sum(weights.values()))))
+        first[c], many[c], shards = F.lit(shards), F.lit(own), shards + own
     rounds = max(1, min(32, shards // 6))
     per = -(-shards // rounds)
     shared = rows.sparkSession.sparkContext.broadcast(words)
@@ -325,12 +345,12 @@ def train_network(rows: DataFrame, network: Network, words: list[bytes], n: int,
                 for text in part.column(1):
                     at = np.fromiter(map(own.__getitem__, tokens_of(text.as_py())), np.int32)
                     out.append(np.where(at < 0, other, at).astype(np.int32).tobytes())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, pa.binary())], ["k", "t"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, pa.binary()), part.column(2)], ["k", "t", "shard"])
 
     key = F.xxhash64(F.col(id_col), F.col(text_col), F.lit(9))
-    texts = rows.select(key.alias("k"), F.col(text_col).cast("binary").alias("t")).mapInArrow(encode, "k long, t binary")
-    place = F.pmod(F.col("k"), F.lit(rounds * per))
-    texts = materialize(texts.select("k", "t", (place % per).cast("int").alias("shard"), F.floor(place / per).cast("int").alias("round")), "lm-tokens", by="round")
+    place = F.element_at(F.array(*first), kind + 1) + F.pmod(key, F.element_at(F.array(*many), kind + 1))
+    texts = rows.select(key.alias("k"), F.col(text_col).cast("binary").alias("t"), place.cast("int").alias("shard")).mapInArrow(encode, "k long, t binary, shard int")
+    texts = materialize(texts.select("k", "t", "shard", F.pmod("shard", F.lit(rounds)).alias("round")), "lm-tokens", by="round")
     vector, trained = network.start_training(), 0
     schema = "shard int, piece int, tokens long, part binary"
 
@@ -380,27 +400,34 @@ def score_documents(df: DataFrame, scorer: Scorer, counts: DataFrame, id_col: st
         s = shared.value
         top, logs, net = Index({w: i for i, w in enumerate(s.words)}), np.log10(s.counts + 1.0), s.network
         norm, rest = math.log10(s.n + s.v + 1), math.log10(s.rest)
+
+        def packed(cols, texts, kind):
+            scores = iter(net.score(texts) / math.log(10))
+            cols[7] = [x + next(scores) if t else x for x, t in zip(cols[7], cols[4], strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(cols, [pa.int64(), kind, pa.binary(), *[pa.int64()] * 3, *[pa.float64()] * 2], strict=True)], fields)
+
+        texts, cols, held, kind = [], [[] for _ in fields], 0, None
         for batch in batches:
-            for lo in range(0, batch.num_rows, 2048):
-                part = batch.slice(lo, 2048)
-                keys, ids, texts = part.column(0).to_pylist(), part.column(1).to_pylist(), []
-                cols: list[list] = [[] for _ in fields]
-                for key, ident, text in zip(keys, ids, part.column(2), strict=True):
-                    words = tokens_of(text.as_py())
-                    at = np.fromiter(map(top.__getitem__, words), np.int64, len(words))
-                    seen = at[at >= 0]
-                    beyond = at >= net.words
-                    extra = float(logs[at[beyond]].sum()) - rest * int(len(at) - (seen < net.words).sum())
-                    texts.append(np.where((at >= 0) & ~beyond, at, net.words))
-                    for c, x in zip(cols, (key, ident, b" d" + str(key).encode(), 0, len(at), len(seen), float(logs[seen].sum()) - norm * len(at), extra), strict=True):
-                        c.append(x)
-                    if len(seen) < len(at):
-                        tail = Counter([words[i] for i in np.flatnonzero(at < 0)])
-                        for c, x in zip(cols, ([key] * len(tail), [None] * len(tail), tail.keys(), tail.values(), *[[0] * len(tail)] * 2, *[[0.0] * len(tail)] * 2), strict=True):
-                            c.extend(x)
-                scores = iter(net.score(texts) / math.log(10))
-                cols[7] = [x + next(scores) if t else x for x, t in zip(cols[7], cols[4], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(cols, [pa.int64(), part.schema.field(1).type, pa.binary(), *[pa.int64()] * 3, *[pa.float64()] * 2], strict=True)], fields)
+            kind = batch.schema.field(1).type
+            for key, ident, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                words = tokens_of(text.as_py())
+                at = np.fromiter(map(top.__getitem__, words), np.int32, len(words))
+                seen = at[at >= 0]
+                beyond = at >= net.words
+                extra = float(logs[at[beyond]].sum()) - rest * int(len(at) - (seen < net.words).sum())
+                texts.append(np.where((at >= 0) & ~beyond, at, np.int32(net.words)))
+                for c, x in zip(cols, (key, ident, b" d" + str(key).encode(), 0, len(at), len(seen), float(logs[seen].sum()) - norm * len(at), extra), strict=True):
+                    c.append(x)
+                if len(seen) < len(at):
+                    tail = Counter([words[i] for i in np.flatnonzero(at < 0)])
+                    for c, x in zip(cols, ([key] * len(tail), [None] * len(tail), tail.keys(), tail.values(), *[[0] * len(tail)] * 2, *[[0.0] * len(tail)] * 2), strict=True):
+                        c.extend(x)
+                held += len(at)
+                if held >= GROUP:
+                    yield packed(cols, texts, kind)
+                    texts, cols, held = [], [[] for _ in fields], 0
+        if texts:
+            yield packed(cols, texts, kind)
 
     rows = df.select(F.monotonically_increasing_id().alias("key"), F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t"))
     parts = rows.mapInArrow(run, f"key long, id {kind}, word binary, times long, tokens long, known long, base double, score double")

@@ -105,7 +105,7 @@ def test_lm_trains_on_every_token_of_whole_texts(docs):
     seen: dict[int, list[int]] = {}
     queues = rnnlm.dealt([len(t) for t in texts], 4, 1)
     assert sorted(i for q in queues for i in q) == list(range(6))
-    for _, targets, real, _, owner, _ in rnnlm.windows([np.array(t) for t in texts], len(queues), 16, 7, True, queues):
+    for _, targets, real, _, owner, _ in rnnlm.windows([np.array(t) for t in texts], len(queues), 16, 7, queues):
         for k, i in enumerate(owner):
             seen.setdefault(i, []).extend(targets[real[:, k], k].tolist())
     assert [seen[i] for i in range(6)] == texts
