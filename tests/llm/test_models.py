@@ -165,6 +165,16 @@ def test_pivots_against_brute_force(spark):
     assert pivots.near_vectors(spark.createDataFrame([], df.schema)).count() == 0
 
 
+def test_pivots_are_apart():
+    rng = np.random.default_rng(1)
+    cone = pivots.unit_vectors(rng.normal(0, 1, (600, 32)) + 5 * np.eye(1, 32) * 1.6)  # all within a narrow cone
+    tight = pivots.unit_vectors(rng.normal(0, 0.01, (600, 32)) + np.eye(1, 32))
+    wide = pivots.unit_vectors(rng.normal(0, 1, (600, 32)))
+    for sample, least in ((cone, 40), (tight, 8), (wide, 48)):
+        p = pivots.choose_pivots(sample, 48)
+        assert least <= len(p) <= 48 and len(np.unique(p, axis=0)) == len(p)
+
+
 def test_vectors_of_every_length_link(spark):
     rng = np.random.default_rng(6)
     rows, near = [], []
@@ -175,6 +185,9 @@ def test_vectors_of_every_length_link(spark):
             rows += [(len(rows), v.tolist()), (len(rows) + 1, (v + 0.001).tolist())]
     got = {r["vec_id"]: r for r in pivots.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
     assert len(got) == len(rows) and all(got[a]["component_id"] == got[b]["component_id"] and got[b]["n_links"] >= 1 for a, b in near)
+    twice = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (None, [0.0, 2.0]), (4, [1.0, 0.01]), (4, [1.0, 0.01]), (None, [5.0, -9.0])]
+    out = pivots.near_vectors(spark.createDataFrame(twice, "vec_id long, embedding array<float>")).collect()
+    assert sorted((r["vec_id"] or 0, r["n_links"], r["component_id"]) for r in out if r["component_id"]) == [(0, 1, 1), (1, 1, 1), (1, 2, 1), (4, 2, 1), (4, 2, 1)]
 
 
 def test_pivot_recall(spark):
