@@ -12,10 +12,11 @@ are one. In the first round every set of a group is paired with the group's firs
 Counting. The order is cut into a few long fragments, and a set's n-grams into a record for each. A record is sent to the
 unit of its fragment and pair's first set; there the partial overlap of the pair in this fragment is counted, and left
 out if the sizes before, in and after the fragment already differ by too much. The partial overlaps are summed per pair.
+Before, sketches of a few bits for each n-gram, which never differ in more bits than the sets in n-grams, rule out pairs.
 
 Further rounds. What is linked so far gives components. A group whose sets are all in one component is done. Of any other
 group all pairs between components are counted, in rounds: some sets outside the group's largest component are paired with
-all sets of other components and then leave the group; four times as many in each round. So a group of copies is settled
+all sets of other components and then leave the group; sixteen times as many in each round. So a group of copies is settled
 by one pass over it, without its pairs, and no link between different components is missed.
 
 What is counted by a key is written before it is joined: a join right above its own aggregation can't be split.
@@ -23,7 +24,7 @@ What is counted by a key is written before it is joined: a join right above its
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -48,31 +49,45 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class WordHash(dict):
-    """64-bit hashes of words; two generations of bounded size."""
-
-    def __init__(self, most: int = 200_000):
-        super().__init__()
-        self.most, self.old = most, {}
-
-    def __missing__(self, word: bytes) -> int:
-        h = self.old.get(word)
-        if h is None:
-            h = xxhash.xxh3_64_intdigest(word)
-        if len(word) <= 64:
-            if len(self) >= self.most:
-                self.old = dict(self)
-                self.clear()
-            self[word] = h
-        return h
-
-
-def ngram_hashes(text: bytes | None, words: int, table: WordHash) -> np.ndarray:
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first powers of an odd number and of its inverse, modulo 2**64; as many as have been asked for stay."""
+    if len(_known[0]) < n:
+        n = max(n, 1 << 16)
+        _known[:] = [np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, x, np.uint64)])) for x in (_BASE, pow(_BASE, -1, 1 << 64))]
+    return _known[0][:n], _known[1][:n]
+
+
+_BASE = 0x9E3779B97F4A7C15
+_known: list[np.ndarray] = [np.zeros(0, np.uint64)] * 2
+_BYTES = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
+_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+CHUNK = 1 << 20
+
+
+def word_hashes(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of each word in lower case (A-Z), and the words' first bytes. Computed for all words of a part of the
+    text at once, as differences of sums over its bytes; parts end at white space."""
+    hashes, places, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
+    while at < len(text):
+        to = min(len(text), at + CHUNK)
+        while to < len(text) and not _SPACE[text[to]]:
+            to += 1
+        data = np.frombuffer(text[at:to].lower(), np.uint8)
+        edges = np.flatnonzero(np.diff(np.concatenate([[True], _SPACE[data], [True]])))
+        starts, ends = edges[::2], edges[1::2]
+        up, down = _powers(len(data) + 1)
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTES[data] * up[: len(data)])])
+        hashes.append(mix64((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64)))
+        places.append(starts + at)
+        at = to
+    return np.concatenate(hashes), np.concatenate(places)
+
+
+def ngram_hashes(text: bytes | None, words: int) -> np.ndarray:
     """Sorted distinct hashes of the word n-grams of a lower-cased text; of fewer words, the whole sequence is one."""
-    tokens = (text or b"").lower().split()
-    if not tokens:
-        return np.zeros(0, np.uint64)
-    w = np.fromiter(map(table.__getitem__, tokens), np.uint64, len(tokens))
+    w, _ = word_hashes(text or b"")
+    if not len(w):
+        return w
     n = min(words, len(w))
     x = np.full(len(w) - n + 1, n * 0x9E3779B97F4A7C15 % (1 << 64), np.uint64)
     for i in range(n):
@@ -88,6 +103,9 @@ def size_classes(most: int) -> list[int]:
     return out
 
 
+_classes = lru_cache(4096)(size_classes)
+
+
 def part_keys(hashes: np.ndarray, num: int, den: int) -> np.ndarray:
     """Keys of the parts of one set, by which any set that links with it can be found.
 
@@ -96,7 +114,7 @@ def part_keys(hashes: np.ndarray, num: int, den: int) -> np.ndarray:
     for these (the largest s up to 1): among the p - d equal ones there is a larger one, which has a key in both sets.
     """
     n = len(hashes)
-    bounds = size_classes(n * den // num)  # the largest set that may link with it is in the last class but one
+    bounds = _classes(n * den // num)  # the largest set that may link with it is in the last class but one
     first = next(s for s in range(len(bounds)) if bounds[s + 1] > n)
     marks, out = mix64(hashes + np.uint64(0x9E3779B97F4A7C15)), []
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(marks)])
@@ -127,10 +145,8 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows = df.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("r"), F.col(text_col).alias("t"))
 
     def describe():
-        table = WordHash()
-
         def each(key, r, text):
-            hashes = ngram_hashes(text, words, table)
+            hashes = ngram_hashes(text, words)
             digest = xxhash.xxh3_128_digest(hashes.tobytes())
             keys = part_keys(hashes, num, den) if len(hashes) else hashes
             yield key, r, len(hashes), int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True), keys.tobytes()
@@ -154,34 +170,32 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     members = materialize(meets.select("x").distinct().join(classes.select("r", "x"), "x"), "jaccard-members")
 
     def cut():
-        table = WordHash()
-
         def each(x, text):
-            hashes = ngram_hashes(text, words, table)
+            hashes = ngram_hashes(text, words)
             cuts = np.searchsorted(hashes, edges)
+            yield x, len(hashes), 0, sketch(hashes), -1
             for f, (lo, hi) in enumerate(zip([0, *cuts], [*cuts, len(hashes)], strict=True)):
-                yield x, f, len(hashes), lo, hashes[lo:hi].tobytes()
+                yield x, len(hashes), lo, hashes[lo:hi].tobytes(), f
 
         return each
 
     edges = np.array([f * ((1 << 64) // fragments) for f in range(1, fragments)], np.uint64)
-    texts = rows.join(members, "r").dropDuplicates(["x"])
-    segments = materialize(map_rows(texts, "x long, f int, n long, before long, grams binary", cut, ["x", "t"]), "jaccard-segments")
-    links = materialize(count_pairs(meets.filter("x <> anchor").select(F.col("anchor").alias("a"), F.col("x").alias("b")).distinct(), segments, num, den), "jaccard-links")
-    reached, links = _settle(meets.filter("x <> anchor").select("g", "x"), links, segments, num, den)
-    discard(meets, members, segments)
+    texts = rows.join(members, "r").dropDuplicates(["x"]).select("x", "t")
+    segments = materialize(map_rows(texts, "x long, n long, before long, grams binary, f int", cut, ["x", "t"]), "jaccard-segments", by="f")
+    links = count_pairs(meets.filter("x <> anchor").select(F.col("anchor").alias("a"), F.col("x").alias("b")).distinct(), segments, num, den, fragments)
+    reached, links = _settle(meets.filter("x <> anchor").select("g", "x"), links, segments, num, den, fragments)
+    discard(meets, members, segments, links)
     named = classes.join(reached, F.col("x") == F.col("node"), "left").select("x", "x2", "rep", F.coalesce("component", "x").alias("label"))
     names = materialize(named.groupBy("label").agg(F.min("rep").alias("least")), "jaccard-names")
     out = base.join(materialize(named.join(names, "label").select("x", "x2", "least"), "jaccard-named"), ["x", "x2"], "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("least", "id").cast("long").alias("component_id"))
 
 
-def _settle(groups: DataFrame, links: DataFrame, segments: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+def _settle(groups: DataFrame, links: DataFrame, segments: DataFrame, num: int, den: int, fragments: int) -> tuple[DataFrame, DataFrame]:
     """Components (node, component) of all links, and the links found, given groups (g, x) whose first sets have been
     paired with all others and are left out. Rounds end when each group is within one component."""
-    anchors, left = 1, groups
+    anchors, left, reached = 4, groups, materialize(components(links), "jaccard-reached")
     while True:
-        reached = materialize(components(links), "jaccard-reached")
         labelled = left.join(reached, F.col("x") == F.col("node"), "left").select("g", "x", F.coalesce("component", "x").alias("label"))
         counted = labelled.groupBy("g", "label").agg(F.count("*").alias("c"))
         largest = counted.groupBy("g").agg(F.max(F.struct("c", "label")).alias("most"), F.sum("c").alias("c"), F.count("*").alias("labels"))
@@ -190,19 +204,53 @@ def _settle(groups: DataFrame, links: DataFrame, segments: DataFrame, num: int,
             discard(apart)
             return reached, links
         old = left
-        now = materialize(labelled.join(apart, "g").withColumn("first", (F.col("label") != F.col("main")) & (F.pmod(F.xxhash64("g", "x"), F.col("odd")) < anchors)), "jaccard-left")
-        first = now.filter("first").select("g", F.col("x").alias("a"), F.col("label").alias("own"))
-        pairs = first.join(now, "g").filter("own <> label").select(F.least("a", "x").alias("a"), F.greatest("a", "x").alias("b")).distinct()
-        found = materialize(count_pairs(pairs, segments, num, den).union(links), "jaccard-links")
-        discard(links, apart, reached, *([old] if hasattr(old, "written_to") else []))
-        left, links, anchors = materialize(now.filter("not first").select("g", "x"), "jaccard-groups"), found, anchors * 4
-        discard(now)
-
-
-def count_pairs(pairs: DataFrame, segments: DataFrame, num: int, den: int) -> DataFrame:
-    """Those of the pairs (a, b) that link. Each fragment's partial overlaps are counted in units of their own, of one
-    set a and at most about UNIT others, and summed per pair."""
+        spot = F.pmod(F.xxhash64("x"), F.lit(1 << 40))  # the same in all groups, so that pairs of several groups meet in one round
+        first = (F.col("label") != F.col("main")) & (spot * F.col("odd") < F.lit(anchors * (1 << 40)).cast("decimal(38,0)"))
+        now = materialize(labelled.join(apart, "g").withColumn("first", first), "jaccard-left")
+        ahead = now.filter("first").select("g", F.col("x").alias("a"), F.col("label").alias("own"))
+        pairs = ahead.join(now, "g").filter("own <> label").select(F.least("a", "x").alias("a"), F.greatest("a", "x").alias("b")).distinct()
+        more = count_pairs(pairs, segments, num, den, fragments)
+        left, anchors = materialize(now.filter("not first").select("g", "x"), "jaccard-groups"), anchors * 16
+        discard(now, apart, *([old] if hasattr(old, "written_to") else []))
+        if not more.isEmpty():
+            found = materialize(more.union(links), "jaccard-links")
+            discard(links, reached)
+            links, reached = found, materialize(components(found), "jaccard-reached")
+        discard(more)
+
+
+def sketch(hashes: np.ndarray) -> bytes:
+    """A bit for each n-gram's place, flipped by each n-gram that falls on it; places are a power of two, above twice the
+    number of n-grams. Bits that differ between two sets are at most the n-grams that do."""
+    size = 1 << max(8, int(2 * len(hashes)).bit_length())
+    odd = np.bincount((mix64(hashes) & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def folded(bits: np.ndarray, size: int) -> np.ndarray:
+    """A sketch in fewer places."""
+    while len(bits) > size:
+        bits = bits[: len(bits) // 2] ^ bits[len(bits) // 2 :]
+    return bits
+
+
+def count_pairs(pairs: DataFrame, segments: DataFrame, num: int, den: int, fragments: int) -> DataFrame:
+    """Those of the pairs (a, b) that link. Sketches rule out most of those that don't. Of the others, partial overlaps are
+    counted fragment by fragment, each in units of its own of one set a and at most about UNIT others, and summed per pair."""
     pairs = materialize(pairs, "jaccard-pairs")
+    alive = materialize(_units(pairs, segments.filter("f = -1"), num, den).select("a", "b"), "jaccard-alive")
+    discard(pairs)
+    halves = [_units(alive, segments.filter(F.col("f").between(lo, hi)), num, den) for lo, hi in ((0, fragments // 2 - 1), (fragments // 2, fragments - 1)) if lo <= hi]
+    counts = [materialize(h.groupBy("a", "b").agg(F.sum("common").alias("common"), F.max("total").alias("total")), "jaccard-partial") for h in halves]
+    summed = reduce(DataFrame.union, counts).groupBy("a", "b").agg(F.sum("common").alias("common"), F.max("total").alias("total"))
+    out = materialize(summed.filter(F.col("common") * den >= (F.col("total") - F.col("common")) * num).select("a", "b"), "jaccard-links")
+    discard(alive, *counts)
+    return out
+
+
+def _units(pairs: DataFrame, segments: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b, common, total) for each pair and fragment: n-grams in common, and the sum of both sets' sizes. Left out is
+    what shows that a pair can't link: sizes before, in and after a fragment, or sketches, that differ by too much."""
     dealt = materialize(pairs.groupBy("a").agg(F.ceil(F.count("*") / UNIT).cast("int").alias("units")), "jaccard-units")
     others = pairs.join(dealt, "a").select("a", F.col("b").alias("x"), F.pmod(F.xxhash64("b"), F.col("units")).cast("int").alias("unit"))
     firsts = dealt.select("a", F.col("a").alias("x"), F.explode(F.sequence(F.lit(0), F.col("units") - 1)).alias("unit"))
@@ -212,24 +260,27 @@ def count_pairs(pairs: DataFrame, segments: DataFrame, num: int, den: int) -> Da
     def overlaps(batches):
         first, n0, before0 = None, 0, 0
         for batch in batches:
-            a, x, n, before = (batch.column(k).to_numpy() for k in (1, 3, 4, 5))
+            f, a, x, n, before = (batch.column(k).to_numpy() for k in (0, 1, 3, 4, 5))
             out: list[tuple] = []
             for i, grams in enumerate(batch.column(6)):
-                own = np.frombuffer(grams.as_buffer(), np.uint64)
+                own = np.frombuffer(grams.as_buffer(), np.uint8 if f[i] < 0 else np.uint64)
                 if a[i] == x[i]:  # the unit's first record
                     first, n0, before0 = own, int(n[i]), int(before[i])
                     continue
-                total = n0 + int(n[i])
-                common = int((first.take(np.searchsorted(first, own), mode="clip") == own).sum()) if len(first) else 0
-                ahead, behind = abs(before0 - int(before[i])), abs((n0 - before0 - len(first)) - int(n[i] - before[i] - len(own)))
-                if common and (ahead + behind + len(first) + len(own) - 2 * common) * (den + num) <= total * (den - num):
+                total, common = n0 + int(n[i]), 0
+                if f[i] < 0:
+                    size = min(len(first), len(own))
+                    differ = int(np.bitwise_count(folded(first, size) ^ folded(own, size)).sum())
+                else:
+                    common = int((first.take(np.searchsorted(first, own), mode="clip") == own).sum()) if len(first) else 0
+                    ahead, behind = abs(before0 - int(before[i])), abs((n0 - before0 - len(first)) - int(n[i] - before[i] - len(own)))
+                    differ = ahead + behind + len(first) + len(own) - 2 * common
+                if differ * (den + num) <= total * (den - num):
                     out.append((a[i], x[i], common, total))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b", "common", "total"])
 
-    partial = records.mapInArrow(overlaps, "a long, b long, common long, total long")
-    summed = partial.groupBy("a", "b").agg(F.sum("common").alias("common"), F.max("total").alias("total"))
-    return summed.filter(F.col("common") * den >= (F.col("total") - F.col("common")) * num).select("a", "b")
+    return records.mapInArrow(overlaps, "a long, b long, common long, total long")
 
 
 def _explode_keys(rows: DataFrame, turn: int, passes: int) -> DataFrame:

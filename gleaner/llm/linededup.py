@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .jaccard import WordHash, mix64
+from .jaccard import mix64, word_hashes
 from .shared import discard, map_rows, materialize
 
 SEPARATORS = {"line": b"\n", "paragraph": b"\n\n"}
@@ -56,11 +56,11 @@ def marks_of(words: np.ndarray, run: int) -> tuple[np.ndarray, np.ndarray]:
     return grams[at].view(np.int64), at
 
 
-def words_and_units(text: bytes, unit: str, table: WordHash) -> tuple[np.ndarray, np.ndarray]:
+def words_and_units(text: bytes, unit: str) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of a text's words, and the number of words in each unit."""
-    units = [u.split() for u in text.lower().split(SEPARATORS[unit])]
-    counts = np.fromiter(map(len, units), np.int64, len(units))
-    return np.fromiter((table[w] for u in units for w in u), np.uint64, int(counts.sum())), counts
+    words, starts = word_hashes(text)
+    ends = [m.start() for m in re.finditer(SEPARATORS[unit], text)]
+    return words, np.diff(np.concatenate([[0], np.searchsorted(starts, ends), [len(words)]])).astype(np.int64)
 
 
 def cut_words(text: bytes, gone: np.ndarray, unit: str) -> tuple[bytes, list[tuple[int, int]]]:
@@ -125,11 +125,9 @@ def dedup_units(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", u
     places = f"id {kind}, h long, at int, n int, d1 long, d2 long"
 
     def find(batches):
-        table = WordHash()
-
         def each(batch):
             for key, h, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                words, counts = words_and_units(body.as_py(), unit, table)
+                words, counts = words_and_units(body.as_py(), unit)
                 ends = np.cumsum(counts)
                 starts = ends - counts
                 long = counts >= min_words
@@ -152,11 +150,9 @@ def dedup_units(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", u
     discard(found, twice)
 
     def digest(batches):
-        table = WordHash()
-
         def each(batch):
             for key, h, body, ms, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), batch.column(4).to_pylist(), strict=True):
-                words, _ = words_and_units(body.as_py(), unit, table)
+                words, _ = words_and_units(body.as_py(), unit)
                 m, _ = marks_of(words, run)
                 hit = np.isin(m, ms.values.to_numpy())
                 for a in own or []:  # runs within a unit that goes: the first occurrence of the unit has them

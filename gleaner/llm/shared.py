@@ -28,8 +28,9 @@ def shared_dir(spark: SparkSession) -> str:
     raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
 
 
-#: Shuffle files of a query go when it ends, so that a job of many steps needs the disk of its largest step and not of all.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a table is written: shuffle files of a query go when it ends, so that a job of many steps needs the disk of its
+#: largest step and not of all; batches for Python stay small where texts are long.
+SETTINGS = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
 
 
 def materialize(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
@@ -40,12 +41,14 @@ def materialize(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    schema, before = df.schema, spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
+    schema, before = df.schema, {k: spark.conf.get(k, None) for k in SETTINGS}
     try:
+        for k, v in SETTINGS.items():
+            spark.conf.set(k, v)
         (df.write.partitionBy(by) if by else df.write).parquet(path)
     finally:
-        spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
     out = spark.read.schema(schema).parquet(path)
     out.written_to = path
     _files(out, lambda fs, at: fs.deleteOnExit(at))

@@ -239,19 +239,45 @@ def test_part_keys_lose_no_link(num, den):
     assert linked > 100
 
 
+@given(st.text(alphabet=st.sampled_from("aAbB é\n\t\x0b\x1c中"), max_size=80), st.integers(1, 9))
+def test_word_hashes(text, chunk):
+    data, old = text.encode(), jaccard.CHUNK
+    whole = jaccard.word_hashes(data)
+    try:
+        jaccard.CHUNK = chunk
+        parts = jaccard.word_hashes(data)
+    finally:
+        jaccard.CHUNK = old
+    words = data.lower().split()
+    assert (whole[0] == parts[0]).all() and (whole[1] == parts[1]).all() and len(words) == len(whole[0])
+    assert all(data[i : i + len(w)].lower() == w for i, w in zip(whole[1].tolist(), words))
+    assert len(set(words)) == len(set(whole[0].tolist())) == len(set(zip(words, whole[0].tolist())))
+
+
+def test_sketches_bound_the_difference():
+    rng = np.random.default_rng(2)
+    for _ in range(200):
+        x, y = (np.unique(rng.integers(0, 1 << 63, int(k)).astype(np.uint64)) for k in rng.integers(0, 900, 2))
+        y = np.unique(np.concatenate([y, x[rng.random(len(x)) < rng.random()]]))
+        a, b = (np.frombuffer(jaccard.sketch(h), np.uint8) for h in (x, y))
+        size = min(len(a), len(b))
+        assert np.bitwise_count(jaccard.folded(a, size) ^ jaccard.folded(b, size)).sum() <= len(np.setxor1d(x, y))
+
+
 def test_groups_are_settled_by_rounds(spark, docs):
     """Sets of one group that don't link with its first one still find each other."""
     rng = random.Random(3)
     rows = [(i, " ".join(f"w{(i // 5) * 7 + k}" if k > 30 else f"c{k}" for k in range(60)) + f" x{rng.randint(0, 1)}") for i in range(60)]
-    text = {i: np.unique(jaccard.ngram_hashes(t.encode(), 2, jaccard.WordHash())) for i, t in rows}
+    text = {i: np.unique(jaccard.ngram_hashes(t.encode(), 2)) for i, t in rows}
     edges = np.arange(1, 4, dtype=np.uint64) * np.uint64(1 << 62)
     parts = [(i, f, len(h), int(lo), h[lo:hi].tobytes()) for i, h in text.items() for f, (lo, hi) in enumerate(zip([0, *np.searchsorted(h, edges)], [*np.searchsorted(h, edges), len(h)]))]
-    segments = spark.createDataFrame([(i, f, n, lo, bytearray(b)) for i, f, n, lo, b in parts], "x long, f int, n long, before long, grams binary")
+    parts += [(i, -1, len(h), 0, jaccard.sketch(h)) for i, h in text.items()]
+    segments = spark.createDataFrame([(i, f, n, lo, bytearray(b)) for i, f, n, lo, b in parts], "x long, f int, n long, before long, grams binary").cache()
     groups = spark.createDataFrame([(1, i) for i in range(1, 60)], "g long, x long")
-    first = jaccard.count_pairs(spark.createDataFrame([(0, i) for i in range(1, 60)], "a long, b long"), segments, 70, 100)
+    first = jaccard.count_pairs(spark.createDataFrame([(0, i) for i in range(1, 60)], "a long, b long"), segments, 70, 100, 4)
     from gleaner.llm.shared import materialize
 
-    reached, _ = jaccard._settle(groups, materialize(first, "first"), segments, 70, 100)
+    reached, _ = jaccard._settle(groups, materialize(first, "first"), segments, 70, 100, 4)
     got = {r["node"]: r["component"] for r in reached.collect()}
     assert {i: (0, got.get(i, i)) for i in range(60)} == {i: (0, c) for i, (_, c) in brute_components(rows, 2, 70, 100).items()}
     repeated = jaccard.jaccard_components(docs([(1, "a b c d", "en", "a"), (1, "e f g h", "en", "a"), (3, "e f g h", "en", "a"), (4, "a b c d", "en", "a")])).collect()
