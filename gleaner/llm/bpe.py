@@ -29,7 +29,7 @@ from .shared import map_rows
 SPACE = "\\x09-\\x0D\\x20\\x85\\xA0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000"
 CHUNK = 1 << 16
 SHORT = 48
-CACHE = 200_000
+CACHE = 60_000
 NONE = 1 << 60
 MADE = (1 << 20) - 1
 #: Letters after an apostrophe by which longer contractions begin.

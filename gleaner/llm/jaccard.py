@@ -163,7 +163,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
         entries = _explode_keys(chosen, turn, passes)
         alike = entries.groupBy("k").agg(F.min("x").alias("anchor"), F.count("*").alias("c"), F.bit_xor(F.xxhash64("x")).alias("all"))
         common = materialize(alike.filter("c > 1").select("k", "anchor", F.xxhash64("all", "c", "anchor").alias("g")), "jaccard-keys")
-        parts.append(materialize(entries.join(common, "k").select("g", "anchor", "x").distinct(), "jaccard-meets"))
+        parts.append(materialize(entries.join(common.hint("shuffle_hash"), "k").select("g", "anchor", "x").distinct(), "jaccard-meets"))
         discard(common)
     meets = materialize(reduce(DataFrame.union, parts).distinct(), "jaccard-meets")
     discard(chosen, *parts)

@@ -16,6 +16,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import small_batches
+
 WINDOW = 64
 LANES = 1024
 _LETTER = re.compile(r"[^\W\d_]")
@@ -211,9 +213,10 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     langs = sorted(counts)
     if not langs:
         return ByteTagger(["und"])
-    cuts = df.sparkSession.createDataFrame([(x, int((1 << 40) * min(1.0, per_lang / counts[x]))) for x in langs], "l string, cut long")
+    cuts = F.create_map(*[F.lit(y) for x in langs for y in (x, int((1 << 40) * min(1.0, per_lang / counts[x])))])
+    rows = rows.withColumn("cut", cuts[F.col("l")])
     drawn = F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.pmod(F.xxhash64("k", i), F.lit(1 << 40)) < F.col("cut"))
-    picked = rows.join(cuts, "l").select("l", "k", "t", F.explode(drawn).alias("i"))
+    picked = rows.select("l", "k", "t", F.explode(drawn).alias("i"))
     picked = picked.select("l", "k", "i", F.substring("t", F.col("i") * WINDOW + 1, F.lit(WINDOW)).alias("w")).collect()
     picked.sort(key=lambda r: (r["k"], r["i"], r["l"]))
     codes, real = np.full((len(picked), WINDOW), 32, np.uint8), np.zeros((len(picked), WINDOW), bool)
@@ -254,7 +257,7 @@ def keep_identified(df: DataFrame, model: ByteTagger, least: float = 0.35, text_
             mask = pa.array([p != "und" and s >= least for p, s in zip(preds, scores, strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays(cols, names).filter(mask)
 
-    return df.mapInArrow(run, df.schema)
+    return small_batches(df).mapInArrow(run, df.schema)
 
 
 def identify(df: DataFrame, model: ByteTagger, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -273,4 +276,4 @@ def identify(df: DataFrame, model: ByteTagger, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([ids, pa.array(preds, pa.string()), pa.array(scores, pa.float64())], [id_col, "lang_pred", "score"])
 
     rows = df.select(F.col(id_col), F.col(text_col).cast("binary").alias(text_col))
-    return rows.mapInArrow(run, f"{id_col} {dict(df.dtypes)[id_col]}, lang_pred string, score double")
+    return small_batches(rows).mapInArrow(run, f"{id_col} {dict(df.dtypes)[id_col]}, lang_pred string, score double")

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .jaccard import mix64, word_hashes
-from .shared import discard, map_rows, materialize
+from .shared import discard, map_rows, materialize, small_batches
 
 SEPARATORS = {"line": b"\n", "paragraph": b"\n\n"}
 _PIECE = re.compile(rb"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*")
@@ -140,7 +140,7 @@ def dedup_units(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", u
         for batch in batches:
             yield from _batches(each(batch), ["id", "h", "at", "n", "d1", "d2"], batch.schema.field(0).type)
 
-    found = materialize(real.mapInArrow(find, places), "units")
+    found = materialize(small_batches(real).mapInArrow(find, places), "units")
     units, marks = found.filter("at >= 0"), found.filter("at < 0").select("id", "h", "n", F.col("d1").alias("m"))
     cut_units = materialize(_later(units, 0), "units-later")
     twice = materialize(marks.groupBy("m").agg(F.sum("n").alias("c")).filter("c > 1").select("m"), "run-marks")  # read back: the join has exchanges of its own, which can be split
@@ -167,21 +167,20 @@ def dedup_units(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", u
     runs = materialize(real.join(wanted, ["id", "h"]).select("id", "h", "text", "ms", "own").mapInArrow(digest, places), "runs")
     discard(wanted)
     gone = _later(runs, run).union(cut_units).groupBy("id", "h").agg(F.collect_set(F.struct("at", "n")).alias("gone"))
-    gone = materialize(gone, "units-gone")
+    gone = materialize(gone.select("id", "h", F.col("gone.at").alias("at"), F.col("gone.n").alias("n")), "units-gone")
     discard(runs, cut_units)
 
     def cut():
-        def each(key, body, places, *rest):
+        def each(key, body, at, lengths, *rest):
             if body is None:
                 yield key, 0, 0, [], None, *rest
                 return
             n = sum(len(u.split()) >= min_words for u in body.split(SEPARATORS[unit])) if key is not None else 0
             left, spans = body, []
-            if places:
+            if at is not None:
                 marked = np.zeros(len(_PIECE.findall(body)) + 1, np.int64)
-                at, ends = np.array([p["at"] for p in places]), np.array([p["at"] + p["n"] for p in places])
                 np.add.at(marked, at, 1)
-                np.add.at(marked, ends, -1)
+                np.add.at(marked, at + lengths, -1)
                 left, spans = cut_words(body, np.cumsum(marked)[:-1] > 0, unit)
             yield key, n, len(spans), [{"start": a, "length": b} for a, b in spans], left.decode("utf-8", "replace"), *rest
 
@@ -189,7 +188,7 @@ def dedup_units(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", u
 
     more = "".join(f", {c} {kinds[c]}" for c in keep)
     schema = f"{id_col} {kind}, n_units long, n_removed long, removed array<struct<start:long,length:long>>, {text_col} string{more}"
-    return map_rows(rows.join(gone, ["id", "h"], "left"), schema, cut, ["id", "text", "gone", *[f"keep_{i}" for i in range(len(keep))]])
+    return map_rows(rows.join(gone, ["id", "h"], "left"), schema, cut, ["id", "text", "at", "n", *[f"keep_{i}" for i in range(len(keep))]])
 
 
 def _later(places: DataFrame, apart: int) -> DataFrame:

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import discard, materialize
+from .shared import discard, materialize, small_batches
 
 END = b" "  # no word has a space
 LONG = 64
@@ -51,7 +51,7 @@ def word_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
                     table = Counter()
         yield _packed(table)
 
-    return df.select(F.col(text_col).cast("binary").alias("t")).mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return small_batches(df.select(F.col(text_col).cast("binary").alias("t"))).mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
 def _packed(table: Counter) -> pa.RecordBatch:

@@ -28,9 +28,10 @@ def shared_dir(spark: SparkSession) -> str:
     raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
 
 
-#: While a table is written: shuffle files of a query go when it ends, so that a job of many steps needs the disk of its
-#: largest step and not of all; batches for Python stay small where texts are long.
-SETTINGS = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
+#: Shuffle files of a query go when it ends, so that a job of many steps needs the disk of its largest step and not of all.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Rows of a batch for Python at most: rows are whole texts.
+BATCH, ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2000
 
 
 def materialize(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
@@ -41,14 +42,12 @@ def materialize(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    schema, before = df.schema, {k: spark.conf.get(k, None) for k in SETTINGS}
+    schema, before = df.schema, spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
     try:
-        for k, v in SETTINGS.items():
-            spark.conf.set(k, v)
         (df.write.partitionBy(by) if by else df.write).parquet(path)
     finally:
-        for k, v in before.items():
-            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+        spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
     out = spark.read.schema(schema).parquet(path)
     out.written_to = path
     _files(out, lambda fs, at: fs.deleteOnExit(at))
@@ -67,6 +66,14 @@ def _files(table: DataFrame, act: Callable) -> None:
     act(path.getFileSystem(context._jsc.hadoopConfiguration()), path)
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """The frame, in a session whose batches for Python have at most ROWS rows from now on."""
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(BATCH)) <= ROWS:
+        conf.set(BATCH, str(ROWS))
+    return df
+
+
 def map_rows(df: DataFrame, schema: str, make: Callable[[], Callable], columns: list[str]) -> DataFrame:
     """mapInArrow over the named columns (strings arrive as UTF-8 bytes).
 
@@ -94,14 +101,17 @@ def map_rows(df: DataFrame, schema: str, make: Callable[[], Callable], columns:
                         rows, weight = [], 0
         if rows:
             yield pack(rows, arrow)
+        pa.default_memory_pool().release_unused()
 
-    return source.mapInArrow(run, schema)
+    return small_batches(source).mapInArrow(run, schema)
 
 
 def lazy(column: pa.Array) -> Iterator:
-    """A column's values one by one; short ones at once."""
+    """A column's values one by one; short ones at once, arrays of integers as they lie."""
     if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type):
         return (x.as_py() for x in column)
+    if pa.types.is_list(column.type) and pa.types.is_integer(column.type.value_type):
+        return (None if x.values is None else x.values.to_numpy() for x in column)
     return iter(column.to_pylist())
 
 
