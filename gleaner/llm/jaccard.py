@@ -6,8 +6,8 @@ number. The join has two parts, which go on in rounds.
 Which pairs to count. Two sets whose Jaccard index is at least num/den differ in at most (|x|+|y|)(den-num)/(den+num)
 n-grams. Cut the order into more parts than that: at least one part is the same in both sets. So each set gives a key for
 each of its parts (their number depends on its class of sizes; a set that may link with larger ones also gives the keys
-of their classes), and sets without a key in common can't be linked. A key's sets are a group; groups of the same sets
-are one. In the first round every set of a group is paired with the group's first one.
+of their classes), and sets without a key in common can't be linked. The sets of all keys that have the same least set, the
+anchor, are a group. In the first round every set of a group is paired with its anchor.
 
 Counting. The order is cut into a few long fragments, and a set's n-grams into a record for each. A record is sent to the
 unit of its fragment and pair's first set; there the partial overlap of the pair in this fragment is counted, and left
@@ -15,9 +15,9 @@ out if the sizes before, in and after the fragment already differ by too much. T
 Before, sketches of a few bits for each n-gram, which never differ in more bits than the sets in n-grams, rule out pairs.
 
 Further rounds. What is linked so far gives components. A group whose sets are all in one component is done. Of any other
-group all pairs between components are counted, in rounds: some sets outside the group's largest component are paired with
-all sets of other components and then leave the group; sixteen times as many in each round. So a group of copies is settled
-by one pass over it, without its pairs, and no link between different components is missed.
+group the sets outside its largest component are compared with all sets of other components, by their sketches alone and
+in blocks; only pairs that may link are counted. So a group of copies is settled by one pass over it, without its pairs,
+and no link between different components is missed.
 
 What is counted by a key is written before it is joined: a join right above its own aggregation can't be split.
 """
@@ -36,8 +36,8 @@ from .components import components
 from .shared import discard, map_rows, materialize
 
 GROWTH = 1.4
-#: Pairs of one set that one unit of work counts at most.
-UNIT = 256
+#: Pairs of one set that one unit of work counts, and sets of a block whose sketches are compared, at most about.
+UNIT, BLOCK = 256, 512
 #: Fragments beyond the necessary ones, in hundredths of these.
 SPARE = 18
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -161,9 +161,9 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     parts = []
     for turn in range(passes):
         entries = _explode_keys(chosen, turn, passes)
-        alike = entries.groupBy("k").agg(F.min("x").alias("anchor"), F.count("*").alias("c"), F.bit_xor(F.xxhash64("x")).alias("all"))
-        common = materialize(alike.filter("c > 1").select("k", "anchor", F.xxhash64("all", "c", "anchor").alias("g")), "jaccard-keys")
-        parts.append(materialize(entries.join(common.hint("shuffle_hash"), "k").select("g", "anchor", "x").distinct(), "jaccard-meets"))
+        alike = entries.groupBy("k").agg(F.min("x").alias("anchor"), F.count("*").alias("c"))
+        common = materialize(alike.filter("c > 1").select("k", "anchor"), "jaccard-keys")
+        parts.append(materialize(entries.join(common.hint("shuffle_hash"), "k").select("anchor", "x").distinct(), "jaccard-meets"))
         discard(common)
     meets = materialize(reduce(DataFrame.union, parts).distinct(), "jaccard-meets")
     discard(chosen, *parts)
@@ -182,41 +182,77 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     edges = np.array([f * ((1 << 64) // fragments) for f in range(1, fragments)], np.uint64)
     texts = rows.join(members, "r").dropDuplicates(["x"]).select("x", "t")
     segments = materialize(map_rows(texts, "x long, n long, before long, grams binary, f int", cut, ["x", "t"]), "jaccard-segments", by="f")
-    links = count_pairs(meets.filter("x <> anchor").select(F.col("anchor").alias("a"), F.col("x").alias("b")).distinct(), segments, num, den, fragments)
-    reached, links = _settle(meets.filter("x <> anchor").select("g", "x"), links, segments, num, den, fragments)
-    discard(meets, members, segments, links)
+    others = meets.filter("x <> anchor")
+    links = count_pairs(others.select(F.col("anchor").alias("a"), F.col("x").alias("b")), segments, num, den, fragments)
+    reached = _settle(others, links, segments, num, den, fragments)
+    discard(meets, members, segments)
     named = classes.join(reached, F.col("x") == F.col("node"), "left").select("x", "x2", "rep", F.coalesce("component", "x").alias("label"))
     names = materialize(named.groupBy("label").agg(F.min("rep").alias("least")), "jaccard-names")
     out = base.join(materialize(named.join(names, "label").select("x", "x2", "least"), "jaccard-named"), ["x", "x2"], "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("least", "id").cast("long").alias("component_id"))
 
 
-def _settle(groups: DataFrame, links: DataFrame, segments: DataFrame, num: int, den: int, fragments: int) -> tuple[DataFrame, DataFrame]:
-    """Components (node, component) of all links, and the links found, given groups (g, x) whose first sets have been
-    paired with all others and are left out. Rounds end when each group is within one component."""
-    anchors, left, reached = 4, groups, materialize(components(links), "jaccard-reached")
+def _settle(groups: DataFrame, links: DataFrame, segments: DataFrame, num: int, den: int, fragments: int, width: int = 8) -> DataFrame:
+    """Components (node, component) of all links, given the links found so far and groups (anchor, x) whose anchors have
+    been paired with all others and are left out.
+
+    Of a group in several components, the sets outside the largest one are compared by their sketches with all sets of
+    other components, in units of two blocks. Of the pairs that may link, the first `width` of each set are counted; if
+    there were more, the next round, with the components found meanwhile, looks at four times as many.
+    """
     while True:
-        labelled = left.join(reached, F.col("x") == F.col("node"), "left").select("g", "x", F.coalesce("component", "x").alias("label"))
-        counted = labelled.groupBy("g", "label").agg(F.count("*").alias("c"))
-        largest = counted.groupBy("g").agg(F.max(F.struct("c", "label")).alias("most"), F.sum("c").alias("c"), F.count("*").alias("labels"))
-        apart = materialize(largest.filter("labels > 1").select("g", F.col("most.label").alias("main"), (F.col("c") - F.col("most.c")).alias("odd")), "jaccard-apart")
+        reached = materialize(components(links), "jaccard-reached")
+        labelled = groups.join(reached, F.col("x") == F.col("node"), "left").select("anchor", "x", F.coalesce("component", "x").alias("label"))
+        counted = labelled.groupBy("anchor", "label").agg(F.count("*").alias("c"))
+        largest = counted.groupBy("anchor").agg(F.max(F.struct("c", "label")).alias("most"), F.sum("c").alias("c"), F.count("*").alias("labels"))
+        blocks = lambda c: F.ceil(c / BLOCK).cast("int")
+        apart = largest.filter("labels > 1").select("anchor", F.col("most.label").alias("main"), blocks(F.col("c")).alias("chunks"), blocks(F.col("c") - F.col("most.c")).alias("blocks"))
+        apart = materialize(apart, "jaccard-apart")
         if apart.isEmpty():
-            discard(apart)
-            return reached, links
-        old = left
-        spot = F.pmod(F.xxhash64("x"), F.lit(1 << 40))  # the same in all groups, so that pairs of several groups meet in one round
-        first = (F.col("label") != F.col("main")) & (spot * F.col("odd") < F.lit(anchors * (1 << 40)).cast("decimal(38,0)"))
-        now = materialize(labelled.join(apart, "g").withColumn("first", first), "jaccard-left")
-        ahead = now.filter("first").select("g", F.col("x").alias("a"), F.col("label").alias("own"))
-        pairs = ahead.join(now, "g").filter("own <> label").select(F.least("a", "x").alias("a"), F.greatest("a", "x").alias("b")).distinct()
-        more = count_pairs(pairs, segments, num, den, fragments)
-        left, anchors = materialize(now.filter("not first").select("g", "x"), "jaccard-groups"), anchors * 16
-        discard(now, apart, *([old] if hasattr(old, "written_to") else []))
-        if not more.isEmpty():
-            found = materialize(more.union(links), "jaccard-links")
-            discard(links, reached)
-            links, reached = found, materialize(components(found), "jaccard-reached")
-        discard(more)
+            discard(links, apart)
+            return reached
+        rows = labelled.join(apart, "anchor").join(segments.filter("f = -1").select("x", "n", "grams"), "x")
+        spread = lambda n: F.pmod(F.xxhash64("x"), F.col(n)).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        right = rows.select("anchor", every("blocks").alias("i"), spread("chunks").alias("j"), "x", "label", "n", "grams", F.lit(False).alias("left"))
+        left = rows.filter("label <> main").select("anchor", spread("blocks").alias("i"), every("chunks").alias("j"), "x", "label", "n", "grams", F.lit(True).alias("left"))
+        compared = right.union(left).groupBy("anchor", "i", "j").applyInArrow(lambda t: _alike(t, num, den, width), "a long, b long, more boolean")
+        found = materialize(compared.groupBy("a", "b").agg(F.max("more").alias("more")), "jaccard-alike")
+        more = count_pairs(found.select("a", "b"), segments, num, den, fragments)
+        whole = found.filter("more").isEmpty()
+        new = materialize(more.union(links), "jaccard-links")
+        none = more.isEmpty()
+        discard(apart, found, more, links)
+        links, width = new, width * 4
+        if whole and none:
+            discard(links)
+            return reached
+        discard(reached)
+        if whole:
+            reached = materialize(components(links), "jaccard-reached")
+            discard(links)
+            return reached
+
+
+def _alike(table: pa.Table, num: int, den: int, width: int) -> pa.Table:
+    """Pairs of sets of different components that may link by their sketches, the first few of each left set; more: there
+    are others in this unit."""
+    x, n, label, side = (table[c].to_numpy() for c in ("x", "n", "label", "left"))
+    parts = [np.frombuffer(g.as_buffer(), np.uint8) for c in table["grams"].chunks for g in c]
+    size = min(512, *map(len, parts)) if side.any() and not side.all() else 0
+    out: list[list] = [[], [], []]
+    if size:
+        bits = np.unpackbits(np.stack([folded(p, size) for p in parts]), axis=1).astype(np.float32)
+        a, b = np.flatnonzero(side), np.flatnonzero(~side)
+        b = b[np.argsort(mix64(x[b].view(np.uint64)), kind="stable")]
+        ones = bits.sum(axis=1)
+        differ = ones[a][:, None] + ones[b][None, :] - 2 * (bits[a] @ bits[b].T)
+        alive = (differ * (den + num) <= (n[a][:, None] + n[b][None, :]) * (den - num)) & (label[a][:, None] != label[b][None, :])
+        nth = alive.cumsum(axis=1)
+        p, q = np.nonzero(alive & (nth <= width))
+        beyond = (nth[:, -1] > width)[p]
+        out = [np.minimum(x[a[p]], x[b[q]]), np.maximum(x[a[p]], x[b[q]]), beyond]
+    return pa.table({"a": pa.array(out[0], pa.int64()), "b": pa.array(out[1], pa.int64()), "more": pa.array(out[2], pa.bool_())})
 
 
 def sketch(hashes: np.ndarray) -> bytes:
