@@ -183,8 +183,8 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     texts = rows.join(members, "r").dropDuplicates(["x"]).select("x", "t")
     segments = materialize(map_rows(texts, "x long, n long, before long, grams binary, f int", cut, ["x", "t"]), "jaccard-segments", by="f")
     others = meets.filter("x <> anchor")
-    links = count_pairs(others.select(F.col("anchor").alias("a"), F.col("x").alias("b")), segments, num, den, fragments)
-    reached = _settle(others, links, segments, num, den, fragments)
+    links = count_pairs(others.select(F.col("anchor").alias("a"), F.col("x").alias("b")), segments, num, den)
+    reached = _settle(others, links, segments, num, den)
     discard(meets, members, segments)
     named = classes.join(reached, F.col("x") == F.col("node"), "left").select("x", "x2", "rep", F.coalesce("component", "x").alias("label"))
     names = materialize(named.groupBy("label").agg(F.min("rep").alias("least")), "jaccard-names")
@@ -192,7 +192,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("least", "id").cast("long").alias("component_id"))
 
 
-def _settle(groups: DataFrame, links: DataFrame, segments: DataFrame, num: int, den: int, fragments: int, width: int = 8) -> DataFrame:
+def _settle(groups: DataFrame, links: DataFrame, segments: DataFrame, num: int, den: int, width: int = 8) -> DataFrame:
     """Components (node, component) of all links, given the links found so far and groups (anchor, x) whose anchors have
     been paired with all others and are left out.
 
@@ -218,7 +218,7 @@ def _settle(groups: DataFrame, links: DataFrame, segments: DataFrame, num: int,
         left = rows.filter("label <> main").select("anchor", spread("blocks").alias("i"), every("chunks").alias("j"), "x", "label", "n", "grams", F.lit(True).alias("left"))
         compared = right.union(left).groupBy("anchor", "i", "j").applyInArrow(lambda t: _alike(t, num, den, width), "a long, b long, more boolean")
         found = materialize(compared.groupBy("a", "b").agg(F.max("more").alias("more")), "jaccard-alike")
-        more = count_pairs(found.select("a", "b"), segments, num, den, fragments)
+        more = count_pairs(found.select("a", "b"), segments, num, den)
         whole = found.filter("more").isEmpty()
         new = materialize(more.union(links), "jaccard-links")
         none = more.isEmpty()
@@ -270,17 +270,18 @@ def folded(bits: np.ndarray, size: int) -> np.ndarray:
     return bits
 
 
-def count_pairs(pairs: DataFrame, segments: DataFrame, num: int, den: int, fragments: int) -> DataFrame:
+def count_pairs(pairs: DataFrame, segments: DataFrame, num: int, den: int) -> DataFrame:
     """Those of the pairs (a, b) that link. Sketches rule out most of those that don't. Of the others, partial overlaps are
     counted fragment by fragment, each in units of its own of one set a and at most about UNIT others, and summed per pair."""
     pairs = materialize(pairs, "jaccard-pairs")
     alive = materialize(_units(pairs, segments.filter("f = -1"), num, den).select("a", "b"), "jaccard-alive")
     discard(pairs)
-    halves = [_units(alive, segments.filter(F.col("f").between(lo, hi)), num, den) for lo, hi in ((0, fragments // 2 - 1), (fragments // 2, fragments - 1)) if lo <= hi]
-    counts = [materialize(h.groupBy("a", "b").agg(F.sum("common").alias("common"), F.max("total").alias("total")), "jaccard-partial") for h in halves]
-    summed = reduce(DataFrame.union, counts).groupBy("a", "b").agg(F.sum("common").alias("common"), F.max("total").alias("total"))
+    if alive.isEmpty():
+        return alive
+    partial = _units(alive, segments.filter("f >= 0"), num, den)
+    summed = partial.groupBy("a", "b").agg(F.sum("common").alias("common"), F.max("total").alias("total"))
     out = materialize(summed.filter(F.col("common") * den >= (F.col("total") - F.col("common")) * num).select("a", "b"), "jaccard-links")
-    discard(alive, *counts)
+    discard(alive)
     return out
 
 

@@ -121,11 +121,12 @@ def test_lm_trains_on_every_token_of_whole_texts(docs):
     assert sum(r["score"] for r in rows) > sum(r["base_score"] for r in rows)
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [0, 1 << 20])
+def test_components(spark, few):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 100 + i) for i in range(1, 200)] + [(500, 501), (501, 500), (7, 7)]
-    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long"), few).collect()}
     assert all(got[i] == 1 for i in range(2, 41)) and all(got[100 + i] == 100 for i in range(1, 200)) and got[501] == 500
-    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+    assert components(spark.createDataFrame([], "a long, b long"), few).count() == 0
 
 
 def brute_links(ids, vectors, least=0.95):

@@ -275,10 +275,10 @@ def test_groups_are_settled_by_rounds(spark, docs):
     parts += [(i, -1, len(h), 0, jaccard.sketch(h)) for i, h in text.items()]
     segments = spark.createDataFrame([(i, f, n, lo, bytearray(b)) for i, f, n, lo, b in parts], "x long, f int, n long, before long, grams binary").cache()
     groups = spark.createDataFrame([(0, i) for i in range(1, 60)], "anchor long, x long")
-    first = jaccard.count_pairs(spark.createDataFrame([(0, i) for i in range(1, 60)], "a long, b long"), segments, 70, 100, 4)
+    first = jaccard.count_pairs(spark.createDataFrame([(0, i) for i in range(1, 60)], "a long, b long"), segments, 70, 100)
     from gleaner.llm.shared import materialize
 
-    reached = jaccard._settle(groups, materialize(first, "first"), segments, 70, 100, 4, width=1)
+    reached = jaccard._settle(groups, materialize(first, "first"), segments, 70, 100, width=1)
     got = {r["node"]: r["component"] for r in reached.collect()}
     assert {i: (0, got.get(i, i)) for i in range(60)} == {i: (0, c) for i, (_, c) in brute_components(rows, 2, 70, 100).items()}
     repeated = jaccard.jaccard_components(docs([(1, "a b c d", "en", "a"), (1, "e f g h", "en", "a"), (3, "e f g h", "en", "a"), (4, "a b c d", "en", "a")])).collect()
