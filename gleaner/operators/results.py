@@ -126,9 +126,14 @@ def view(findings: DataFrame, baseline: DataFrame | None, rules: IgnoreRules, qu
 
 
 def _folders(path: Column) -> Column:
-    """Non-empty lower-case segments of a path, without query and the last one."""
-    parts = F.filter(F.split(ascii_lower(F.regexp_replace(path, r"[?#].*$", "")), "/"), lambda s: s != "")
-    return F.slice(parts, F.lit(1), F.greatest(F.lit(0), F.size(parts) - 1))
+    """Lower-case segments of a path, without query, that a slash follows; empty ones are left out."""
+    parts = F.split(ascii_lower(F.regexp_replace(path, r"[?#].*$", "")), "/")
+    return F.filter(F.slice(parts, F.lit(1), F.size(parts) - 1), lambda s: s != "")
+
+
+def _prefixes(folders: Column) -> Column:
+    """array<struct<depth, prefix>> of the leading folders, at every depth."""
+    return F.transform(F.sequence(F.lit(1), F.size(folders)), lambda n: F.struct(n.alias("depth"), F.array_join(F.slice(folders, F.lit(1), n), "/").alias("prefix")))
 
 
 def resolve_download_hosts(findings: DataFrame, label: str = "Download URL") -> DataFrame:
@@ -150,15 +155,13 @@ def resolve_download_hosts(findings: DataFrame, label: str = "Download URL") ->
     bare = bare.groupBy(*key).agg(F.max("url").alias("from")).select(*key, F.concat(F.regexp_extract("from", "^(.*?://)", 1), "value").alias("resolved"), "from", F.col("value").alias("path"))
     paths = _without(asked, bare, key)
     paths = paths.withColumn("path", F.when(F.col("value").startswith("/"), F.col("value")).otherwise(F.concat(F.lit("/"), "value"))).withColumn("cd", _folders(F.col("path")))
-    pairs = paths.withColumn("top", F.get("cd", F.lit(0))).join(known.withColumn("top", F.get("kd", F.lit(0))), ["place", "top"])  # depth 1 or more
-    same = F.zip_with("cd", "kd", lambda a, b: F.coalesce(a == b, F.lit(False)))
-    pairs = pairs.withColumn("depth", F.coalesce(F.nullif(F.array_position(same, False), F.lit(0)) - 1, F.size(same)).cast("int"))
-    votes = pairs.groupBy(*key, "path", "depth", ascii_lower("origin").alias("o")).agg(F.count("*").alias("n"), F.max(F.struct("url", "origin")).alias("best"))
-    top = votes.withColumn("d", F.max("depth").over(Window.partitionBy(*key))).filter("depth = d")
-    top = top.groupBy(*key, "path").agg(F.max("n").alias("most"), F.collect_list(F.struct("n", "best")).alias("all"))
-    won = top.withColumn("first", F.filter("all", lambda x: x["n"] == F.col("most"))).filter(F.size("first") == 1)
-    best = F.col("first")[0]["best"]
-    won = won.select(*key, F.concat(best["origin"], "path").alias("resolved"), best["url"].alias("from"), "path")
+    # votes by leading folders: a candidate's longest known ones decide, so each URL and candidate gives a row for each of its folders
+    spread = known.filter(F.size("kd") > 0).select("place", "url", "origin", F.explode(_prefixes(F.col("kd"))).alias("at"))
+    votes = spread.groupBy("place", "at.prefix", ascii_lower("origin").alias("o")).agg(F.count("*").alias("n"), F.max(F.struct("url", "origin")).alias("best"))
+    tops = votes.groupBy("place", "prefix", "n").agg(F.count("*").alias("k"), F.max("best").alias("best")).groupBy("place", "prefix").agg(F.max(F.struct("n", "k", "best")).alias("top"))
+    asking = paths.filter(F.size("cd") > 0).select(*key, "place", "path", F.explode(_prefixes(F.col("cd"))).alias("at")).select(*key, "place", "path", "at.depth", "at.prefix")
+    won = asking.join(tops, ["place", "prefix"]).groupBy(*key, "path").agg(F.max(F.struct("depth", "top.k", "top.best")).alias("top")).filter("top.k = 1")
+    won = won.select(*key, F.concat("top.best.origin", "path").alias("resolved"), F.col("top.best.url").alias("from"), "path")
     hits = won.unionByName(bare)
     joined = rows.alias("r").join(hits.alias("h"), [F.col(f"r.{c}").eqNullSafe(F.col(f"h.{c}")) for c in key], "left")
     more = F.array(F.struct(F.lit("path").alias("name"), F.col("h.path").alias("value")), F.struct(F.lit("host from").alias("name"), F.col("h.from").alias("value")))

@@ -17,9 +17,14 @@ COLUMNS = ["group", "value", "encoding", "source", "offset", "context_before", "
 ENCODINGS = ("ASCII", "Escaped", "UTF-16", "Base64", "Hex")
 
 
-def _rows(df: DataFrame, pattern: str, guard: Column | None) -> DataFrame:
+def _rows(df: DataFrame, pattern: str, guard: Column | None, captures: tuple[tuple[int, str], ...] = ()) -> DataFrame:
+    """A row for each hit, with what its captures hold in the whole text, where lookaheads see what follows."""
     rows = df if guard is None else df.filter(guard)
-    return rows.select("source", "text", F.explode(tx.hit_structs(F.col("text"), pattern)).alias("hit"))
+    if not captures:
+        return rows.select("source", "text", F.explode(tx.hit_structs(F.col("text"), pattern)).alias("hit"))
+    found = [F.regexp_extract_all(F.col("text"), F.lit(pattern), F.lit(i)).alias(f"c{i}") for i, _ in captures]
+    rows = rows.select("source", "text", F.explode(F.arrays_zip(tx.hit_structs(F.col("text"), pattern).alias("hit"), *found)).alias("z"))
+    return rows.select("source", "text", "z.*")
 
 
 def _findings(rows: DataFrame, value: Column, group: Column, captures: Column, placed: bool, encoding: str) -> DataFrame:
@@ -47,10 +52,10 @@ def url_findings(df: DataFrame, options: Options, encoding: str = "ASCII", place
 
 def pattern_findings(df: DataFrame, m: Matcher, options: Options, encoding: str = "ASCII", placed: bool = True) -> DataFrame:
     """Matches of one pattern in (source, text); a required character is looked for first (R-10)."""
-    rows = _rows(df, m.java, F.col("text").contains(m.hint) if m.hint else None)
+    rows = _rows(df, m.java, F.col("text").contains(m.hint) if m.hint else None, m.captures)
     value = F.col("hit.value")
     rows = rows.filter(F.octet_length(value).between(1, min(LONGEST_MATCH, options.max_candidate)))
-    named = F.array(*[F.struct(F.lit(n).alias("name"), F.regexp_extract(value, m.java, i).alias("value")) for i, n in m.captures]) if m.captures else F.array()
+    named = F.array(*[F.struct(F.lit(n).alias("name"), F.col(f"c{i}").alias("value")) for i, n in m.captures]) if m.captures else F.array()
     present = F.filter(named.cast(CAPTURES), lambda c: c["value"] != "")
     return _findings(rows, value, F.lit(m.label), present, placed, encoding)
 

@@ -182,11 +182,11 @@ def _downloads(spark, d):
 _DOWNLOADS_SQL = r"""
 WITH p AS (SELECT 'lang-' || coalesce(nullif(regexp_extract(url, '://[^/]*/([^/?#]*)/', 1), ''), 'none') AS source, page_id, url FROM pages),
 known AS (SELECT DISTINCT source, url, regexp_extract(url, '^(.*?://[^/?#]*)', 1) AS origin,
-  list_filter(string_split(lower(regexp_replace(regexp_extract(url, '://[^/?#]*(.*)$', 1), '[?#].*$', '')), '/'), lambda s: s <> '') AS kd0 FROM p),
-k AS (SELECT source, url, origin, kd0[1:len(kd0) - 1] AS kd FROM known),
+  string_split(lower(regexp_replace(regexp_extract(url, '://[^/?#]*(.*)$', 1), '[?#].*$', '')), '/') AS kd0 FROM p),
+k AS (SELECT source, url, origin, list_filter(kd0[1:len(kd0) - 1], lambda s: s <> '') AS kd FROM known),
 asked AS (SELECT source, page_id, regexp_extract(url, '://[^/?#]*([^?#]*/)', 1) || 'file_' || page_id || '.zip' AS path FROM p),
-c AS (SELECT source, page_id, path, cd0[1:len(cd0) - 1] AS cd FROM (
-  SELECT *, list_filter(string_split(lower(path), '/'), lambda s: s <> '') AS cd0 FROM asked WHERE path LIKE '/%')),
+c AS (SELECT source, page_id, path, list_filter(cd0[1:len(cd0) - 1], lambda s: s <> '') AS cd FROM (
+  SELECT *, string_split(lower(path), '/') AS cd0 FROM asked WHERE path LIKE '/%')),
 pairs AS (SELECT c.source, page_id, path, url, origin,
   (SELECT coalesce(max(i), 0) FROM range(1, least(len(cd), len(kd)) + 1) t(i) WHERE cd[1:i] = kd[1:i]) AS depth FROM c JOIN k USING (source)),
 votes AS (SELECT source, page_id, path, depth, lower(origin) AS o, count(*) AS n, max(url) AS url, arg_max(origin, url) AS origin FROM pairs WHERE depth >= 1 GROUP BY ALL),
@@ -203,13 +203,13 @@ def _files(spark, d):
         F.concat(F.lit("/data/"), F.col("source"), F.lit("/"), F.col("lang"), F.lit("/Doc_"), F.col("doc_id"), F.when(F.col("n_chars") % 2 == 0, F.lit(".TXT")).otherwise(F.lit(".bin"))).alias("path"),
         F.octet_length("text").cast("long").alias("length"), F.timestamp_seconds(F.lit(1_700_000_000) + F.col("doc_id")).alias("modificationTime"),
     )
-    chosen = FileSelection(include="*.txt", exclude="de; */src1/*", min_size=500, max_size=20_000, modified_after=1_700_000_010)
+    chosen = FileSelection(include="*.txt, doc_1*.bin, src*", exclude="de; */src1/*; doc_7?.*", min_size=500, max_size=20_000, modified_after=1_700_000_010)
     return select_files(rows, chosen).select("path", "length")
 
 
 _FILES_SQL = """SELECT path, length FROM (
   SELECT '/data/' || source || '/' || lang || '/Doc_' || doc_id || CASE WHEN n_chars % 2 = 0 THEN '.TXT' ELSE '.bin' END AS path, CAST(strlen(text) AS BIGINT) AS length, lang, source, doc_id, n_chars FROM documents)
-  WHERE n_chars % 2 = 0 AND lang <> 'de' AND source <> 'src1' AND length BETWEEN 500 AND 20000 AND 1700000000 + doc_id >= 1700000010"""
+  WHERE (n_chars % 2 = 0 OR CAST(doc_id AS VARCHAR) LIKE '1%') AND lang <> 'de' AND source <> 'src1' AND NOT regexp_full_match(CAST(doc_id AS VARCHAR), '7[0-9]') AND length BETWEEN 500 AND 20000 AND 1700000000 + doc_id >= 1700000010"""
 
 
 def _inspect(spark, d):

@@ -22,11 +22,14 @@ def pattern_list(patterns: str) -> list[str]:
 
 
 def matches_list(path: Column, patterns: str) -> Column:
-    """Whether the file name, the path, any folder part, or (for a pattern with /) any later part matches a glob."""
+    """Whether the file name, the path or, for a pattern with /, any later part of the path matches a glob."""
     out = F.lit(False)
     for p in pattern_list(patterns):
         body = glob_regex(p)[1:-1]
-        out = out | path.rlike(f"(?is)^(?:.*/)?{body}$")
+        if "/" in p:
+            out = out | path.rlike(f"(?is)^(?:.*/)?{body}$")
+        else:
+            out = out | path.rlike(f"(?is)^{body}$") | F.regexp_extract(path, "[^/]*$", 0).rlike(f"(?is)^{body}$")
     return out
 
 
@@ -35,7 +38,10 @@ def under_excluded(path: Column, patterns: str) -> Column:
     out = F.lit(False)
     for p in pattern_list(patterns):
         body = glob_regex(p)[1:-1]
-        out = out | path.rlike(f"(?is)^(?:.*/)?{body}(?:/.*)?$")
+        if "/" in p:
+            out = out | path.rlike(f"(?is)^(?:.*/)?{body}(?:/.*)?$")
+        else:
+            out = out | path.rlike(f"(?is)^{body}(?:/.*)?$") | F.exists(F.split(path, "/"), lambda s: s.rlike(f"(?is)^{body}$") & (s != ""))  # noqa: B023
     return out
 
 
