@@ -24,7 +24,7 @@ def test_stages(spark):
     lines = {rows[n][0]: t for n, t in brute_lines(rows, 25, 50).items()}
     assert {r["doc_id"]: r["text"] for r in third.collect()} == {i: t for i, t in lines.items() if t.split()}
     fourth = cp.mix_sources(spark, third, SF)
-    taken = {r["doc_id"]: r["taken"] for r in mixing.mix(third)[0].collect() if r["taken"]}
+    taken = {r["doc_id"]: r["taken"] for r in mixing.mix(third, keep=["lang"])[0].collect() if r["taken"]}
     assert {r["doc_id"]: len(r["text"].encode().split()) for r in fourth.collect()} == taken
     assert all(r["n_chars"] == len(r["text"]) for r in fourth.collect()) and set(fourth.columns) == set(cp.COLUMNS)
     last = cp.tokens(spark, fourth, SF)
