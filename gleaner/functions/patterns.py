@@ -25,6 +25,7 @@ _NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_]*")
 _CLASSES = {"alpha": "A-Za-z", "digit": "0-9", "alnum": "A-Za-z0-9", "upper": "A-Z", "lower": "a-z", "space": r"\x20\t\n\x0b\f\r", "xdigit": "0-9A-Fa-f", "punct": r"!-/:-@\[-`{-~", "print": r"\x20-~", "graph": "!-~", "cntrl": r"\x00-\x1f\x7f", "blank": r"\x20\t"}
 #: An ASCII word boundary, in engines whose own boundary knows other letters.
 _EDGE = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
+_INNER = "[A-Za-z0-9_]"
 _NO_EDGE = r"(?:(?<=[A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<![A-Za-z0-9_])(?![A-Za-z0-9_]))"
 
 
@@ -56,7 +57,7 @@ def translate(pattern: str) -> tuple[str, str, tuple[tuple[int, str], ...]]:
             if e in "123456789":
                 raise OptionError("back references aren't supported")
             if e in "bB":
-                java.append(_EDGE if e == "b" else _NO_EDGE)
+                java.append(_edge(pattern, i + 2) if e == "b" else _NO_EDGE)
                 python.append("\\" + e)
             elif e == "x" and pattern[i + 2 : i + 3] == "{":
                 end = pattern.index("}", i)
@@ -133,6 +134,54 @@ def translate(pattern: str) -> tuple[str, str, tuple[tuple[int, str], ...]]:
     return "".join(java), "".join(python), tuple(names)
 
 
+_ESCAPE = re.compile(r"\\(?:x\{[^}]*\}|x..|u....|.)", re.S)
+_CLASS = re.compile(r"\[\^?\]?(?:\[:\w+:\]|\\.|[^\]\\])*\]", re.S)
+_REPEAT = re.compile(r"(?:[*+?]|\{(\d*)[^}]*\})[?+]?")
+
+
+def _edge(pattern: str, i: int) -> str:
+    """A word boundary before position i. Where only word characters can follow, what follows is looked at first, which
+    rules out most places of a text at once, and one look back says the rest."""
+    chars = None if _REPEAT.match(pattern, i) else _opening(pattern, i, alone=True)[0]
+    if not chars or not all(c.isalnum() or c == "_" for c in chars):
+        return _EDGE
+    return f"(?=[{''.join(sorted(chars))}])(?<!{_INNER})"
+
+
+def _opening(pattern: str, i: int, alone: bool = False) -> tuple[frozenset[str] | None, int]:
+    """The ASCII characters that open any match of the alternatives from i to the end of their group (alone: of the first
+    alternative), None where others or nothing can; and the place where they end."""
+    found, known, empty = set(), True, True
+    while i < len(pattern) and pattern[i] != ")" and not (alone and pattern[i] == "|"):
+        if pattern[i] == "|":
+            known, empty, i = known and not empty, True, i + 1
+            continue
+        chars, i = _atom(pattern, i)
+        repeat = _REPEAT.match(pattern, i)
+        if empty:
+            known = known and chars is not None
+            found |= chars or set()
+            empty = bool(repeat) and (repeat[0][0] in "*?" or repeat[1] is not None and int(repeat[1] or 0) == 0)
+        i = repeat.end() if repeat else i
+    return (frozenset(found) if known and not empty else None), i
+
+
+def _atom(pattern: str, i: int) -> tuple[frozenset[str] | None, int]:
+    """The ASCII characters that open one group, class, escape or character, None as above; and the place after it."""
+    if pattern[i] == "(":
+        named = re.compile(r"\(\?<[^>]*>|\(\?:|\((?!\?)").match(pattern, i)
+        chars, end = _opening(pattern, named.end() if named else i + 3)
+        return (chars if named else None), end + 1
+    if pattern[i] in "*+?{":
+        return None, i + 1
+    whole = (_ESCAPE if pattern[i] == "\\" else _CLASS if pattern[i] == "[" else re.compile(".", re.S)).match(pattern, i)
+    if not whole:
+        return None, len(pattern)
+    one = re.compile(translate(whole[0])[1].encode("latin-1"))
+    codes = [c for c in range(256) if one.fullmatch(bytes([c]))]
+    return (frozenset(map(chr, codes)) if codes and codes[-1] < 128 else None), whole.end()
+
+
 def _utf8_class(lo: int, hi: int) -> str:
     """Bytes expression for the UTF-8 forms of a range of code points."""
     if hi < 0x80:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 NEAR = 32
+BLOCK = 256
 
 
 def ascii_lower(c: Column) -> Column:
@@ -14,18 +15,34 @@ def ascii_lower(c: Column) -> Column:
 
 
 def hit_structs(text: Column, pattern: str) -> Column:
-    """array<struct<value, at (characters before), offset (bytes before)>> of all matches, left to right."""
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    pairs = F.arrays_zip(hits.alias("h"), F.slice(gaps, F.lit(1), F.size(hits)).alias("g"))
-    empty = F.expr("named_struct('at', 0L, 'offset', 0L, 'out', cast(array() as array<struct<value:string,at:bigint,offset:bigint>>))")
-
-    def step(acc: Column, p: Column) -> Column:
-        at, offset = acc["at"] + F.length(p["g"]), acc["offset"] + F.octet_length(p["g"])
-        item = F.struct(p["h"].alias("value"), at.cast("bigint").alias("at"), offset.cast("bigint").alias("offset"))
-        return F.struct((at + F.length(p["h"])).cast("bigint").alias("at"), (offset + F.octet_length(p["h"])).cast("bigint").alias("offset"), F.concat(acc["out"], F.array(item)).alias("out"))
-
-    return F.aggregate(pairs, empty, step, lambda acc: acc["out"])
+    """array<struct<value, at (characters before), offset (bytes before)>> of all matches, left to right.
+
+    Running sums are taken in blocks of BLOCK hits, then over blocks, so that a text of many hits isn't copied for each.
+    """
+    found = F.array(F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("h"), F.split(text, pattern, -1).alias("g")))
+    return F.transform(found, lambda f: _placed(F.zip_with(f["h"], F.slice(f["g"], F.lit(1), F.size(f["h"])), lambda h, g: F.struct(h.alias("h"), g.alias("g")))))[0]
+
+
+def _placed(pairs: Column) -> Column:
+    """Hits with their places, from (hit, gap before it)."""
+    zero, none = F.lit(0).cast("bigint"), F.expr("cast(array() as array<struct<value:string,at:bigint,offset:bigint>>)")
+
+    def add(acc: Column, length: Column, size: Column, item: Column) -> Column:
+        return F.struct((acc["at"] + length).cast("bigint").alias("at"), (acc["offset"] + size).cast("bigint").alias("offset"), F.concat(acc["out"], F.array(item)).alias("out"))
+
+    def hit(acc: Column, p: Column) -> Column:
+        item = F.struct(p["h"].alias("value"), (acc["at"] + F.length(p["g"])).cast("bigint").alias("at"), (acc["offset"] + F.octet_length(p["g"])).cast("bigint").alias("offset"))
+        return add(acc, F.length(p["g"]) + F.length(p["h"]), F.octet_length(p["g"]) + F.octet_length(p["h"]), item)
+
+    def block(n: Column) -> Column:
+        return F.aggregate(F.slice(pairs, n * BLOCK + 1, F.lit(BLOCK)), F.struct(zero.alias("at"), zero.alias("offset"), none.alias("out")), hit)
+
+    def follow(acc: Column, b: Column) -> Column:
+        return add(acc, b["at"], b["offset"], F.transform(b["out"], lambda x: F.struct(x["value"].alias("value"), (x["at"] + acc["at"]).alias("at"), (x["offset"] + acc["offset"]).alias("offset"))))
+
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(pairs) - 1) / BLOCK).cast("int")), block)
+    start = F.struct(zero.alias("at"), zero.alias("offset"), F.expr("cast(array() as array<array<struct<value:string,at:bigint,offset:bigint>>>)").alias("out"))
+    return F.when(F.size(pairs) > 0, F.flatten(F.aggregate(blocks, start, follow, lambda acc: acc["out"]))).otherwise(none)
 
 
 def context_before(text: Column, at: Column) -> Column:

@@ -17,14 +17,25 @@ COLUMNS = ["group", "value", "encoding", "source", "offset", "context_before", "
 ENCODINGS = ("ASCII", "Escaped", "UTF-16", "Base64", "Hex")
 
 
-def _rows(df: DataFrame, pattern: str, guard: Column | None, captures: tuple[tuple[int, str], ...] = ()) -> DataFrame:
-    """A row for each hit, with what its captures hold in the whole text, where lookaheads see what follows."""
-    rows = df if guard is None else df.filter(guard)
-    if not captures:
-        return rows.select("source", "text", F.explode(tx.hit_structs(F.col("text"), pattern)).alias("hit"))
-    found = [F.regexp_extract_all(F.col("text"), F.lit(pattern), F.lit(i)).alias(f"c{i}") for i, _ in captures]
-    rows = rows.select("source", "text", F.explode(F.arrays_zip(tx.hit_structs(F.col("text"), pattern).alias("hit"), *found)).alias("z"))
-    return rows.select("source", "text", "z.*")
+def _hits(pattern: str, guard: Column | None, captures: tuple[tuple[int, str], ...] = (), number: int = 0) -> Column:
+    """array of (hit, captures, number) of one pattern in column text, null where it has none; captures hold what they
+    matched in the whole text, where lookaheads see what follows."""
+    text = F.col("text")
+    found = [F.regexp_extract_all(text, F.lit(pattern), F.lit(i)).alias(f"c{i}") for i, _ in captures]
+    zipped = F.arrays_zip(tx.hit_structs(text, pattern).alias("hit"), *found)
+
+    def row(z: Column) -> Column:
+        named = F.array(*[F.struct(F.lit(n).alias("name"), z[f"c{i}"].alias("value")) for i, n in captures])
+        return F.struct(z["hit"].alias("hit"), F.filter(named.cast(CAPTURES), lambda c: c["value"] != "").alias("captures"), F.lit(number).alias("number"))
+
+    any_hit = text.rlike(pattern)
+    return F.when(any_hit if guard is None else guard & any_hit, F.transform(zipped, row))
+
+
+def _rows(df: DataFrame, hits: list[Column]) -> DataFrame:
+    """A row for each hit of all patterns, in one reading of the texts."""
+    each = hits[0] if len(hits) == 1 else F.flatten(F.array_compact(F.array(*hits)))
+    return df.select("source", "text", F.explode(each).alias("z")).select("source", "text", "z.*")
 
 
 def _findings(rows: DataFrame, value: Column, group: Column, captures: Column, placed: bool, encoding: str) -> DataFrame:
@@ -39,7 +50,7 @@ def _findings(rows: DataFrame, value: Column, group: Column, captures: Column, p
 
 def url_findings(df: DataFrame, options: Options, encoding: str = "ASCII", placed: bool = True) -> DataFrame:
     """URLs of (source, text)."""
-    rows = _rows(df, urls.URL_RE, F.col("text").contains("://"))
+    rows = _rows(df, [_hits(urls.URL_RE, F.col("text").contains("://"))])
     rows = rows.withColumn("url", urls.trim_url(F.col("hit.value"))).filter(F.col("url").contains("://"))
     rows = rows.withColumns({"host": urls.url_host(F.col("url")), "scheme": urls.url_scheme(F.col("url"))})
     rows = rows.filter(F.octet_length("url").between(8, options.max_candidate) & urls.plausible_host(F.col("host")))
@@ -50,14 +61,13 @@ def url_findings(df: DataFrame, options: Options, encoding: str = "ASCII", place
     return _findings(rows, F.col("url"), F.col("host"), F.array().cast(CAPTURES), placed, encoding)
 
 
-def pattern_findings(df: DataFrame, m: Matcher, options: Options, encoding: str = "ASCII", placed: bool = True) -> DataFrame:
-    """Matches of one pattern in (source, text); a required character is looked for first (R-10)."""
-    rows = _rows(df, m.java, F.col("text").contains(m.hint) if m.hint else None, m.captures)
+def pattern_findings(df: DataFrame, found: list[Matcher], options: Options, encoding: str = "ASCII", placed: bool = True) -> DataFrame:
+    """Matches of patterns in (source, text); a required character is looked for first (R-10)."""
+    rows = _rows(df, [_hits(m.java, F.col("text").contains(m.hint) if m.hint else None, m.captures, n) for n, m in enumerate(found)])
     value = F.col("hit.value")
     rows = rows.filter(F.octet_length(value).between(1, min(LONGEST_MATCH, options.max_candidate)))
-    named = F.array(*[F.struct(F.lit(n).alias("name"), F.col(f"c{i}").alias("value")) for i, n in m.captures]) if m.captures else F.array()
-    present = F.filter(named.cast(CAPTURES), lambda c: c["value"] != "")
-    return _findings(rows, value, F.lit(m.label), present, placed, encoding)
+    label = F.element_at(F.array(*[F.lit(m.label) for m in found]), F.col("number") + 1)
+    return _findings(rows, value, label, F.col("captures"), placed, encoding)
 
 
 def scan_column(df: DataFrame, text_col: str, source: Column, options: Options | None = None) -> DataFrame:
@@ -71,7 +81,7 @@ def scan_column(df: DataFrame, text_col: str, source: Column, options: Options |
     def branch(rows: DataFrame, encoding: str, placed: bool) -> list[DataFrame]:
         if options.mode == "urls":
             return [url_findings(rows, options, encoding, placed)]
-        return [pattern_findings(rows, m, options, encoding, placed) for m in matchers(options)]
+        return [pattern_findings(rows, matchers(options), options, encoding, placed)]
 
     parts = branch(base, "ASCII", True) if options.ascii else []
     if options.base64:

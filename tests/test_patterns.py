@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -20,6 +21,27 @@ def test_translated(spark):
     assert spark.range(1).selectExpr(f"'{text}' rlike r'{matcher('t', r'\bTKT-[0-9]{6}\b').java}' x").first()["x"]
 
 
+def test_boundaries_and_places(spark):
+    """Patterns with boundaries in several places, on texts of more hits than a block, against Python's own."""
+    from pyspark.sql import functions as F
+
+    from gleaner.functions.text import hit_structs
+
+    rng = random.Random(5)
+    texts = ["", "ab", "\u00e9ab ab\u00e9 ab"] + ["".join(rng.choices(["ab", "a", "b", " ", "-", "1", "_", "\u00e9", "AB"], k=n)) for n in (50, 700, 4000)]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    for p in [r"\bab\b", r"\b(?:a|b1)", r"\b[ab]+", r"\ba?b", r"\b(?:a|)b", r"\ba*-", r"(?:\b1|-)a", r"\b(?<n>[[:alpha:]])\w*", r"\b\d", r"a\b|\bb", r"\b-", r"\Ba", r"\b(?=a)\w", r"\b[^a-z\x80-\xff]"]:
+        m = matcher("t", p, ignore_case=len(p) % 2 == 0)
+        rows = {r["i"]: r["h"] for r in frame.select("i", hit_structs(F.col("t"), m.java).alias("h")).collect()}
+        ours = re.compile(m.python, re.A)
+        for i, t in enumerate(texts):
+            want = [(x[0], x.start(), len(t[: x.start()].encode())) for x in ours.finditer(t)]
+            assert [tuple(h) for h in rows[i]] == want, (p, i)
+    for bad in (r"\b*+*", r"\b?a", r"\b(*a)", r"\b["):
+        with pytest.raises(OptionError):
+            matcher("x", bad)
+
+
 def test_utf8_ranges():
     for lo, hi in [(0xC0, 0x27F), (0x7F, 0x10FFFF), (0x800, 0xD7FF), (0xFF21, 0xFFFD), (0x3040, 0x3042)]:
         find = re.compile(utf8_class([(lo, hi)]).encode("latin-1"))
