@@ -2,6 +2,7 @@
 
 import hashlib
 import io
+import struct
 import zlib
 
 import numpy as np
@@ -19,11 +20,75 @@ def test_media_formats():
         for encode in (media.encode_pgm, media.encode_bmp):
             assert (media.decode_media(encode(image)) == image).all()
     assert (media.decode_media(b"P2 # note\n2 1\n255\n7 9\n") == [[7, 9]]).all()
-    for bad in (b"", b"P5 1 1 70000 xx", b"GIF89a"):
-        with pytest.raises((ValueError, Exception)):
+    for bad in (b"", b"P5 1 1 70000 xx", b"GIF89a", b"BM", b"P5 2 2 255\nabc", b"P5 0 2 255\n", b"P2 1 1 9\n10", b"P2 2 1 255\n1 x", b"P1 2 1\n1 2", b"P5 1 1", media.encode_bmp(image)[:60]):
+        with pytest.raises(ValueError):
             media.decode_media(bad)
 
 
+def bmp(w, h, bits, packed, palette, body, masks=b""):
+    at = 54 + len(masks) + len(palette)
+    return b"BM" + struct.pack("<IHHI", at + len(body), 0, 0, at) + struct.pack("<IiiHHIIiiII", 40, w, h, 1, bits, packed, len(body), 0, 0, len(palette) // 4, 0) + masks + palette + body
+
+
+def test_media_depths():
+    rng = np.random.default_rng(3)
+    bits = rng.integers(0, 2, (5, 11)).astype(np.uint8)
+    plain = "\n".join("".join(map(str, r)) for r in bits)
+    white = ((1 - bits) * 255).astype(np.uint8)
+    assert (media.decode_media(b"P1\n# note\n11 5\n" + plain.encode() + b"\n") == white).all()
+    assert (media.decode_media(b"P4 11 5\n" + np.packbits(bits, axis=1).tobytes()) == white).all()
+    deep = rng.integers(0, 65536, (3, 4, 3)).astype(np.uint16)
+    got = media.decode_media(b"P6 4 3 65535\n" + deep.astype(">u2").tobytes())
+    assert got.dtype == np.uint16 and (got == deep).all()
+    assert (media.decode_media(b"P3 4 3 65535\n" + b" ".join(b"%d" % v for v in deep.reshape(-1))) == deep).all()
+    assert media.decode_media(b"P2 3 1 15\n0 # x\n7 15").tolist() == [[0, 119, 255]]
+    assert media.decode_media(b"P5 2 1 1000\n" + struct.pack(">HH", 1000, 500)).tolist() == [[65535, 32768]]
+    assert np.load(io.BytesIO(media.npy_tile(np.full((4, 4), 65535, np.uint16)))).max() == 255
+    colours = bytes((1, 2, 3, 0, 40, 50, 60, 0))
+    one = np.packbits(np.pad(bits, ((0, 0), (0, 21))), axis=1)
+    rgb = np.array([(3, 2, 1), (60, 50, 40)], np.uint8)
+    assert (media.decode_media(bmp(11, 5, 1, 0, colours, one[::-1].tobytes())) == rgb[bits]).all()
+    assert (media.decode_media(bmp(11, -5, 1, 0, colours, one.tobytes())) == rgb[bits]).all()
+    nibbles = np.pad(bits, ((0, 0), (0, 5)))
+    four = nibbles[:, ::2] << 4 | nibbles[:, 1::2]
+    assert (media.decode_media(bmp(11, -5, 4, 0, colours, four.tobytes())) == rgb[bits]).all()
+    with pytest.raises(ValueError):
+        media.decode_media(bmp(11, -5, 4, 0, colours, (four | 8).tobytes()))
+    assert media.decode_media(bmp(2, 1, 16, 0, b"", struct.pack("<HH", 0x7C00, 0x03FF))).tolist() == [[[255, 0, 0], [0, 255, 255]]]
+    masks = struct.pack("<III", 0xF800, 0x07E0, 0x001F)
+    assert media.decode_media(bmp(2, 1, 16, 3, b"", struct.pack("<HH", 0xF800, 0x07E0), masks)).tolist() == [[[255, 0, 0], [0, 255, 0]]]
+    core = b"BM" + struct.pack("<IHHI", 0, 0, 0, 32) + struct.pack("<IHHHH", 12, 3, 1, 1, 1) + bytes((0, 0, 0, 9, 9, 9)) + b"\xa0\0\0\0"
+    assert media.decode_media(core).tolist() == [[9, 0, 9]]
+
+
+def test_media_runs():
+    grey = b"".join(bytes((i, i, i, 0)) for i in range(256))
+    body = bytes((3, 7, 0, 3, 1, 2, 3, 0, 0, 0, 0, 2, 2, 0, 4, 9, 0, 1))  # run, literal of three and a pad, end of row, delta, run, end
+    assert media.decode_media(bmp(6, -2, 8, 1, grey, body)).tolist() == [[7, 7, 7, 1, 2, 3], [0, 0, 9, 9, 9, 9]]
+    assert media.decode_media(bmp(5, 1, 4, 2, grey[:64], bytes((3, 0x12, 0, 2, 0, 0, 0, 1)))).tolist() == [[1, 2, 1, 0, 0]]
+    assert media.decode_media(bmp(5, 1, 4, 2, grey[:64], bytes((0, 5, 0x12, 0x34, 0x50, 0, 0, 1)))).tolist() == [[1, 2, 3, 4, 5]]
+    for bad in (bytes((9, 1, 0, 1)), bytes((3, 7)), bytes((0, 200, 1)), bytes((0, 0, 0, 0, 0, 0, 1, 1))):
+        with pytest.raises(ValueError):
+            media.decode_media(bmp(6, 2, 8, 1, grey, bad))
+    with pytest.raises(ValueError):
+        media.decode_media(bmp(60000, 60000, 8, 1, grey, bytes((0, 1))))
+
+
+def test_media_column(spark):
+    image = np.arange(35, dtype=np.uint8).reshape(5, 7)
+    rows = [(1, media.encode_pgm(image)), (2, media.encode_bmp(image)), (3, None), (4, b""), (5, b"P5 9 9 255\nshort"), (None, media.encode_pgm(image)), (1, media.encode_pgm(image[:1]))]
+    df = spark.createDataFrame([(i, m, "x", "y") for i, m in rows], "id long, media binary, shape string, error string")
+    out = media.describe_media(df, "id", "media", side=4, with_samples=True).collect()
+    assert len(out) == len(rows)
+    good = [r for r in out if r["error"] is None]
+    assert sorted((r["id"] or 0, r["shape"]) for r in good) == [(0, [5, 7]), (1, [1, 7]), (1, [5, 7]), (2, [5, 7])]
+    same = [r for r in good if r["shape"] == [5, 7]]
+    assert len({(r["samples_sha256"], r["feature"], bytes(r["tile"])) for r in same}) == 1
+    assert all((np.load(io.BytesIO(r["samples"])) == image).all() and np.load(io.BytesIO(r["tile"])).shape == (4, 4) for r in same)
+    assert sorted(r["id"] for r in out if r["error"] and r["tile"] is None and r["shape"] is None) == [3, 4, 5]
+    assert media.describe_media(df.filter("id > 9"), "id", "media").count() == 0
+
+
 def test_area_resize_against_exact_means():
     rng = np.random.default_rng(1)
     for h, w, r, c in [(24, 24, 8, 9), (7, 5, 3, 2), (3, 24, 8, 9), (1, 1, 4, 4)]:
