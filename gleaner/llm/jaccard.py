@@ -331,3 +331,18 @@ def _explode_keys(rows: DataFrame, turn: int, passes: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(k[own].view(np.int64)), pa.array(x[own])], ["k", "x"])
 
     return rows.mapInArrow(run, "k long, x long")
+
+
+#: DuckDB SQL for the rows of jaccard_components with three words and 0.9, by looking at all pairs that share a shingle.
+SQL = r"""
+WITH RECURSIVE w AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+d AS (SELECT r, doc_id, list_sort(list_distinct(CASE WHEN len(w) >= 3 THEN [z[1] || ' ' || z[2] || ' ' || z[3] for z in list_zip(w[:len(w) - 2], w[2:len(w) - 1], w[3:])] WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END)) AS s FROM w),
+u AS (SELECT s, min(doc_id) AS id, row_number() OVER () AS n, len(s) AS size FROM d WHERE len(s) > 0 GROUP BY s),
+e AS MATERIALIZED (SELECT n, size, unnest(s) AS g FROM u),
+p AS (SELECT a.n AS a, b.n AS b, count(*) AS both_have, any_value(a.size) + any_value(b.size) AS total FROM e a JOIN e b ON a.g = b.g AND a.n < b.n AND 100 * least(a.size, b.size) >= 90 * greatest(a.size, b.size) GROUP BY a.n, b.n),
+l AS MATERIALIZED (SELECT a, b FROM p WHERE 100 * both_have >= 90 * (total - both_have)),
+x AS MATERIALIZED (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+c AS (SELECT n AS a, n AS b FROM u UNION SELECT c.a, x.b FROM c JOIN x ON c.b = x.a),
+k AS (SELECT c.a AS n, min(u.id) AS component_id FROM c JOIN u ON u.n = c.b GROUP BY c.a)
+SELECT d.doc_id, CAST(len(d.s) AS BIGINT) AS n_shingles, coalesce(k.component_id, d.doc_id) AS component_id FROM d LEFT JOIN u ON u.s = d.s LEFT JOIN k ON k.n = u.n
+"""

@@ -192,3 +192,17 @@ def _points(classes: DataFrame, dims: dict[int, int], pivots: int | None, elemen
         near = np.bincount(np.concatenate([nearest_pivots(sample[at : at + 4096], points, nearest).reshape(-1) for at in range(0, len(sample), 4096)]), minlength=len(points))
         out[d] = points[np.argsort(near, kind="stable")]
     return out
+
+
+#: DuckDB SQL for the rows of near_vectors with the defaults, by looking at all pairs.
+SQL = r"""
+WITH RECURSIVE v AS (SELECT row_number() OVER () AS n, vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+o AS MATERIALIZED (SELECT n, vec_id, e, len(e) AS dim FROM v WHERE len([x for x in e if x IS NULL OR NOT isfinite(x)]) = 0 AND len([x for x in e if x <> 0]) > 0),
+l AS MATERIALIZED (SELECT a.n AS a, b.n AS b FROM o a JOIN o b ON a.dim = b.dim AND a.n < b.n WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+x AS MATERIALIZED (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+c AS (SELECT n AS a, n AS b FROM o UNION SELECT c.a, x.b FROM c JOIN x ON c.b = x.a),
+k AS (SELECT c.a AS n, min(o.vec_id) AS component_id FROM c JOIN o ON o.n = c.b GROUP BY c.a),
+h AS (SELECT a AS n, count(*) AS n_links FROM x GROUP BY a)
+SELECT v.vec_id, coalesce(h.n_links, 0) AS n_links, coalesce(k.component_id, v.vec_id) AS component_id, v.vec_id = coalesce(k.component_id, v.vec_id) AS kept
+FROM v LEFT JOIN h ON h.n = v.n LEFT JOIN k ON k.n = v.n
+"""

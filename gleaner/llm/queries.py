@@ -74,4 +74,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op2_lines": linededup.SQL}
+    return {"op2_lines": linededup.SQL, "op5_jaccard": jaccard.SQL, "op7_pivots": pivots.SQL}

@@ -4,6 +4,7 @@ import math
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -166,6 +167,23 @@ def test_pivots_against_brute_force(spark):
     assert pivots.near_vectors(spark.createDataFrame([], df.schema)).count() == 0
 
 
+def test_pivots_against_sql(spark, tmp_path):
+    rng = np.random.default_rng(21)
+    rows, seeds = [], rng.normal(size=(12, 16))
+    for i in range(90):
+        near = seeds[i % 12] + rng.normal(size=16) * rng.choice([0, 0.05, 0.1, 0.2])
+        rows.append((i, [float(x) for x in (near[:8] if i % 5 == 4 else near)], i % 3))
+    rows += [(100, None, 0), (101, [0.0] * 16, 0), (102, [1.0, None] * 8, 0), (103, [float("nan")] * 16, 0), (104, [], 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    df.write.parquet(f"{tmp_path}/e")
+    con = duckdb.connect()
+    con.sql(f"create view embeddings as select * from '{tmp_path}/e/*.parquet'")
+    pick = ["vec_id", "n_links", "component_id", "kept"]
+    want = sorted(con.sql(f"select {', '.join(pick)} from ({pivots.SQL})").fetchall())
+    assert sorted(tuple(r) for r in pivots.near_vectors(df).select(*pick).collect()) == want
+    assert sum(n for _, n, _, _ in want) > 100
+
+
 def test_pivots_are_apart():
     rng = np.random.default_rng(1)
     cone = pivots.unit_vectors(rng.normal(0, 1, (600, 32)) + 5 * np.eye(1, 32) * 1.6)  # all within a narrow cone

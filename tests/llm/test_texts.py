@@ -217,6 +217,19 @@ def test_jaccard_against_brute_force(docs, monkeypatch, words, num, den, fragmen
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got.collect()} == brute_components(rows, words, num, den)
 
 
+def test_jaccard_against_its_sql(docs, tmp_path):
+    rng = random.Random(9)
+    pool = [" ".join(rng.choices("abcdefghij", k=n)) for n in (1, 2, 3, 60, 90, 120) for _ in range(4)]
+    texts = pool + [t.upper() for t in pool[:9]] + [t + " zz" for t in pool] + [t + " yy zz" for t in pool] + [None, "", " ", "a  b\tc", "a b c"]
+    docs([(i, t, "en", "a") for i, t in enumerate(texts)]).write.parquet(f"{tmp_path}/d")
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{tmp_path}/d/*.parquet'")
+    out = jaccard.jaccard_components(docs([(i, t, "en", "a") for i, t in enumerate(texts)]))
+    want = sorted(con.sql(f"select doc_id, n_shingles, component_id from ({jaccard.SQL})").fetchall())
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in out.collect()) == want
+    assert sum(a != c for a, _, c in want) > 20
+
+
 def test_jaccard_edges(edges, empty, docs):
     got = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_components(edges).collect()}
     assert got == {1: 1, 2: 2, 3: 3, 4: 4, 5: 4, None: None, 7: 7, 8: 8} and jaccard.jaccard_components(empty).count() == 0
