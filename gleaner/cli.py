@@ -11,7 +11,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from .operators import results
-from .operators.export import export_text
+from .operators.export import export_text, pieces
 from .plans import presets
 from .plans.options import SCHEMES, FileSelection, Job, OptionError, Options
 from .sources.files import scan_paths
@@ -139,13 +139,12 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, out=N
             out.write(f"saved {count} findings as session {number}\n")
             if a.format in ("table", "sqlite"):  # a session in the store's tables
                 return 0
-        text = export_text(found, a.format)
         if a.out:
             with open(a.out, "w", encoding="utf-8", newline="") as f:
-                f.write(text)
+                f.writelines(pieces(found, a.format))
             out.write(f"wrote {count} results to {a.out}\n")
         else:
-            out.write(text)
+            out.writelines(pieces(found, a.format))
         return 0 if count else 1
     except (OptionError, ValueError, OSError) as e:
         sys.stderr.write(f"error: {e}\n")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,14 +28,19 @@ def lines(findings: DataFrame, kind: str) -> DataFrame:
     raise ValueError(f"unknown format {kind}")
 
 
+def pieces(findings: DataFrame, kind: str) -> Iterator[str]:
+    """The export as the pieces of one file, of which the driver holds one partition's at a time."""
+    body = (r["line"] for r in lines(findings, kind).toLocalIterator())
+    end, between = ("", ",\n") if kind == "json" else ("\r\n", "")
+    yield "[\n" if kind == "json" else tx.CSV_HEADER + "\r\n" if kind == "csv" else ""
+    for n, line in enumerate(body):
+        yield (between if n else "") + line + end
+    yield "\n]\n" if kind == "json" else ""
+
+
 def export_text(findings: DataFrame, kind: str) -> str:
-    """The whole export as text, for results that a person reads; use write() for large ones."""
-    body = [r["line"] for r in lines(findings, kind).toLocalIterator()]
-    if kind == "csv":
-        return "\r\n".join([tx.CSV_HEADER, *body, ""])
-    if kind == "json":
-        return "[\n" + ",\n".join(body) + "\n]\n"
-    return "\r\n".join([*body, ""])
+    """The whole export as text, for results that a person reads; use pieces() or write() for large ones."""
+    return "".join(pieces(findings, kind))
 
 
 def write(findings: DataFrame, path: str, kind: str) -> None:

@@ -258,6 +258,10 @@ class Detector:
         return out
 
 
+#: Findings of one batch to Spark, about.
+ROWS = 2000
+
+
 @lru_cache(8)
 def detector(options: Options) -> Detector:
     return Detector(options)
@@ -273,12 +277,20 @@ def scan_bytes(chunks: DataFrame, options: Options | None = None) -> DataFrame:
     names = ["group", "value", "encoding", "source", "offset", "context_before", "context_after", "captures", "occurrences"]
     types = [pa.string()] * 4 + [pa.int64()] + [pa.string()] * 2 + [pa.list_(pa.struct([("name", pa.string()), ("value", pa.string())])), pa.int64()]
 
+    def pack(found):
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), types, strict=True)], names)
+
     def run(batches):
-        d = detector(options)
+        d, out = detector(options), []
         for batch in batches:
-            for i in range(batch.num_rows):
-                source, data, origin, head, tail, known = (batch.column(c)[i].as_py() for c in range(6))
-                if data and (found := d.detect(data, source, origin, known, head, tail)):
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), types, strict=True)], names)
+            for i, place in enumerate(zip(*(batch.column(c).to_pylist() for c in (0, 2, 3, 4, 5)), strict=True)):
+                source, origin, head, tail, known = place
+                data = batch.column(1)[i].as_py()
+                out += d.detect(data, source, origin, known, head, tail) if data else []
+                if len(out) >= ROWS:
+                    yield pack(out)
+                    out = []
+        if out:
+            yield pack(out)
 
     return rows.mapInArrow(run, FINDINGS)
