@@ -9,14 +9,14 @@ SHORTEST = 16
 
 
 def _readable(binary: Column) -> Column:
-    """At least four bytes, of which half or more are printable ASCII; else null."""
-    text = F.decode(binary, "ISO-8859-1")
-    printable = F.length(F.regexp_replace(text, r"[^\x20-\x7e]", ""))
-    return F.when((F.length(text) >= 4) & (printable * 2 >= F.length(text)), text)
+    """At least four bytes, of which half or more are printable ASCII, as UTF-8 or, where they are none, as Latin-1; else null."""
+    each, text = F.decode(binary, "ISO-8859-1"), binary.cast("string")
+    printable = F.length(F.regexp_replace(each, r"[^\x20-\x7e]", ""))
+    return F.when((F.length(each) >= 4) & (printable * 2 >= F.length(each)), F.when(F.is_valid_utf8(text), text).otherwise(each))
 
 
 def base64_texts(text: Column) -> Column:
-    """Decoded texts of all spans of 16 or more base64 characters (either alphabet); bytes are read as Latin-1."""
+    """Decoded texts of all spans of 16 or more base64 characters (either alphabet)."""
     spans = F.regexp_extract_all(text, F.lit(f"[A-Za-z0-9+/_-]{{{SHORTEST},}}"), F.lit(0))
 
     def read(s: Column) -> Column:

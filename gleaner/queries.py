@@ -127,7 +127,8 @@ def _expected(encoding: str, offset: str) -> str:
 
 
 def _b64(spark, d):
-    rows = _pages(spark, d).withColumn("t", F.concat(F.lit("k="), F.base64(F.col("url").cast("binary")), F.lit(" ;")))
+    unbroken = F.translate(F.base64(F.col("url").cast("binary")), "\r\n", "")  # Spark breaks lines after 76 characters, and a span ends with its line
+    rows = _pages(spark, d).withColumn("t", F.concat(F.lit("k="), unbroken, F.lit(" ;")))
     out = scan_column(rows, "t", _page_source(), Options(ascii=False, hex=False, utf16=False, escaped=False))
     return results.dedup(out).select("group", "value", "encoding", "source", "offset")
 

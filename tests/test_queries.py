@@ -28,6 +28,18 @@ def test_query(spark, db, name, tmp_path):
     assert sorted((tuple(r) for r in df.select(*columns).collect()), key=repr) == want
 
 
+def test_decoded_urls_of_all_lengths(spark, tmp_path):
+    """Past a line of Base64 (57 bytes), with letters beyond ASCII, and longer than Java's stack takes rounds."""
+    tails = ["x" * n for n in (20, 42, 43, 44, 100, 5000)] + ["utm?source=feed#" + "y" * 44, "café/中文/" + "z" * 60, "né?x=a+b/c_d-e~"]
+    spark.createDataFrame([(i, f"https://a.org/{t}") for i, t in enumerate(tails)], "page_id long, url string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    for name in ("decode_base64_urls", "decode_hex_urls"):
+        run, sql = queries.catalogue()[name]
+        got = sorted(map(tuple, run(spark, str(tmp_path)).collect()))
+        assert len(got) == len(tails) and got == sorted(con.sql(sql).fetchall()), name
+
+
 def test_native_and_kernel_agree(spark):
     from pyspark.sql import functions as F
 
