@@ -12,10 +12,11 @@ from __future__ import annotations
 
 import heapq
 import math
-from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,40 +25,73 @@ from .shared import discard, materialize, small_batches
 
 END = b" "  # no word has a space
 LONG = 64
-GROUP = 1 << 22  # tokens that are scored side by side
+GROUP = 1 << 22  # tokens that are counted at a time, and that are scored side by side
+PIECE = 1 << 23  # bytes of texts that are cut into words at a time
 SHORT = 1 << 14  # bytes of a text that isn't long
 MOST, LEAST = np.float32(75), np.float32(1e-37)  # bounds of scores, whose exponentials are summed in single precision
 
 
-def tokens_of(text: bytes | None) -> list[bytes]:
-    """Lower-cased words, then the end; a very long word is stood for by its digest."""
-    out = (text or b"").lower().split()
-    if out and max(map(len, out)) > LONG:
-        out = [w if len(w) <= LONG else b" " + xxhash.xxh3_128_digest(w) for w in out]
-    out.append(END)
-    return out
+def slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Bounds of runs of texts of at most PIECE bytes, or of one text."""
+    ends, lo = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(), dtype=np.int64), 0
+    while lo < len(ends):
+        hi = max(lo + 1, int(np.searchsorted(ends, PIECE + (ends[lo - 1] if lo else 0), "right")))
+        yield lo, hi
+        lo = hi
+
+
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Lower-cased words of all texts, one after another, and how many of them each text has; ends are not among them.
+    A null text is empty; a very long word is stood for by its digest."""
+    texts = pc.fill_null(texts.cast(pa.binary()), b"")
+    plain = pa.Array.from_buffers(pa.string(), len(texts), texts.buffers(), 0, texts.offset)  # ASCII functions look at bytes alone
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(plain))
+    flat, cuts = lists.flatten(), lists.offsets.to_numpy()
+    words = pa.Array.from_buffers(pa.binary(), len(flat), flat.buffers(), 0, flat.offset)
+    size, many = pc.binary_length(words).to_numpy(), np.diff(cuts).astype(np.int64)
+    if not size.all():  # blanks at a text's ends give empty words
+        real = size > 0
+        many = np.diff(np.append(0, np.cumsum(real))[cuts - cuts[0]])
+        words, size = words.filter(pa.array(real)), size[real]
+    if size.max(initial=0) > LONG:
+        long = pa.array(size > LONG)
+        digests = [b" " + xxhash.xxh3_128_digest(w.as_py()) for w in words.filter(long)]
+        words = pc.replace_with_mask(words, long, pa.array(digests, pa.binary()))
+    return words, many
+
+
+def numbered(words: pa.Array, known: pa.Array, other: int) -> np.ndarray:
+    """Places in `known`, else other."""
+    return pc.fill_null(pc.index_in(words, value_set=known), other).to_numpy()
+
+
+def with_ends(numbers: np.ndarray, many: np.ndarray, end: int) -> np.ndarray:
+    """Numbers of the words of all texts, each text's followed by its end."""
+    return np.insert(numbers, np.cumsum(many), end)
 
 
 def word_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """(word, c) over all rows. Tasks sum in a table that is passed on whenever it is full."""
+    """(word, c) over all rows. Tasks sum over GROUP words and pass on what they have."""
+
+    def counted(held, ends):
+        found = pc.value_counts(pa.chunked_array(held, pa.binary()))
+        return pa.RecordBatch.from_arrays([pa.concat_arrays([found.field(0), pa.array([END], pa.binary())]), pa.concat_arrays([found.field(1), pa.array([ends], pa.int64())])], ["word", "c"])
 
     def run(batches):
-        table: Counter = Counter()
+        held, ends = [], 0
         for batch in batches:
-            for text in batch.column(0):
-                table.update(tokens_of(text.as_py()))
-                if len(table) > 150_000:
-                    yield _packed(table)
-                    table = Counter()
-        yield _packed(table)
+            for lo, hi in slices(batch.column(0)):
+                held.append(words_of(batch.column(0)[lo:hi])[0])
+                ends += hi - lo
+                if sum(map(len, held)) >= GROUP:
+                    yield counted(held, ends)
+                    held, ends = [], 0
+        if ends:
+            yield counted(held, ends)
 
     return small_batches(df.select(F.col(text_col).cast("binary").alias("t"))).mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def _packed(table: Counter) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(list(table), pa.binary()), pa.array(list(table.values()), pa.int64())], ["word", "c"])
-
-
 class Network:
     """words: size of the network's own vocabulary, in classes of `each`; input words + 0 is any other word, + 1 the start."""
 
@@ -81,73 +115,98 @@ class Network:
         self.p["wb"][:] = np.where(by > 0, np.log(np.maximum(by, 1e-9) / by.sum(axis=1, keepdims=True)), -1e4)
 
     def states(self, inputs: np.ndarray, state: np.ndarray, keep: list | None = None) -> np.ndarray:
-        """States after each of the inputs (steps, lanes). keep takes states before, gates, candidates and their products."""
-        h, (steps, lanes), out = self.h, inputs.shape, np.empty((len(inputs), *state.shape), np.float32)
+        """States after each of the inputs (steps, lanes). keep takes states before, gates, candidates and their products.
+
+        Both gates and the candidate lie apart, so that each pass over one of them runs through memory in order.
+        """
+        h, (steps, lanes) = self.h, inputs.shape
         half = np.repeat(np.array([0.5, 0.5, 1], np.float32), h)  # halves of the sigmoids' arguments
-        table, u = (self.p["e"] + self.p["b"]) * half, self.p["u"] * half
-        first, second = (np.ascontiguousarray(table[:, x]).take(inputs, axis=0) for x in (np.s_[: 2 * h], np.s_[2 * h :]))
-        if keep is not None:
-            before, gates, cands, products = (np.empty((steps, lanes, w * h), np.float32) for w in (1, 2, 1, 1))
-            keep += [before, gates, cands, products]
-        y, c = np.empty((lanes, 3 * h), np.float32), np.empty((lanes, h), np.float32)
+        table, u = _thirds((self.p["e"] + self.p["b"]) * half, h), _thirds(self.p["u"] * half, h)
+        x, ids = np.empty((3, steps, lanes, h), np.float32), inputs.astype(np.intp, copy=False)
+        for k in range(3):
+            table[k].take(ids, axis=0, out=x[k], mode="clip")
+        every = np.empty((steps + 1, lanes, h), np.float32)
+        every[0] = state
+        y, c = np.empty((3, lanes, h), np.float32), np.empty((lanes, h), np.float32)
+        products = np.empty((steps, lanes, h), np.float32) if keep is not None else None
         for t in range(steps):
+            state, new, g, cand = every[t], every[t + 1], x[:2, t], x[2, t]
             np.matmul(state, u, out=y)
-            g = first[t]
-            g += y[:, : 2 * h]
+            g += y[:2]
             np.tanh(g, out=g)
             g += 1
             g *= 0.5
-            yc = y[:, 2 * h :]
-            np.multiply(g[:, h:], yc, out=c)
-            c += second[t]
-            np.tanh(c, out=c)
-            if keep is not None:
-                before[t], gates[t], cands[t], products[t] = state, g, c, yc
-            new = out[t]
-            np.subtract(state, c, out=new)
-            new *= g[:, :h]
-            new += c
-            state = new
-        return out
+            np.multiply(g[1], y[2], out=c)
+            cand += c
+            np.tanh(cand, out=cand)
+            if products is not None:
+                products[t] = y[2]
+            np.subtract(state, cand, out=new)
+            new *= g[0]
+            new += cand
+        if keep is not None:
+            keep += [every[:-1], x[:2], x[2], products]
+        return every[1:]
 
     def log_probs(self, flat: np.ndarray, targets: np.ndarray, real: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
-        """Natural log-probability of each target after each state; a target >= words counts as its class alone."""
-        p, n = self.p, len(flat)
-        cls = np.where(targets < self.words, targets // self.each, self.classes)
-        scores = flat @ p["cw"] + p["cb"]
-        np.minimum(scores, MOST, out=scores)
-        expd = np.exp(scores)
-        total = np.maximum(expd @ np.ones(expd.shape[1], np.float32), LEAST)
-        out = scores[np.arange(n), cls] - np.log(total)
-        back = None
+        """Natural log-probability of each target after each state; a target >= words counts as its class alone.
+
+        Rows are sorted by class once. A softmax's rows stay unscaled: their gradients are scaled on the side of the states,
+        which is narrower, and biases are the weights of a state's last component, which is 1.
+        """
+        p, n, h, each = self.p, len(flat), self.h, self.each
+        cls = np.where(targets < self.words, targets // each, self.classes)
+        order = np.argsort(_short(cls, self.classes), kind="stable")
+        cls, slot = cls.take(order), targets.take(order) % each
+        cuts = np.searchsorted(cls, np.arange(self.classes + 1))
+        own, lines = np.empty((n, h + 1), np.float32), np.arange(n)
+        own[:, :h], own[:, h] = flat.take(order, axis=0), 1
+        weight = real.take(order) if grads is not None else None
+        high = max(1.0, float(np.abs(flat).max(initial=0)))
+
+        def softmax(x, full, targets, weight, bounded):
+            """Scores of the targets, their totals, gradients of the weights and of the states."""
+            e, at = x @ full, targets + lines[: len(x)] * full.shape[1]
+            if not bounded:
+                np.minimum(e, MOST, out=e)
+            line = e.reshape(-1)
+            picked = line.take(at)
+            np.exp(e, out=e)
+            total = np.maximum(e @ np.ones(full.shape[1], np.float32), LEAST)
+            if weight is None:
+                return picked, total, None, None
+            line[at] -= total
+            scale = (weight / total)[:, None]
+            back = e @ np.ascontiguousarray(full[:h].T)
+            back *= scale
+            return picked, total, (x * scale).T @ e, back
+
+        full = np.vstack([p["cw"], p["cb"]])
+        out, total, g, back = softmax(own, full, cls, weight, _bound(full, high) <= MOST)
+        out -= np.log(total)
         if grads is not None:
-            d = expd / total[:, None]
-            d[np.arange(n), cls] -= 1
-            d *= real[:, None]
-            grads["cw"], grads["cb"] = flat.T @ d, d.sum(axis=0)
-            back = d @ p["cw"].T
+            grads["cw"], grads["cb"] = g[:h], g[h]
             grads["w"], grads["wb"] = np.zeros_like(p["w"]), np.zeros_like(p["wb"])
-        order = np.argsort(cls, kind="stable")
-        cuts = np.searchsorted(cls[order], np.arange(self.classes + 1))
+        words = np.concatenate([p["w"], p["wb"][:, None, :]], axis=1)
+        bounds = _bound(words, high)
+        totals = np.ones(n, np.float32)
         for k in range(self.classes):
-            at = order[cuts[k] : cuts[k + 1]]
-            if not len(at):
+            a, b = cuts[k], cuts[k + 1]
+            if a == b:
                 continue
-            own = flat[at]
-            s = own @ p["w"][k] + p["wb"][k]
-            np.minimum(s, MOST, out=s)
-            slot = targets[at] - k * self.each
-            picked = s[np.arange(len(at)), slot]
-            np.exp(s, out=s)
-            sums = np.maximum(s @ np.ones(self.each, np.float32), LEAST)
-            out[at] += picked - np.log(sums)
+            picked, totals[a:b], g, more = softmax(own[a:b], words[k], slot[a:b], None if weight is None else weight[a:b], bounds[k] <= MOST)
+            out[a:b] += picked
             if grads is not None:
-                s /= sums[:, None]
-                s[np.arange(len(at)), slot] -= 1
-                s *= real[at][:, None]
-                grads["w"][k], grads["wb"][k] = own.T @ s, s.sum(axis=0)
-                back[at] += s @ p["w"][k].T
-        return out, back
+                grads["w"][k], grads["wb"][k] = g[:h], g[h]
+                back[a:b] += more
+        out -= np.log(totals)
+        result = np.empty_like(out)
+        result[order] = out
+        if grads is None:
+            return result, None
+        unsorted = np.empty_like(back)
+        unsorted[order] = back
+        return result, unsorted
 
     def gradients(self, inputs: np.ndarray, targets: np.ndarray, real: np.ndarray, state: np.ndarray) -> tuple[float, dict, np.ndarray]:
         """Loss a token, gradients cut off at the window's start, and the last state."""
@@ -158,31 +217,46 @@ class Network:
         lp, back = self.log_probs(states.reshape(-1, h), targets.reshape(-1), weight, grads)
         count = max(1.0, float(weight.sum()))
         back = back.reshape(states.shape)
-        before, gates, c, yc = kept
-        z, r = gates[:, :, :h], gates[:, :, h:]
-        # all that a step back multiplies the state's gradient by, for the gates, the candidate and its product with the state
-        cand = (1 - z) * (1 - c * c)
-        factors = np.empty((*inputs.shape, 3, h), np.float32)
-        factors[:, :, 0], factors[:, :, 1], factors[:, :, 2] = (1 - z) * z * (before - c), cand * yc * r * (1 - r), cand * r
-        rec, ds_all, ut = np.empty_like(factors), np.empty_like(states), np.ascontiguousarray(self.p["u"].T)
-        ds = np.zeros_like(state)
+        before, (z, r), c, yc = kept
+        # all that a step back multiplies the state's gradient by, for the gates, the candidate's product with the state, and the candidate
+        factors, cand = np.empty((3, *inputs.shape, h), np.float32), 1 - z
+        np.subtract(before, c, out=factors[0])
+        factors[0] *= cand
+        factors[0] *= z
+        cand *= 1 - c * c
+        np.multiply(cand, r, out=factors[2])
+        np.multiply(factors[2], yc, out=factors[1])
+        factors[1] *= 1 - r
+        rec, ds_all, ut = np.empty_like(factors), np.empty_like(cand), np.ascontiguousarray(_thirds(self.p["u"], h).transpose(0, 2, 1))
+        ds, parts = np.zeros_like(state), np.empty((3, *state.shape), np.float32)
         for t in range(len(inputs) - 1, -1, -1):
             own = ds_all[t]
             np.add(ds, back[t], out=own)
-            np.multiply(own[:, None, :], factors[t], out=rec[t])
-            ds = rec[t].reshape(-1, 3 * h) @ ut
-            ds += own * z[t]
-        flat = rec.reshape(-1, 3 * h)
-        grads["u"] = before.reshape(-1, h).T @ flat
-        gates_all = rec.reshape(*inputs.shape, 3 * h)
-        gates_all[:, :, 2 * h :] = ds_all * cand
-        rows, ids = gates_all.reshape(-1, 3 * h), inputs.reshape(-1)
-        order = np.argsort(ids, kind="stable")
-        names, at = np.unique(ids[order], return_index=True)
+            np.multiply(own, factors[:, t], out=rec[:, t])
+            np.matmul(rec[:, t], ut, out=parts)
+            np.multiply(own, z[t], out=ds)
+            for part in parts:
+                ds += part
+        flat = before.reshape(-1, h).T
+        grads["u"] = np.concatenate([flat @ x.reshape(-1, h) for x in rec], axis=1)
+        np.multiply(ds_all, cand, out=rec[2])
+        ids = inputs.reshape(-1)
+        order = np.argsort(_short(ids, self.words + 1), kind="stable")
+        rows = np.concatenate([x.reshape(-1, h).take(order, axis=0) for x in rec], axis=1)
         grads["e"] = np.zeros_like(self.p["e"])
-        grads["e"][names] = np.add.reduceat(rows[order], at, axis=0)
-        grads["b"] = rows.sum(axis=0)
-        return float(-(lp * weight).sum() / count), {k: v / np.float32(count) for k, v in grads.items()}, states[-1]
+        cuts = np.searchsorted(ids.take(order), np.arange(self.words + 3))
+        ones, few = np.ones((1, len(rows)), np.float32), min(32, self.words)
+        for k in (*range(few), self.words, self.words + 1):  # the commonest words, any other word and the start have long sums
+            a, b = cuts[k], cuts[k + 1]
+            if a < b:
+                grads["e"][k] = (ones[:, : b - a] @ rows[a:b])[0]
+        names = few + np.flatnonzero(cuts[few : self.words] < cuts[few + 1 : self.words + 1])
+        if len(names):
+            grads["e"][names] = np.add.reduceat(rows[: cuts[self.words]], cuts[names], axis=0)
+        grads["b"] = grads["e"].sum(axis=0)
+        for x in grads.values():
+            x /= np.float32(count)
+        return float(-(lp * weight).sum() / count), grads, states[-1]
 
     def start_training(self) -> np.ndarray:
         """What training carries on from: weights, both of Adam's moments and its number of steps, in one vector."""
@@ -212,31 +286,55 @@ class Network:
             step += 1
             tokens = int(real.sum())
             seen += tokens
-            norm = math.sqrt(sum(float((x * x).sum()) for x in g.values()))
+            norm = math.sqrt(sum(float(np.vdot(x, x)) for x in g.values()))
             share = tokens / (len(queues) * window)
             clip, pace = np.float32(min(1, 1 / max(norm, 1e-9))), np.float32(share * rate * math.sqrt(1 - 0.999**step) / (1 - 0.9**step))
-            for k, x in g.items():
-                x = x * clip
-                m[k] += np.float32(0.1) * (x - m[k])
-                v[k] += np.float32(0.001) * (x * x - v[k])
-                self.p[k] -= pace * m[k] / (np.sqrt(v[k]) + np.float32(1e-8))
+            for k, x in g.items():  # in place: m += 0.1 (x - m), v += 0.001 (x x - v), p -= pace m / (sqrt(v) + 1e-8)
+                x *= clip
+                d = x - m[k]
+                d *= np.float32(0.1)
+                m[k] += d
+                x *= x
+                x -= v[k]
+                x *= np.float32(0.001)
+                v[k] += x
+                np.sqrt(v[k], out=x)
+                x += np.float32(1e-8)
+                np.divide(m[k], x, out=x)
+                x *= pace
+                self.p[k] -= x
         flat = [x.reshape(-1) for part in (self.p, m, v) for x in part.values()]
         return np.concatenate([*flat, np.array([step], np.float32)]), seen
 
     def score(self, texts: list[np.ndarray], lanes: int = 512, window: int = 16) -> np.ndarray:
         """Natural log-probability of each whole text (its words outside the vocabulary as their class alone)."""
         out, state = np.zeros(len(texts)), np.zeros((0, self.h), np.float32)
-        order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
+        order = np.array(sorted(range(len(texts)), key=lambda i: -len(texts[i])), np.int64)
         for inputs, targets, real, fresh, owner, still in windows([texts[i] for i in order], lanes, window, self.words):
             state = state[still] if len(state) else np.zeros((len(fresh), self.h), np.float32)
             state = np.where(fresh[:, None], np.float32(0), state)
             states = self.states(inputs, state)
             lp, _ = self.log_probs(states.reshape(-1, self.h), targets.reshape(-1), real.reshape(-1))
-            np.add.at(out, [order[i] for i in owner], np.where(real, lp.reshape(real.shape), 0).sum(axis=0, dtype=np.float64))
+            out[order[owner]] += np.where(real, lp.reshape(real.shape), 0).sum(axis=0, dtype=np.float64)  # each lane has a text of its own
             state = states[-1]
         return out
 
 
+def _thirds(matrix: np.ndarray, h: int) -> np.ndarray:
+    """(rows, 3 h) as (3, rows, h)."""
+    return np.ascontiguousarray(matrix.reshape(len(matrix), 3, h).transpose(1, 0, 2))
+
+
+def _short(values: np.ndarray, most: int) -> np.ndarray:
+    """The values, none above `most`, in 16 bits where they fit, which are sorted by radix."""
+    return values.astype(np.uint16) if most < 1 << 16 else values
+
+
+def _bound(weights: np.ndarray, high: float) -> np.ndarray:
+    """What scores can't exceed: of weights (..., components, scores), the last component 1 and the others `high` at most."""
+    return (np.abs(weights[..., :-1, :]).sum(axis=-2) * high + weights[..., -1, :]).max(axis=-1)
+
+
 def dealt(lengths: list[int], lanes: int, seed: int) -> list[list[int]]:
     """Texts of each lane: lanes of nearly equal length, no more of them than keep each as long as the longest text; the
     texts of a lane in random order."""
@@ -286,11 +384,6 @@ class Scorer:
         self.rest = max(0, n - int(counts[: network.words].sum())) + max(0, v - network.words) + 1
 
 
-class Index(dict):
-    def __missing__(self, word: bytes) -> int:
-        return -1
-
-
 def build(df: DataFrame, train, id_col: str = "doc_id", text_col: str = "text", common: int = 200_000, vocabulary: int = 1024, shard: int = 1 << 20) -> tuple[Scorer, DataFrame]:
     """Counts over all training rows, and a network trained on all tokens of all of them, in whole texts (see train).
     Returns the scorer and the counts table."""
@@ -334,18 +427,18 @@ def train_network(rows: DataFrame, network: Network, words: list[bytes], n: int,
     rounds = max(1, min(32, shards // 6))
     per = -(-shards // rounds)
     shared = rows.sparkSession.sparkContext.broadcast(words)
+    stored = np.uint16 if len(words) < 1 << 16 else np.int32
 
     def encode(batches):
-        own = Index({w: i for i, w in enumerate(shared.value)})
-        other = len(own)
+        own, other = pa.array(shared.value, pa.binary()), len(shared.value)
+        end = shared.value.index(END) if END in shared.value else other
         for batch in batches:
-            for lo in range(0, batch.num_rows, 2048):
-                part = batch.slice(lo, 2048)
-                out = []
-                for text in part.column(1):
-                    at = np.fromiter(map(own.__getitem__, tokens_of(text.as_py())), np.int32)
-                    out.append(np.where(at < 0, other, at).astype(np.int32).tobytes())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, pa.binary()), part.column(2)], ["k", "t", "shard"])
+            for lo, hi in slices(batch.column(1)):
+                found, many = words_of(batch.column(1)[lo:hi])
+                data = with_ends(numbered(found, own, other), many, end).astype(stored)
+                cuts = np.append(0, np.cumsum(many + 1)) * data.itemsize
+                out = pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(data)])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], out, batch.column(2)[lo:hi]], ["k", "t", "shard"])
 
     key = F.xxhash64(F.col(id_col), F.col(text_col), F.lit(9))
     place = F.element_at(F.array(*first), kind + 1) + F.pmod(key, F.element_at(F.array(*many), kind + 1))
@@ -361,7 +454,7 @@ def train_network(rows: DataFrame, network: Network, words: list[bytes], n: int,
             def learn(table: pa.Table) -> pa.Table:
                 net, start = held.value
                 order = table.sort_by([("k", "ascending"), ("t", "ascending")])
-                after, seen = net.fit([np.frombuffer(t.as_py(), np.int32) for t in order["t"]], start, seed=5 + turn)
+                after, seen = net.fit([np.frombuffer(t.as_py(), stored) for t in order["t"]], start, seed=5 + turn)
                 parts = [p.tobytes() for p in np.array_split(after, pieces)]
                 return pa.table({"shard": pa.array([order["shard"][0].as_py()] * pieces, pa.int32()), "piece": pa.array(range(pieces), pa.int32()), "tokens": pa.array([seen] * pieces, pa.int64()), "part": pa.array(parts, pa.binary())})
 
@@ -398,36 +491,52 @@ def score_documents(df: DataFrame, scorer: Scorer, counts: DataFrame, id_col: st
 
     def run(batches):
         s = shared.value
-        top, logs, net = Index({w: i for i, w in enumerate(s.words)}), np.log10(s.counts + 1.0), s.network
+        top, logs, net = pa.array(s.words, pa.binary()), np.append(np.log10(s.counts + 1.0), 0.0), s.network
+        end = s.words.index(END) if END in s.words else -1
         norm, rest = math.log10(s.n + s.v + 1), math.log10(s.rest)
 
-        def packed(cols, texts, kind):
-            scores = iter(net.score(texts) / math.log(10))
-            cols[7] = [x + next(scores) if t else x for x, t in zip(cols[7], cols[4], strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(cols, [pa.int64(), kind, pa.binary(), *[pa.int64()] * 3, *[pa.float64()] * 2], strict=True)], fields)
+        def rows(*cols):
+            return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in cols], fields)
+
+        def beyond(key, kind, words, parent):
+            """Words to be looked up by the join, each once for a text."""
+            own = words.dictionary_encode()
+            pairs, times = np.unique(parent * len(own.dictionary) + own.indices.to_numpy(), return_counts=True)
+            parent, word = np.divmod(pairs, len(own.dictionary))
+            none = np.zeros(len(pairs), np.int64)
+            return rows(key.take(pa.array(parent)), pa.nulls(len(pairs), kind), own.dictionary.take(pa.array(word)), times, none, none, none.astype(float), none.astype(float))
+
+        def packed(texts, held):
+            key, ident = (pa.concat_arrays([x[i] for x in held]) for i in (0, 1))
+            tokens, known, base, extra = (np.concatenate([x[i] for x in held]) for i in range(2, 6))
+            apart = pa.array([b" d%d" % k for k in key.to_pylist()], pa.binary())  # no word is like that
+            return rows(key, ident, apart, np.zeros(len(key), np.int64), tokens, known, base, extra + net.score(texts) / math.log(10))
 
-        texts, cols, held, kind = [], [[] for _ in fields], 0, None
+        texts, held, size = [], [], 0
         for batch in batches:
             kind = batch.schema.field(1).type
-            for key, ident, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                words = tokens_of(text.as_py())
-                at = np.fromiter(map(top.__getitem__, words), np.int32, len(words))
-                seen = at[at >= 0]
-                beyond = at >= net.words
-                extra = float(logs[at[beyond]].sum()) - rest * int(len(at) - (seen < net.words).sum())
-                texts.append(np.where((at >= 0) & ~beyond, at, np.int32(net.words)))
-                for c, x in zip(cols, (key, ident, b" d" + str(key).encode(), 0, len(at), len(seen), float(logs[seen].sum()) - norm * len(at), extra), strict=True):
-                    c.append(x)
-                if len(seen) < len(at):
-                    tail = Counter([words[i] for i in np.flatnonzero(at < 0)])
-                    for c, x in zip(cols, ([key] * len(tail), [None] * len(tail), tail.keys(), tail.values(), *[[0] * len(tail)] * 2, *[[0.0] * len(tail)] * 2), strict=True):
-                        c.extend(x)
-                held += len(at)
-                if held >= GROUP:
-                    yield packed(cols, texts, kind)
-                    texts, cols, held = [], [[] for _ in fields], 0
+            for lo, hi in slices(batch.column(2)):
+                key, ident = batch.column(0)[lo:hi], batch.column(1)[lo:hi]
+                words, many = words_of(batch.column(2)[lo:hi])
+                at = numbered(words, top, -1)
+                lost = at < 0
+                if lost.any():
+                    yield beyond(key, kind, words.filter(pa.array(lost)), np.repeat(np.arange(len(many)), many)[lost])
+                if end < 0:
+                    yield beyond(key, kind, pa.array([END] * len(many), pa.binary()), np.arange(len(many)))
+                at, tokens = with_ends(at, many, end), many + 1
+                starts = np.cumsum(tokens) - tokens
+                inside, log = (at >= 0) & (at < net.words), logs.take(at, mode="wrap")  # 0 for what is lost
+                known, near = (np.add.reduceat(x, starts, dtype=np.int64) for x in (at >= 0, inside))
+                base, extra = (np.add.reduceat(x, starts) for x in (log, np.where(inside, 0.0, log)))
+                texts += np.split(np.where(inside, at, np.int32(net.words)), starts[1:])
+                held.append((key, ident, tokens, known, base - norm * tokens, extra - rest * (tokens - near)))
+                size += len(at)
+                if size >= GROUP:
+                    yield packed(texts, held)
+                    texts, held, size = [], [], 0
         if texts:
-            yield packed(cols, texts, kind)
+            yield packed(texts, held)
 
     rows = df.select(F.monotonically_increasing_id().alias("key"), F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t"))
     parts = rows.mapInArrow(run, f"key long, id {kind}, word binary, times long, tokens long, known long, base double, score double")

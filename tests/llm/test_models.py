@@ -1,12 +1,15 @@
 """Networks: gradients, distributions, held-out results; the pivot index against brute force."""
 
 import math
+import time
 import zlib
 from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from gleaner.llm import langid, pivots, queries, rnnlm
@@ -86,6 +89,45 @@ def test_lm_query(spark):
     assert sum(rows[i]["score"] for i in out) > sum(rows[i]["base_score"] for i in out)
 
 
+def test_lm_words_and_their_cost(docs, monkeypatch):
+    rng = np.random.default_rng(2)
+    odd = [None, b"", b" ", b"\t\x0b\x0c\r\n", b" Lead and trail \n", b"A" * 64 + b" " + b"B" * 65, "ÉÀ\x85 \xa0x\u2003y".encode(), b"\xff\xfe\x1c\x1f z\x00"]
+    odd += [bytes(rng.choice(np.frombuffer(b"aB \t\n\x0b\x1f\x85\xa0\xc3\xff", np.uint8), rng.integers(0, 20))) for _ in range(300)]
+    plain = [[w if len(w) <= 64 else b" " + xxhash.xxh3_128_digest(w) for w in (t or b"").lower().split()] for t in odd]
+    for at in (0, 3):  # a slice begins inside the buffers
+        words, many = rnnlm.words_of(pa.array(odd, pa.binary())[at:])
+        assert words.to_pylist() == [w for t in plain[at:] for w in t] and many.tolist() == [len(t) for t in plain[at:]]
+    monkeypatch.setattr(rnnlm, "PIECE", 40)
+    cuts = list(rnnlm.slices(pa.array(odd, pa.binary())))
+    assert [a for a, _ in cuts] == [0, *[b for _, b in cuts[:-1]]] and cuts[-1][1] == len(odd) and all(b - a == 1 or sum(len(t or b"") for t in odd[a:b]) <= 40 for a, b in cuts)
+
+    texts = [" ".join(f"w{x}" for x in rng.zipf(1.3, 500)).encode() for _ in range(1000)]
+    index = {b"w%d" % i: i - 1 for i in range(1, 1025)}
+    known, column = pa.array(list(index), pa.binary()), pa.array(texts, pa.binary())
+
+    def by_word():
+        return [index.get(w, 1024) for t in texts for w in t.lower().split()]
+
+    def at_once():
+        return rnnlm.numbered(rnnlm.words_of(column)[0], known, 1024)
+
+    assert by_word() == at_once().tolist()
+    cost = []
+    for f in (by_word, at_once):
+        began = [time.process_time()]
+        for _ in range(5):
+            f()
+            began.append(time.process_time())
+        cost.append(min(np.diff(began)))
+    assert cost[1] < 0.7 * cost[0], cost  # word by word was most of what texts cost
+
+    kept = []
+    monkeypatch.setattr(rnnlm, "discard", lambda *tables: kept.extend(tables))
+    d = docs([(i, " ".join(f"w{(i + j) % 40}" for j in range(30 + i)), "en", "a") for i in range(20)])
+    scorer, _ = rnnlm.build(d, F.lit(True))
+    assert kept[0].agg(F.sum(F.octet_length("t"))).first()[0] == 2 * scorer.n  # two bytes for a token are written and shuffled
+
+
 def test_lm_tail_and_edges(docs, edges, empty):
     d = docs([(i, f"common words and r{i} r{i} " + "x" * 200 * (i % 2), "en", "a") for i in range(60)])
     whole, few = (rnnlm.build(d, F.lit(True), common=k, vocabulary=2) for k in (10_000, 4))
