@@ -40,6 +40,8 @@ GROWTH = 1.4
 UNIT, BLOCK = 256, 512
 #: Fragments beyond the necessary ones, in hundredths of these.
 SPARE = 18
+#: Bits of the map of wanted rows: for each of these rows, in one part of the map, and at most.
+SPARSE, PLACES, MOST = 16, 1 << 15, 1 << 27
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -138,8 +140,8 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     whole text. Null, empty and blank texts have size 0 and are linked with nothing: component_id is the id itself. Equal
     sets are linked. A null id gets the component of its class, and never names one. Rows of one id with different texts
     are each linked by their own text. Other columns are ignored, whatever their names. Ids are of one integer type.
-    fragments: records that a set's n-grams are cut into. passes: portions of the keys that are looked at one after the
-    other, so that their shuffles need as much less disk.
+    fragments: records that a set's n-grams are cut into. passes: portions of the sets, and then of the keys, that are
+    looked at one after the other, so that their shuffles need as much less disk.
     """
     kind = dict(df.dtypes)[id_col]
     rows = df.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("r"), F.col(text_col).alias("t"))
@@ -156,7 +158,10 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     keyed = materialize(map_rows(rows, f"id {kind}, r long, n long, x long, x2 long, keys binary", describe, ["id", "r", "t"]), "jaccard-keyed")
     base = materialize(keyed.drop("keys"), "jaccard-sets")
     classes = materialize(base.filter("n > 0").groupBy("x", "x2").agg(F.min("id").alias("rep"), F.min("r").alias("r")), "jaccard-classes")
-    chosen = materialize(keyed.filter("n > 0").select("r", "x", "keys").join(classes.select("r", "x"), ["r", "x"], "left_semi").dropDuplicates(["r", "x"]).select("x", "keys"), "jaccard-chosen")
+    portion = lambda df, turn: df.filter(F.pmod("r", F.lit(passes)) == turn)
+    one_each = lambda turn: portion(keyed.filter("n > 0").select("r", "x", "keys"), turn).join(portion(classes.select("r", "x"), turn), ["r", "x"], "left_semi").dropDuplicates(["r", "x"])
+    pieces = [materialize(one_each(turn).select("x", "keys"), "jaccard-chosen") for turn in range(passes)]
+    chosen = reduce(DataFrame.union, pieces)
     discard(keyed)
     parts = []
     for turn in range(passes):
@@ -166,7 +171,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
         parts.append(materialize(entries.join(common.hint("shuffle_hash"), "k").select("anchor", "x").distinct(), "jaccard-meets"))
         discard(common)
     meets = materialize(reduce(DataFrame.union, parts).distinct(), "jaccard-meets")
-    discard(chosen, *parts)
+    discard(*pieces, *parts)
     members = materialize(meets.select("x").distinct().join(classes.select("r", "x"), "x"), "jaccard-members")
 
     def cut():
@@ -180,7 +185,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
         return each
 
     edges = np.array([f * ((1 << 64) // fragments) for f in range(1, fragments)], np.uint64)
-    texts = rows.join(members, "r").dropDuplicates(["x"]).select("x", "t")
+    texts = _likely(rows, members).join(members, "r").dropDuplicates(["x"]).select("x", "t")
     segments = materialize(map_rows(texts, "x long, n long, before long, grams binary, f int", cut, ["x", "t"]), "jaccard-segments", by="f")
     others = meets.filter("x <> anchor")
     links = count_pairs(others.select(F.col("anchor").alias("a"), F.col("x").alias("b")), segments, num, den)
@@ -192,6 +197,18 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("least", "id").cast("long").alias("component_id"))
 
 
+def _likely(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows whose hash r is wanted, and few others, found without a shuffle: so of the texts only about those that a
+    join with the wanted rows needs are shuffled. Every wanted r sets the bit of its last binary digits in a map that all
+    tasks get, of MOST bits (16 MB) at most; were the wanted rows too many for it, more others would stay."""
+    bits = min(MOST, max(PLACES, 1 << (SPARSE * wanted.count()).bit_length()))
+    place = F.col("r").bitwiseAND(F.lit(bits - 1))
+    part, bit = F.shiftright(place, PLACES.bit_length() - 1), place.bitwiseAND(F.lit(PLACES - 1))
+    marks = wanted.groupBy(part.alias("part")).agg(F.bitmap_construct_agg(bit).alias("marks"))
+    byte = F.conv(F.hex(F.col("marks").substr(F.shiftright(bit, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return rows.join(F.broadcast(marks), part == F.col("part")).filter(F.getbit(byte, bit.bitwiseAND(F.lit(7)).cast("int")) == 1).select(*rows.columns)
+
+
 def _settle(groups: DataFrame, links: DataFrame, segments: DataFrame, num: int, den: int, width: int = 8) -> DataFrame:
     """Components (node, component) of all links, given the links found so far and groups (anchor, x) whose anchors have
     been paired with all others and are left out.

@@ -296,3 +296,38 @@ def test_groups_are_settled_by_rounds(spark, docs):
     assert {i: (0, got.get(i, i)) for i in range(60)} == {i: (0, c) for i, (_, c) in brute_components(rows, 2, 70, 100).items()}
     repeated = jaccard.jaccard_components(docs([(1, "a b c d", "en", "a"), (1, "e f g h", "en", "a"), (3, "e f g h", "en", "a"), (4, "a b c d", "en", "a")])).collect()
     assert sorted(r["component_id"] for r in repeated) == [1, 1, 1, 1]
+
+
+def shuffled(spark):
+    """Bytes that all stages so far wrote to shuffles."""
+    context, gateway = spark.sparkContext._jsc.sc(), spark.sparkContext._gateway
+    context.listenerBus().waitUntilEmpty(30_000)
+    none = gateway.jvm.java.util.ArrayList
+    return {(s.stageId(), s.attemptId()): s.shuffleWriteBytes() for s in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(context.statusStore().stageList(none(), False, False, gateway.new_array(gateway.jvm.double, 0), none()))}
+
+
+def test_jaccard_shuffles_only_texts_that_may_link(spark, docs):
+    """Two near copies among texts that are like no other: the others' texts stay where they are."""
+    rng = random.Random(4)
+    rows = [(i, " ".join(f"{rng.getrandbits(8000):x}" for _ in range(6))) for i in range(300)]
+    rows += [(300, rows[7][1].upper()), (301, "a b c d e f g h i j k l m n o p q r s t u v w"), (302, "a b c d e f g h i j k l m n o p q r s t u v w x")]
+    table, was, before = docs([(i, t, "en", "a") for i, t in rows]), spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), shuffled(spark)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_components(table).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    assert got == {i: i for i in range(300)} | {300: 7, 301: 301, 302: 301}
+    written = sum(n for stage, n in shuffled(spark).items() if stage not in before)
+    assert written < sum(len(t) for _, t in rows) / 4
+
+
+@pytest.mark.parametrize("most", [1 << 27, 1 << 15])
+def test_likely_rows_hold_all_that_are_wanted(spark, monkeypatch, most):
+    monkeypatch.setattr(jaccard, "MOST", most)
+    rows = spark.sql("select id, xxhash64(id) as r, 'text' as t from range(40000) union all select -1, -1, 't' union all select -2, bigint(-9223372036854775808), null")
+    wanted = rows.filter("id < 0 or id % 7 = 0").select("r")
+    got = [r["id"] for r in jaccard._likely(rows, wanted).collect()]
+    ids = {-1, -2, *range(0, 40000, 7)}
+    assert ids <= set(got) and len(got) == len(set(got)) and len(set(got) - ids) < (40000 * 0.08 if most > 1 << 15 else 40000 * 0.2)
+    assert jaccard._likely(rows, wanted.limit(0)).count() == 0
